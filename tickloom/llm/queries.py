@@ -21,8 +21,28 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), k=2, threshold=80).drop("n_links")
 
 
+def op2_warc_seekable_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op3_token_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokens import round_trip
+
+    return round_trip(_read(spark, sf_dir, "documents"), tokenizer_file(), 1).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_warc_seekable_bundles": op2_warc_seekable_bundles,
+    "op3_token_bit_planes": op3_token_bit_planes,
 }
 
 ORACLE: dict[str, str] = {
@@ -43,4 +63,13 @@ twoway AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id, doc_id AS other FROM sets UNION SELECT r.doc_id, b.b FROM reach r JOIN twoway b ON r.other = b.a)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.other) AS component_id, s.doc_id = min(r.other) AS kept
 FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.s""",
+    "op2_warc_seekable_bundles": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha1(h) AS x, max(page_id) OVER (PARTITION BY sha1(h)) AS last FROM p)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(x, 1 + (i // 4) * 5, 5))::INTEGER >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+FROM d""",
 }
