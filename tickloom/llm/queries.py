@@ -39,10 +39,29 @@ def op3_token_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir, "documents"), tokenizer_file(), 1).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shard", "place")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .language import fit, identify, third
+
+    docs = _read(spark, sf_dir, "documents")
+    model = fit(docs.where(third("doc_id") != 1))
+    named = identify(docs.select("doc_id", "text"), model)
+    return named.select("doc_id", (third("doc_id") == 1).alias("held_out"), "lang_pred", F.col("score"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_warc_seekable_bundles": op2_warc_seekable_bundles,
     "op3_token_bit_planes": op3_token_bit_planes,
+    "op4_mix_to_weights": op4_mix_to_weights,
+    "op5_language_id": op5_language_id,
 }
 
 ORACLE: dict[str, str] = {
