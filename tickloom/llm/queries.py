@@ -56,12 +56,33 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", (third("doc_id") == 1).alias("held_out"), "lang_pred", F.col("score"))
 
 
+def op8_media_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import features
+
+    return features(_read(spark, sf_dir, "documents"))
+
+
+def op9_html_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
+
+    return extract(_read(spark, sf_dir, "pages"))
+
+
+def op10_decontaminate_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_warc_seekable_bundles": op2_warc_seekable_bundles,
     "op3_token_bit_planes": op3_token_bit_planes,
     "op4_mix_to_weights": op4_mix_to_weights,
     "op5_language_id": op5_language_id,
+    "op8_media_signatures": op8_media_signatures,
+    "op9_html_text_density": op9_html_text_density,
+    "op10_decontaminate_pigeonhole": op10_decontaminate_pigeonhole,
 }
 
 ORACLE: dict[str, str] = {
