@@ -56,6 +56,17 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", (third("doc_id") == 1).alias("held_out"), "lang_pred", F.col("score"))
 
 
+def op6_ngram_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .ngram import score, train
+
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    scored = score(docs, train(docs.where(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_media_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import features
 
@@ -80,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op3_token_bit_planes": op3_token_bit_planes,
     "op4_mix_to_weights": op4_mix_to_weights,
     "op5_language_id": op5_language_id,
+    "op6_ngram_lm_score": op6_ngram_lm_score,
     "op8_media_signatures": op8_media_signatures,
     "op9_html_text_density": op9_html_text_density,
     "op10_decontaminate_pigeonhole": op10_decontaminate_pigeonhole,
