@@ -18,7 +18,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
-    return near_duplicates(_read(spark, sf_dir, "documents"), k=2, threshold=80).drop("n_links")
+    return near_duplicates(_read(spark, sf_dir, "documents"), k=2, threshold=80)
 
 
 def op2_warc_seekable_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,13 @@ def op6_ngram_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op7_pii_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digest, fit
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return digest(docs, fit(docs))
+
+
 def op8_media_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import features
 
@@ -92,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op4_mix_to_weights": op4_mix_to_weights,
     "op5_language_id": op5_language_id,
     "op6_ngram_lm_score": op6_ngram_lm_score,
+    "op7_pii_boosted_candidates": op7_pii_boosted_candidates,
     "op8_media_signatures": op8_media_signatures,
     "op9_html_text_density": op9_html_text_density,
     "op10_decontaminate_pigeonhole": op10_decontaminate_pigeonhole,
