@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .base import U64, mix64, shingle_sets, text_slices, written
 from .graph import components
 
-BANDS, ROWS, BITS = 40, 5, 2
+BANDS, ROWS, BITS = 40, 5, 4
 HASHES = BANDS * ROWS
 LANES = 64 // BITS
 WORDS = -(-HASHES // LANES)
@@ -107,86 +107,153 @@ def similarity(left: str, right: str) -> Column:
     return (agree - chance) / (1 - chance)
 
 
+def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """Written sets (rep, set) of the documents named in ids(rep); both sides grow, so neither is broadcast."""
+    named = ids.select(F.col("rep").alias("doc_id")).distinct()
+    met = docs.hint("merge").join(named, "doc_id", "left_semi")
+    return written(shingles(met, k).where("size(shingles) > 0").select(F.col("doc_id").alias("rep"), F.col("shingles").alias("set")).distinct(), "sets")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Those of pairs(a, b, a_f, b_f) whose full sets have 100 * intersection >= threshold * union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(shingles(docs.join(ids, "doc_id", "left_semi"), k), "sets")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("f0").alias("a_f"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("f0").alias("b_f"), F.col("shingles").alias("sb"))
-    left, right = (x.dropDuplicates([c, f"{c}_f"]) for x, c in ((left, "a"), (right, "b")))
+    """Those of pairs(a, b) whose full sets have 100 * intersection >= threshold * union."""
+    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("rep")), k)
+    left = sets.select(F.col("rep").alias("a"), F.col("set").alias("sa"))
+    right = sets.select(F.col("rep").alias("b"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    met = pairs.join(right, ["b", "b_f"]).join(left, ["a", "a_f"])
-    return met.where(100 * both >= threshold * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    met = pairs.hint("merge").join(right, "b").hint("merge").join(left, "a")
+    return met.where(100 * both >= threshold * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
+
+
+def _linked_blocks(threshold: int, columns: int = 4096):
+    """A kernel over one block of candidates against one block of a unit: exact intersections of all pairs, as
+    products of 0/1 matrices over the shingles that both blocks have; emits one link per row and component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side = np.asarray(table.column("side"))
+        rep, comp = np.asarray(table.column("rep")), np.asarray(table.column("comp"))
+        sets = table.column("set").combine_chunks()
+        values, ends = sets.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy())])
+        owner = np.repeat(np.arange(len(rep)), np.diff(ends))
+        sizes = np.diff(ends)
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        place = np.empty(len(rep), np.int64)
+        place[x], place[y] = np.arange(len(x)), np.arange(len(y))
+        of_x = side[owner] == 0
+        shared = np.intersect1d(values[of_x], values[~of_x])
+        keep = np.isin(values, shared)
+        column = np.searchsorted(shared, values[keep])
+        row, in_x = owner[keep], of_x[keep]
+        both = np.zeros((len(x), len(y)), np.float32)
+        for c in range(0, len(shared), columns):
+            mine = (column >= c) & (column < c + columns)
+            mx, my = np.zeros((len(x), columns), np.float32), np.zeros((len(y), columns), np.float32)
+            mx[place[row[mine & in_x]], column[mine & in_x] - c] = 1
+            my[place[row[mine & ~in_x]], column[mine & ~in_x] - c] = 1
+            both += mx @ my.T
+        both = both.astype(np.int64)
+        i, j = np.nonzero(100 * both >= threshold * (sizes[x][:, None] + sizes[y][None, :] - both))
+        i, j = x[i], y[j]
+        i, j = i[comp[i] != comp[j]], j[comp[i] != comp[j]]
+        _, first = np.unique(np.stack([rep[i], comp[j]], axis=1), axis=0, return_index=True) if len(i) else (None, np.zeros(0, np.int64))
+        return pa.table({"a": pa.array(rep[i[first]]), "b": pa.array(rep[j[first]])})
+
+    return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, slack: float = 0.2) -> DataFrame:
+#: Members of a bucket from which its open pairs are compared by blocks of BLOCK sets; below it pair by pair.
+CROWD, BLOCK = 64, 256
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, slack: float = 0.14) -> DataFrame:
     """Classes of documents linked by a Jaccard similarity of at least threshold percent.
 
     docs: doc_id, text (other columns are ignored, whatever they are called).  Shingles are k
     consecutive words of the ASCII-lower-cased text; a shorter text is one shingle; a null or blank
     text has the empty set, which is linked with nothing.  Returns doc_id, n_shingles, component_id
-    (the smallest doc_id reachable), kept (doc_id = component_id; false for a null doc_id), n_links
-    (confirmed links that were needed at its set).  Rows that repeat a doc_id stay rows and are one node.
-
-    Equal sets collapse to their smallest doc_id first, so copies cost a row each and no pairs.  Sets
-    that share a band become candidates, estimated from the packed low bits (slack: how far below the
-    threshold an estimate may be) and confirmed on full sets.  Of a bucket, first only stars around its
-    smallest-hashed member are tried, a few for each set; then every pair of a bucket whose members
-    still are in different components.  Pairs inside a component can't change the result, so no link
-    is lost and a bucket of n near copies costs about n comparisons.
+    (the smallest doc_id reachable), kept (doc_id = component_id; false for a null doc_id).  Rows that
+    repeat a doc_id stay rows and are one node.
+
+    1. Equal sets collapse to their smallest doc_id, so copies cost a row each and no pairs.
+    2. Sets that share a band are candidates.  Each is compared with the smallest member of a bucket
+       that looks surely alike and with the most alike one, estimated from the packed low bits (slack:
+       how far below the threshold an estimate may be, about five standard errors) and confirmed on
+       full sets; this joins nearly all of a group of near copies into one component.
+    3. Buckets whose members still are in several components: pair by pair, estimated and confirmed,
+       or, in a bucket of CROWD members or more, every member outside its largest component against
+       that component and the other such members, in blocks that emit confirmed links only.
+    Pairs inside a component can't change the result, so no link between different texts is lost.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(signatures(docs, k), "signed")
     mark = ["f0", "f1"]
     reps = signed.where("n > 0 and doc_id is not null").groupBy(*mark).agg(F.min("doc_id").alias("rep"))
     lanes = [f"s{i}" for i in range(WORDS)]
-    sets = written(
-        signed.join(reps, [signed.f0 == reps.f0, signed.f1 == reps.f1, signed.doc_id == reps.rep], "left_semi")
-        .dropDuplicates(["doc_id", *mark])
-        .select(F.col("doc_id").alias("rep"), "f0", *lanes, "bands"),
-        "sets-signed",
-    )
-    exploded = sets.select("rep", "f0", F.explode("bands").alias("band"))
-    order = F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("rep"), F.col("f0").alias("f"))
-    buckets = exploded.groupBy("band").agg(F.min(order).alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    starred = (
-        exploded.join(buckets, "band")
-        .where("rep <> pivot.rep")
-        .select("rep", "f0", F.col("pivot.rep").alias("p"), F.col("pivot.f").alias("p_f"))
-        .distinct()
-    )
-    one = sets.select("rep", "f0", F.struct(*lanes).alias("x"))
-    two = sets.select(F.col("rep").alias("p"), F.col("f0").alias("p_f"), F.struct(*lanes).alias("y"))
+    met = signed.join(reps.withColumn("doc_id", F.col("rep")), ["doc_id", *mark], "left_semi").dropDuplicates(["doc_id", *mark])
+    sets = written(met.select(F.col("doc_id").alias("rep"), "n", *lanes, "bands"), "sets-signed")
+    light = sets.select("rep", F.struct("n", *lanes).alias("x"))
     floor = threshold / 100 - slack
-    stars = starred.join(one, ["rep", "f0"]).join(two, ["p", "p_f"]).select("rep", "f0", "p", "p_f", similarity("x", "y").alias("est")).where(F.col("est") >= floor)
-    stars = written(stars, "stars")
-    sure = F.col("est") >= threshold / 100
-    by_hub = Window.partitionBy("rep").orderBy(sure.desc(), F.xxhash64("p"), "p")
+
+    def alike(x: str, y: str) -> Column:
+        """What any linked pair passes: the bound from the set sizes, and the estimate."""
+        small, large = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
+        return (100 * small >= threshold * large) & (similarity(x, y) >= floor)
+
+    exploded = sets.select("rep", F.explode("bands").alias("band"))
+    buckets = exploded.groupBy("band").agg(F.min("rep").alias("p"), F.count("*").alias("members")).where("members > 1")
+    inside = written(exploded.hint("merge").join(buckets, "band"), "buckets")
+    starred = inside.where("rep <> p").select("rep", "p").distinct()
+    stars = starred.join(light, "rep").join(light.select(F.col("rep").alias("p"), F.col("x").alias("y")), "p").where(alike("x", "y"))
+    stars = stars.select("rep", "p", similarity("x", "y").alias("est"))
+    by_hub = Window.partitionBy("rep").orderBy((F.col("est") >= threshold / 100).desc(), "p")
     by_est = Window.partitionBy("rep").orderBy(F.col("est").desc(), "p")
-    first = stars.withColumns({"i": F.row_number().over(by_hub), "j": F.row_number().over(by_est)}).where("i <= 2 or j = 1")
-    ends = [F.col("rep").alias("a"), F.col("f0").alias("a_f"), F.col("p").alias("b"), F.col("p_f").alias("b_f")]
-    links = written(_confirmed(first.select(*ends), docs, k, threshold), "links-1")
-    label = components(links)
-
-    member = sets.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "f0", F.coalesce("component", "rep").alias("comp"), F.struct(*lanes).alias("x"), "bands")
-    member = written(member, "members")
-    spread = member.select("rep", "comp", "f0", F.explode("bands").alias("band"))
-    mixed = spread.groupBy("band", "comp").agg(F.count("*").alias("c")).groupBy("band").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("band", "main")
-    open_rows = member.select("rep", "f0", "comp", "x", F.explode("bands").alias("band")).join(mixed, "band")
-    open_rows = written(open_rows, "open-buckets")
-    few = open_rows.where("comp <> main").select("band", F.col("rep").alias("a"), F.col("f0").alias("a_f"), F.col("comp").alias("ca"), "x")
-    every = open_rows.select("band", F.col("rep").alias("b"), F.col("f0").alias("b_f"), F.col("comp").alias("cb"), F.col("x").alias("y"), (F.col("comp") == F.col("main")).alias("in_main"))
-    across = few.join(every, (few.band == every.band) & (F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & (similarity("x", "y") >= floor)).select("a", "a_f", "b", "b_f").distinct()
-    tried = first.select(*ends)
-    tried = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("b_f").alias("a_f"), F.col("a").alias("b"), F.col("a_f").alias("b_f")))
-    rest = written(across.join(tried, ["a", "a_f", "b", "b_f"], "left_anti"), "rest")
-    more = written(_confirmed(rest, docs, k, threshold), "links-2")
-    every_link = links.unionByName(more)
-    label = written(components(label.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
-
-    degree = every_link.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    named = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").select(*mark, F.coalesce("component", "rep").alias("component"), "n_links")
-    alone = signed.where("n = 0 or doc_id is null and f0 is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    linked = signed.where("n > 0").join(named, mark, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = linked.unionByName(alone)
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "n_links")
+    first = stars.withColumns({"i": F.row_number().over(by_hub), "j": F.row_number().over(by_est)}).where("i = 1 or j = 1")
+    first = written(first.select(F.col("rep").alias("a"), F.col("p").alias("b")).distinct(), "stars")
+    links = written(_confirmed(first, docs, k, threshold), "links-stars")
+    label = written(components(links), "components-1")
+
+    sized = label.groupBy("component").agg(F.count("*").alias("comp_size"))
+    named = label.hint("merge").join(sized, "component").select(F.col("node").alias("rep"), F.col("component").alias("comp"), "comp_size")
+    placed = inside.select("rep", "band", "members").join(named, "rep", "left")
+    placed = placed.select("rep", "band", "members", F.coalesce("comp", "rep").alias("comp"), F.coalesce("comp_size", F.lit(1)).alias("comp_size"))
+    largest = F.max(F.struct("comp_size", "comp")).alias("main")
+    mixed = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), largest).where("lo <> hi").select("band", F.col("main.comp").alias("main"))
+    open_rows = written(placed.join(mixed, "band"), "open-buckets")
+
+    crowd = open_rows.where(F.col("members") >= CROWD)
+    units = written(crowd.where("comp <> main").select("main", "rep", "comp").distinct(), "units")
+    mains = units.groupBy("main").agg(F.count("*").alias("outside"))
+    core = placed.select("rep", "comp").distinct().join(mains, F.col("comp") == F.col("main")).select("main", "rep", "comp")
+    every = core.unionByName(units)
+    counts = every.groupBy("main").agg(F.count("*").alias("all")).join(mains, "main")
+    chunk = lambda n: F.pmod(F.xxhash64("rep"), F.ceil(F.col(n) / BLOCK))
+    others = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / BLOCK) - 1))
+    xs = units.join(counts, "main").select("main", "rep", "comp", F.lit(0).alias("side"), chunk("outside").alias("i"), others("all").alias("j"))
+    ys = every.join(counts, "main").select("main", "rep", "comp", F.lit(1).alias("side"), others("outside").alias("i"), chunk("all").alias("j"))
+    blocks = written(xs.unionByName(ys), "blocks")
+    crowd_sets = _sets(docs, blocks.select("rep"), k)
+    found = blocks.hint("merge").join(crowd_sets, "rep").groupBy("main", "i", "j").applyInArrow(_linked_blocks(threshold), "a long, b long")
+    crowd_links = written(found, "links-crowds")
+
+    home = every.groupBy("rep").agg(F.max("main").alias("home"))
+    few = open_rows.where(F.col("members") < CROWD).join(home, "rep", "left").join(light, "rep")
+    left = few.select("band", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("home").alias("ha"), "x")
+    right = few.select("band", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("home").alias("hb"), F.col("x").alias("y"))
+    apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ~F.coalesce(F.col("ha") == F.col("hb"), F.lit(False))
+    across = left.join(right, (left.band == right.band) & apart & alike("x", "y")).select("a", "b").distinct()
+    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = written(across.join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = crowd_links.unionByName(_confirmed(rest, docs, k, threshold))
+    known = label.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    label = components(known.unionByName(more))
+
+    named = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(*mark, F.coalesce("component", "rep").alias("component"))
+    out = signed.where("n > 0").join(named, mark, "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component_id"))
+    out = out.unionByName(signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
+    """One document of each class, with all its columns: the smallest doc_id.  Of rows that repeat a doc_id one
+    stays; rows without a doc_id can't be told apart and stay."""
+    kept = near_duplicates(docs, k, threshold).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
