@@ -79,7 +79,8 @@ def ewm_long(df: DataFrame, x: str, keys: Sequence[str], block: str, order: Sequ
 def rsi(df: DataFrame, x: str, keys: Sequence[str], order: Sequence[str], out: str = "rsi", n: int = 14, zero_loss: str = "null") -> DataFrame:
     """SCN-2: Wilder's RSI.  With no losses: null, 100, or 100 and 50 if there are no gains either ('mid')."""
     d = F.col(x) - F.lag(x).over(over(keys, order))
-    df = df.withColumn("_up", F.greatest(d, F.lit(0.0))).withColumn("_down", F.greatest(-d, F.lit(0.0)))
+    df = df.withColumn("_d", d)
+    df = df.withColumn("_up", F.when(F.col("_d").isNotNull(), F.greatest("_d", F.lit(0.0)))).withColumn("_down", F.when(F.col("_d").isNotNull(), F.greatest(-F.col("_d"), F.lit(0.0)))).drop("_d")
     df = ewm(df, "_up", keys, order, "_g", alpha=1 / n, least=n)
     df = ewm(df, "_down", keys, order, "_l", alpha=1 / n, least=n)
     quiet = {"null": F.lit(None).cast("double"), "100": F.lit(100.0), "mid": F.when(F.col("_g") == 0, 50.0).otherwise(100.0)}[zero_loss]

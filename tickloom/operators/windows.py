@@ -218,15 +218,16 @@ def breakout_state(high: str, low: str, close: str, n: int, w: WindowSpec) -> Co
 
 
 def position_in_range(x: str, w: WindowSpec) -> Column:
-    """WIN-36: place of x in the running range, 0 to 1."""
+    """WIN-36: place of x in the running range, 0 to 1; null while the range is a point."""
     hi, lo = extremes(x, w)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), safe_divide(F.col(x) - lo, hi - lo)))
+    return F.when(hi > lo, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(x) - lo) / (hi - lo))))
 
 
 def overlap_ratio(high: str, low: str, w: WindowSpec) -> Column:
     """WIN-37: share of the bar's range that the bar before covers."""
     ph, pl = F.lag(high).over(w), F.lag(low).over(w)
-    return safe_divide(F.greatest(F.lit(0.0), F.least(F.col(high), ph) - F.greatest(F.col(low), pl)), F.col(high) - F.col(low))
+    shared = F.greatest(F.lit(0.0), F.least(F.col(high), ph) - F.greatest(F.col(low), pl))
+    return F.when(ph.isNotNull() & pl.isNotNull(), safe_divide(shared, F.col(high) - F.col(low)))
 
 
 def compression(x: str, w: WindowSpec, short: int = 15, long: int = 26) -> Column:
