@@ -7,7 +7,9 @@ and plane lengths of each block) and the documents (doc_id, number of ids), then
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -26,7 +28,8 @@ from .files import Input, Output
 MAGIC = b"TLPLANE1"
 BLOCK_IDS = 1 << 16
 NULL_ID = -(1 << 63)
-CACHE_WORDS = 400_000
+_PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+CACHE_WORDS = 300_000
 
 
 def to_planes(ids: np.ndarray, bits: bool = False) -> list[bytes]:
@@ -123,11 +126,33 @@ class PlaneReader:
             yield (None if doc == NULL_ID else doc), ids[:n]
 
 
+#: 1 letters, 2 ASCII marks, 3 the apostrophe, 0 the rest and the marks of special tokens (no cut beside them).
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_CLASS[[x for x in (*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)) if chr(x) not in "<|>"]] = 2
+_CLASS[0x27] = 3
+
+
+def piece_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As base.word_bounds, but words are also cut between a letter (A-Z, a-z, U+00C0 to U+00FF) and an ASCII mark
+    after it, and between an ASCII mark other than the apostrophe and a letter after it."""
+    starts, ends, at = word_bounds(data, off)
+    if len(data) < 2:
+        return starts, ends, at
+    kind = _CLASS[data]
+    latin = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7))
+    kind[latin], kind[latin + 1] = 1, 1
+    cut = np.flatnonzero((kind[:-1] == 1) & (kind[1:] >= 2) | (kind[:-1] == 2) & (kind[1:] == 1)) + 1
+    cut = cut[off[np.searchsorted(off, cut)] != cut]
+    starts = np.sort(np.concatenate([starts, cut]), kind="stable")
+    return starts, np.sort(np.concatenate([ends, cut]), kind="stable"), np.searchsorted(starts, off)
+
+
 class WordEncoder:
-    """Encodes texts by their words with a tokenizer that drops white space; known words come from a cache.
+    """Encodes texts by their pieces with a tokenizer that drops white space; known pieces come from a cache.
 
-    Splitting at ASCII white space leaves the ids as they are when normaliser and splitter of the
-    tokenizer never join across white space, as those of word_bpe_49k don't.
+    Cutting there leaves the ids as they are for a tokenizer like word_bpe_49k, which lower-cases, never
+    joins across white space and splits letters, digits and marks (but 's, 't and the like) before merging.
     """
 
     def __init__(self, path: str):
@@ -135,28 +160,54 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = None
+        if suffix:
+            vocab = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
         self._reset()
 
     def _reset(self) -> None:
         self.known: dict[int, int] = {}
         self.flat, self.starts, self.lengths, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after another, and the number of each.  Words of letters are encoded in one text:
+        each is one unit of the tokenizer, whose last id ends a word."""
+        joined = self.tokenizer.encode(" ".join(words), add_special_tokens=False) if self.ends is not None else None
+        if joined is not None:
+            ids = np.array(joined.ids, np.int64)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(words):
+                return ids, np.diff(stops, prepend=0)
+        found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return np.array([i for x in found for i in x], np.int64), np.array([len(x) for x in found], np.int64)
+
     def _learn(self, hashes: list[int], words: list[str]) -> None:
-        for h, e in zip(hashes, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            i = len(self.known)
-            if i == len(self.starts):
-                self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-            while self.size + len(e.ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.size : self.size + len(e.ids)] = e.ids
-            self.starts[i], self.lengths[i] = self.size, len(e.ids)
-            self.size += len(e.ids)
-            self.known[h] = i
+        plain = [_PLAIN.fullmatch(w) is not None for w in words]
+        order = [i for i, p in enumerate(plain) if p] + [i for i, p in enumerate(plain) if not p]
+        cut, parts = sum(plain), []
+        for i in range(0, cut, 4096):
+            parts.append(self._encoded([words[j] for j in order[i : min(cut, i + 4096)]]))
+        if cut < len(words):
+            found = [e.ids for e in self.tokenizer.encode_batch([words[j] for j in order[cut:]], add_special_tokens=False)]
+            parts.append((np.array([i for x in found for i in x], np.int64), np.array([len(x) for x in found], np.int64)))
+        ids, lengths = (np.concatenate(c) for c in zip(*parts, strict=True))
+        n = len(self.known)
+        while n + len(words) > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        while self.size + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.size : self.size + len(ids)] = ids
+        self.starts[n : n + len(words)], self.lengths[n : n + len(words)] = self.size + np.cumsum(lengths) - lengths, lengths
+        self.size += len(ids)
+        self.known.update(zip((hashes[j] for j in order), range(n, n + len(words)), strict=True))
 
     def encode(self, data: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with end_id after it, and the number of ids of each."""
-        starts, ends, at = word_bounds(data, off)
-        hashes, first, inverse = np.unique(word_hashes(data, starts, ends, lower=False), return_index=True, return_inverse=True)
+        starts, ends, at = piece_bounds(data, off)
+        hashes, first, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.known) + len(hashes) > CACHE_WORDS:
             self._reset()
         keys = hashes.tolist()
@@ -178,6 +229,12 @@ class WordEncoder:
         return ids.astype(np.uint32), np.diff(sums[np.concatenate([[0], stops])])
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_for(path: str) -> WordEncoder:
+    """The encoder of this worker process; its cache serves task after task."""
+    return WordEncoder(path)
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, bits: bool = False) -> DataFrame:
     """Write docs(doc_id, text) in ascending doc_id order; one row per file: shard, path, n_docs, n_tokens.
 
@@ -193,7 +250,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         for batch in batches:
             for row, data, off in text_slices(batch.column(1)):
                 if writer is None:
-                    encoder, writer = WordEncoder(tokenizer_path), PlaneWriter(f"{folder}/{shard:06d}-{uuid.uuid4().hex}.planes", bits)
+                    encoder, writer = encoder_for(tokenizer_path), PlaneWriter(f"{folder}/{shard:06d}-{uuid.uuid4().hex}.planes", bits)
                 ids, lengths = encoder.encode(data, off, end_id)
                 writer.add(batch.column(0).slice(row, len(lengths)).to_pylist(), lengths, ids)
         if writer is not None:
