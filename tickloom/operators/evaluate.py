@@ -198,7 +198,7 @@ def window_diagnostics(df: DataFrame, keys: Sequence[str], flags: Sequence[str],
 
 def concentration(df: DataFrame, day: str, ret: str) -> DataFrame:
     """AGG-30: net, share of the best day and the best five, net without them, sum of the worst five, profitable days."""
-    d = df.groupBy(day).agg(F.sum(ret).alias("s"))
+    d = df.groupBy(day).agg(F.round(F.sum(ret), 9).alias("s"))
     d = d.withColumn("best", F.row_number().over(Window.orderBy(F.desc("s"), day))).withColumn("worst", F.row_number().over(Window.orderBy("s", day)))
     top = lambda c, n: F.sum(F.when(F.col(c) <= n, F.col("s")).otherwise(0.0))
     net = F.sum("s")

@@ -97,8 +97,8 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TRADES = """trades AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, o_orderpriority AS regime, ret, exit_reason, side, bars_held, mfe, mae, o_totalprice AS price, o_custkey AS cust
-  FROM orders JOIN (SELECT l_orderkey, round(avg(round(l_discount - l_tax, 4)), 6) AS ret, max(l_returnflag) AS exit_reason, min(l_linestatus) AS side, max(l_quantity) AS bars_held,
-    round(max(l_discount), 6) AS mfe, round(-max(l_tax), 6) AS mae FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey)"""
+  FROM orders JOIN (SELECT l_orderkey, round(avg(round(l_discount - l_tax, 4)), 6) + 0 AS ret, max(l_returnflag) AS exit_reason, min(l_linestatus) AS side, max(l_quantity) AS bars_held,
+    round(max(l_discount), 6) AS mfe, round(-max(l_tax), 6) + 0 AS mae FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey)"""
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -151,9 +153,15 @@ class RollingFeatures(StatefulProcessor):
 FEATURES_SCHEMA = "instrument string, event_id long, session string, ema double, day_high double, day_low double, vwap double, ret double, bar long"
 
 
+def _stateful(df: DataFrame) -> None:
+    """What stateful Python needs: the RocksDB store, and this module sent by value, as workers may not have it."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def rolling_features(df: DataFrame, span: int = 9) -> DataFrame:
     """A stream of (instrument, session, ts, event_id, price, volume) with running features.  Needs the RocksDB state store."""
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    _stateful(df)
     return df.groupBy("instrument").transformWithStateInPandas(RollingFeatures(span), FEATURES_SCHEMA, "append", "None")
 
 
@@ -185,7 +193,7 @@ class CutoffEnricher(StatefulProcessor):
 
 def cutoff_enriched(df: DataFrame, start: int, cut: int) -> DataFrame:
     """A stream of (instrument, session, ts, event_id, minute, price) with the summary of [start, cut) on rows from cut on."""
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    _stateful(df)
     return df.groupBy("instrument", "session").transformWithStateInPandas(CutoffEnricher(start, cut), "instrument string, session string, event_id long, morning_rows long, morning_change double, morning_range double", "append", "None")
 
 
