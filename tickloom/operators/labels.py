@@ -27,7 +27,7 @@ def triple_barrier(df: DataFrame, keys: Sequence[str], minute: str, horizon: int
     w = Window.partitionBy(*keys).orderBy(minute).rangeBetween(1, horizon)
     bar = F.struct(F.col(minute).alias("m"), F.col(open_).alias("o"), F.col(high).alias("h"), F.col(low).alias("l"), F.col(close).alias("c"))
     df = df.withColumn("_path", F.collect_list(bar).over(w)).withColumn("_t", target).withColumn("_s", stop)
-    first, last = F.get("_path", F.lit(0)), F.element_at("_path", -1)
+    first, last = F.get("_path", F.lit(0)), F.try_element_at("_path", F.lit(-1))
     valid = (F.size("_path") > 0) & F.coalesce((first["m"] == F.col(minute) + 1) & (last["m"] == F.col(minute) + horizon), F.lit(False))
     df = df.withColumn("_ok", valid).withColumn("_e", F.when(valid, first["o"])).withColumn("_last", F.when(valid, last["c"]))
     out = df
@@ -53,7 +53,7 @@ def _side(df: DataFrame, side: str, sign: int, tp: Column, sl: Column, minute: s
     return df.withColumns(
         {
             f"{side}_return": ok(sign * (exit_price / F.col("_e") - 1)), f"{side}_mfe": ok(sign * (best / F.col("_e") - 1)), f"{side}_mae": ok(sign * (worst / F.col("_e") - 1)),
-            f"{side}_offset": ok(F.when(h.isNull(), F.element_at("_path", -1)["m"]).otherwise(h["m"]) - F.col(minute)),
+            f"{side}_offset": ok(F.when(h.isNull(), F.try_element_at("_path", F.lit(-1))["m"]).otherwise(h["m"]) - F.col(minute)),
         }
     ).drop("_hit")
 
@@ -88,7 +88,7 @@ def option_path(entries: DataFrame, quotes: DataFrame, recipes: DataFrame, keys:
     upto = F.when(F.col("_hit").isNotNull(), F.col("_hit.k")).otherwise(F.col("hold"))
     have = F.size(F.filter("_path", lambda p: (p["k"] <= upto) & p["c"].isNotNull()))
     skip = F.when(F.col("atm_strike").isNull(), "no_atm").when(F.col("strike_step").isNull(), "no_step").when(e.isNull() | (e <= 0), "no_entry_quote").when(have < upto, "missing_path")
-    g = g.withColumn("reason_skipped", skip).withColumn("_end", F.coalesce(F.col("_hit"), F.element_at("_path", -1)))
+    g = g.withColumn("reason_skipped", skip).withColumn("_end", F.coalesce(F.col("_hit"), F.try_element_at("_path", F.lit(-1))))
     ok = F.col("reason_skipped").isNull()
     why = F.when(F.col("_hit").isNull(), "max_hold").when(stopped(F.col("_hit")), "stop").otherwise("target")
     return g.select("id", "recipe_id", *keys, minute, "strike", "side", "entry_premium", F.when(ok, F.col("_end.c")).alias("exit_premium"), F.when(ok, F.col("_end.k")).alias("exit_offset"), F.when(ok, why).alias("exit_reason"), F.when(ok, F.col("_end.c") / e - 1).alias("pnl_pct"), "reason_skipped")
