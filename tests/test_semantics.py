@@ -51,11 +51,11 @@ def test_predicates_are_false_on_null(spark):
 
 
 def test_contract_symbols(spark):
-    got = one(spark, S.contract_fields(F.lit("banknifty25JAN2448100CE")))
-    assert (got.underlying, str(got.expiry), got.strike, got.side) == ("BANKNIFTY", "2024-01-25", 48100.0, "CE")
-    got = one(spark, S.contract_fields(F.lit("NIFTY4JUL202422000PE")))
+    got = one(spark, S.contract_fields(F.lit("alpha25JAN2448100CE")))
+    assert (got.underlying, str(got.expiry), got.strike, got.side) == ("ALPHA", "2024-01-25", 48100.0, "CE")
+    got = one(spark, S.contract_fields(F.lit("BETA4JUL202422000PE")))
     assert (str(got.expiry), got.strike) == ("2024-07-04", 22000.0)
-    assert one(spark, S.contract_fields(F.lit("NIFTY24JANFUT"))) is None
+    assert one(spark, S.contract_fields(F.lit("BETA24JANFUT"))) is None
 
 
 def test_option_value_and_implied_volatility(spark):

@@ -451,3 +451,36 @@ def slope(values: ColumnOrName, normal: bool = True) -> Column:
     raw = F.when(n >= 2, (sums["ix"] - mean * sums["x"]) / (n * (n * n - 1) / 12))
     first = F.abs(F.get(v, F.lit(0)))
     return F.when(first > 0, raw / first) if normal else raw
+
+
+# ---------------------------------------------------------------- nested rows
+
+
+def flattened(df: DataFrame, blocks: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """PRJ-7: the fields of struct columns side by side; of fields with one name the last block's counts."""
+    fields = {f.name: F.col(b).getField(f.name) for b in blocks for f in df.schema[b].dataType.fields}
+    return df.select(*(k for k in keep if k not in fields), *(c.alias(n) for n, c in fields.items()))
+
+
+def view(df: DataFrame, fields: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """PRJ-8: named fields, each (path, type); a path that isn't there is null."""
+
+    def there(path: str) -> bool:
+        kind = df.schema
+        for part in path.split("."):
+            if not hasattr(kind, "fieldNames") or part not in kind.fieldNames():
+                return False
+            kind = kind[part].dataType
+        return True
+
+    return df.select(*((F.col(p) if there(p) else F.lit(None)).cast(t).alias(n) for n, (p, t) in fields.items()))
+
+
+def flat_projection(df: DataFrame, columns: Mapping[str, tuple[Sequence[str], Column | None]], types: Mapping[str, str]) -> DataFrame:
+    """PRJ-9: each column from the first of its names that is a column, then from its fallback expression where that is null."""
+    out = []
+    for name, (names, fallback) in columns.items():
+        found = next((F.col(n) for n in names if n in df.columns), None)
+        parts = [c for c in (found, fallback) if c is not None] or [F.lit(None)]
+        out.append(F.coalesce(*parts).cast(types.get(name, "double")).alias(name))
+    return df.select(*out)
