@@ -232,6 +232,7 @@ def inspect(table: DataFrame) -> DataFrame:
     """table(declared, media, other columns stay) with detected (the confirmed type at offset 0, else the declared
     one), corrected (it differs), objects (whole objects embedded further on: type, at, length), media_bytes and
     media_sha256.  A null media has its declared type, no objects and null length and digest."""
+    table = table.drop("detected", "corrected", "objects", "media_bytes", "media_sha256")
     objects = "array<struct<type:string,at:long,length:long>>"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema) + f", detected string, corrected boolean, objects {objects}, media_bytes long, media_sha256 string"
     inner = pa.list_(pa.struct([("type", pa.string()), ("at", pa.int64()), ("length", pa.int64())]))

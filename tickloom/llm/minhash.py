@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, slack: flo
     consecutive words of the ASCII-lower-cased text; a shorter text is one shingle; a null or blank
     text has the empty set, which is linked with nothing.  Returns doc_id, n_shingles, component_id
     (the smallest doc_id reachable), kept (doc_id = component_id; false for a null doc_id).  Rows that
-    repeat a doc_id stay rows and are one node.
+    repeat a doc_id stay rows, each with the component of its own text.
 
     1. Equal sets collapse to their smallest doc_id, so copies cost a row each and no pairs.
     2. Sets that share a band are candidates.  Each is compared with the smallest member of a bucket
@@ -253,7 +253,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, slack: flo
 
 
 def deduplicated(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
-    """One document of each class, with all its columns: the smallest doc_id.  Of rows that repeat a doc_id one
-    stays; rows without a doc_id can't be told apart and stay."""
+    """One document of each class, with all its columns: the smallest doc_id.  Of rows that repeat a kept doc_id the one
+    with the least text stays; rows without a doc_id can't be told apart and stay."""
     kept = near_duplicates(docs, k, threshold).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    place = "_place_" + "_".join(docs.columns)
+    one = docs.join(kept, "doc_id", "left_semi").withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(place) == 1).drop(place)
+    return one.unionByName(docs.where("doc_id is null"))

@@ -15,6 +15,8 @@ from .base import written
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources are one row each on the driver and in every task; more than these raise an error.
 MAX_SOURCES = 100_000
+#: Output shards at most where their number isn't given, and entries of the table of quotas (shards x sources).
+MAX_SHARDS, MAX_QUOTAS = 65_536, 4_000_000
 
 
 def word_count(text: str) -> Column:
@@ -78,7 +80,7 @@ def _draw(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
     return int(min(good, sample, max(sample - bad, 0, round(rng.normal(sample * share, spread)))))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, shards: int = 64, block_docs: int = 256, seed: int = 11) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, shards: int | None = None, block_docs: int = 256, seed: int = 11) -> DataFrame:
     """Draw docs(doc_id, text, source) to their sources' targets (see source_targets).
 
     Returns doc_id, size (words), source, source_size, target, taken (words the mix takes, repeats
@@ -98,8 +100,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     blocks_of = np.array([-(-r.docs // block_docs) for r in rows], np.int64)
+    if shards is None:  # about 64 blocks each; the table of quotas is bounded
+        shards = max(8, min(int(blocks_of.sum()) // 64, MAX_SHARDS, MAX_QUOTAS // max(1, len(rows))))
     ends = np.cumsum(split_quotas(blocks_of, shards, seed), axis=0) if len(rows) else np.zeros((shards, 0), np.int64)
 
+    shared = docs.sparkSession.sparkContext.broadcast(ends)  # at most about MAX_QUOTAS numbers
     known = per.select(F.col("source").alias("s"), "idx", "source_size", "target", F.ceil(F.col("docs") / block_docs).alias("blocks"))
     placed = sizes.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("s"))).drop("s")  # at most MAX_SOURCES rows
     placed = placed.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "h"), F.col("blocks")))
@@ -114,6 +119,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     drawn = placed.select("doc_id", "size", "source", "source_size", "target", (passes * F.col("size") + part).cast("long").alias("taken"), "idx", "rank", F.xxhash64(F.lit(seed + 3), "h").alias("place"))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = shared.value
         for batch in batches:
             idx, rank = (batch.column(n).to_numpy() for n in ("idx", "rank"))
             shard = np.zeros(len(idx), np.int64)
@@ -131,8 +137,8 @@ def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
 
     Rows of one shard lie together in shuffled order.
     """
-    names = docs.columns
-    drawn = mix(docs, **options).select(F.col("doc_id").alias("mix_id"), F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int").alias("mix_times"), F.col("shard").alias("mix_shard"), F.col("place").alias("mix_place"))
-    drawn = drawn.groupBy("mix_id").agg(*(F.max(c).alias(c) for c in ("mix_times", "mix_shard", "mix_place"))).where("mix_times > 0")
-    out = docs.join(drawn, docs["doc_id"] == drawn["mix_id"]).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), "mix_times")))
-    return out.repartition("mix_shard").sortWithinPartitions("mix_shard", F.xxhash64("mix_place", "mix_copy")).select(*names)
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    drawn = mix(docs, **options).select("doc_id", times.alias("times"), "shard", "place").groupBy("doc_id").agg(*(F.max(c).alias(c) for c in ("times", "shard", "place"))).where("times > 0")
+    rows = docs.select(F.col("doc_id").alias("id"), F.struct(*docs.columns).alias("row"))
+    out = rows.join(drawn, rows["id"].eqNullSafe(drawn["doc_id"])).select("row", "shard", "place", F.explode(F.sequence(F.lit(1), "times")).alias("copy"))
+    return out.repartition("shard").sortWithinPartitions("shard", F.xxhash64("place", "copy")).select("row.*")

@@ -53,7 +53,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = fit(docs.where(third("doc_id") != 1))
     named = identify(docs.select("doc_id", "text"), model)
-    return named.select("doc_id", (third("doc_id") == 1).alias("held_out"), "lang_pred", F.col("score"))
+    return named.select("doc_id", F.coalesce(third("doc_id") == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op6_ngram_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
