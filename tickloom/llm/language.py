@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import text_slices, word_bounds, word_hashes, written
+from .base import text_slices, word_hashes, written
+from .tokens import piece_bounds
 
 #: Words that fit the model at most, and n-grams of each length; the model is broadcast.
 MAX_WORDS, MAX_GRAMS, LONGEST = 100_000, 30_000, 5
@@ -22,26 +24,67 @@ CACHE_WORDS = 300_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+Scores = tuple[float, ...]
+
+
 @dataclass
 class Model:
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]  # of lengths LONGEST down to 1
-    floor: np.ndarray
+    words: dict[str, Scores]
+    grams: list[dict[str, Scores]]  # of lengths LONGEST down to 1
+    floor: Scores
     prior: np.ndarray
+    key: str
 
-    def word(self, word: str) -> np.ndarray:
+    def word(self, word: str) -> Scores:
         """Log scores of a word for each language: its own, or those of the longest n-grams known."""
         if (known := self.words.get(word)) is not None:
             return known
         marked = f"_{word}_"
         for table, n in zip(self.grams, range(LONGEST, 0, -1), strict=True):
-            found = [table[g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in table and g != "_"]
+            found = [x for i in range(len(marked) - n + 1) if (x := table.get(marked[i : i + n])) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return tuple(sum(c) / len(found) for c in zip(*found, strict=True))
         return self.floor
 
 
+class Scorer:
+    """Sums of word scores of texts; the scores of words met before are kept for the worker's later tasks."""
+
+    def __init__(self, model: Model):
+        self.model, self.width = model, len(model.langs) + 1
+        self.place: dict[int, int] = {}
+        self.scores = np.zeros((1 << 14, self.width))
+
+    def sums(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """A row per text: a sum for each language and the number of words."""
+        starts, ends, at = piece_bounds(data, off)
+        hashes, first, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.place) + len(hashes) > CACHE_WORDS:
+            self.place.clear()
+        raw, keys = data.tobytes(), hashes.tolist()
+        for i, h in enumerate(keys):
+            if h in self.place:
+                continue
+            k = self.place[h] = len(self.place)
+            if k == len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            found = _LETTERS.findall(raw[starts[first[i]] : ends[first[i]]].decode().lower())
+            if len(found) == 1:
+                self.scores[k] = (*self.model.word(found[0]), 1.0)
+            else:
+                self.scores[k] = 0
+                for w in found:
+                    self.scores[k] += (*self.model.word(w), 1.0)
+        rows = self.scores[np.fromiter((self.place[h] for h in keys), np.int64, len(keys))]
+        n = len(off) - 1
+        owner = np.repeat(np.arange(n), np.diff(at))
+        return np.stack([np.bincount(owner, weights=rows[:, c][inverse], minlength=n) for c in range(self.width)], axis=1)
+
+
+_scorers: dict[str, Scorer] = {}
+
+
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
     """Learn from docs(doc_id, text, lang) with a lang; None if none has one.
 
@@ -61,22 +104,14 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
         return None
     langs = [r.lang for r in by_lang]
     totals = np.array([r.n for r in by_lang], float)
-    at = {x: i for i, x in enumerate(langs)}
-
-    def table(rows: DataFrame, most: int) -> dict[str, np.ndarray]:
-        per = rows.groupBy("g").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by")).where("n > 1")
-        found = per.orderBy(F.desc("n"), "g").limit(most).collect()
-        sums = np.full(len(langs), 1.0)
-        for r in found:
-            for b in r.by:
-                sums[at[b.lang]] += b.n
-        out = {}
-        for r in found:
-            v = np.full(len(langs), 0.5)
-            for b in r.by:
-                v[at[b.lang]] += b.n
-            out[r.g] = np.log(v / (sums + 0.5 * (len(found) + 1)))
-        return out
+
+    def table(rows: DataFrame, most: int) -> dict[str, Scores]:
+        by = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"c{i}") for i, x in enumerate(langs)]
+        per = rows.groupBy("g").agg(F.sum("n").alias("n"), *by).where("n > 1")
+        found = per.orderBy(F.desc("n"), "g").limit(most).toArrow()
+        v = np.stack([found.column(f"c{i}").to_numpy() for i in range(len(langs))], axis=1).astype(float) if len(found) else np.zeros((0, len(langs)))
+        logs = np.log((v + 0.5) / (1 + v.sum(axis=0) + 0.5 * (len(v) + 1)))
+        return dict(zip(found.column("g").to_pylist(), map(tuple, logs.tolist()), strict=True))
 
     words = table(counted.select("lang", F.col("w").alias("g"), "n"), MAX_WORDS)
     marked = F.concat(F.lit("_"), "w", F.lit("_"))
@@ -85,63 +120,44 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
         cut = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(marked) - (n - 1))), lambda i, n=n: F.substring(F.concat(F.lit("_"), F.col("w"), F.lit("_")), i, F.lit(n)))
         rows = counted.select("lang", "n", F.explode(cut).alias("g")).where(F.length("g") == n).groupBy("lang", "g").agg(F.sum("n").alias("n"))
         grams.append(table(rows, MAX_GRAMS))
+    grams[-1].pop("_", None)
     prior = np.log(totals / totals.sum())
-    return Model(langs, words, grams, np.full(len(langs), -np.log(len(langs))), prior)
+    return Model(langs, words, grams, (float(-np.log(len(langs))),) * len(langs), prior, uuid.uuid4().hex)
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs(doc_id, text, other columns stay) with lang_pred and score (0 to 1, the posterior).
+    """docs(text, other columns stay, but for any lang_pred and score) with lang_pred and score (0 to 1, the posterior).
 
     A null text or one without a letter is und with score 0, as is everything without a model.  Words
     count by their letters, lower-cased.  One pass over the rows, whole texts, no shuffle.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    docs = docs.drop("lang_pred", "score")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     text_at = names.index("text")
 
+    key = model.key if model else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        n_langs = len(model.langs) if model else 0
-        place: dict[int, int] = {}
-        scores = np.zeros((1 << 14, n_langs + 1))
+        if key and key not in _scorers:
+            _scorers.clear()
+            _scorers[key] = Scorer(shared.value)
+        scorer = _scorers.get(key)
         for batch in batches:
             preds, certain = [], []
-            column = batch.column(text_at)
-            for _, data, off in text_slices(column):
-                starts, ends, at = word_bounds(data, off)
-                n = len(off) - 1
-                if not model or not len(starts):
-                    preds += ["und"] * n
-                    certain += [0.0] * n
+            for _, data, off in text_slices(batch.column(text_at)):
+                if scorer is None or not len(data):
+                    preds += ["und"] * (len(off) - 1)
+                    certain += [0.0] * (len(off) - 1)
                     continue
-                hashes, first, inverse = np.unique(word_hashes(data, starts, ends, lower=False), return_index=True, return_inverse=True)
-                if len(place) + len(hashes) > CACHE_WORDS:
-                    place.clear()
-                raw = data.tobytes()
-                keys = hashes.tolist()
-                for i, h in enumerate(keys):
-                    if h not in place:
-                        k = place[h] = len(place)
-                        if k == len(scores):
-                            scores = np.concatenate([scores, np.zeros_like(scores)])
-                        found = _LETTERS.findall(raw[starts[first[i]] : ends[first[i]]].decode().lower())
-                        scores[k] = 0
-                        for w in found:
-                            scores[k, :-1] += model.word(w)
-                        scores[k, -1] = len(found)
-                rows = scores[np.fromiter((place[h] for h in keys), np.int64, len(keys))]
-                sums = np.zeros((n, n_langs + 1))
-                owner = np.repeat(np.arange(n), np.diff(at))
-                for c in range(n_langs + 1):
-                    sums[:, c] = np.bincount(owner, weights=rows[:, c][inverse], minlength=n)
-                log = sums[:, :-1] + model.prior
+                sums = scorer.sums(data, off)
+                log = sums[:, :-1] + scorer.model.prior
                 best = log.argmax(axis=1)
                 odds = np.exp(log - log.max(axis=1, keepdims=True))
                 sure = odds.max(axis=1) / odds.sum(axis=1)
                 some = sums[:, -1] > 0
-                preds += [model.langs[b] if s else "und" for b, s in zip(best, some, strict=True)]
+                preds += [scorer.model.langs[b] if s else "und" for b, s in zip(best, some, strict=True)]
                 certain += np.where(some, sure, 0.0).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(certain, pa.float64())], [*names, "lang_pred", "score"])
 
@@ -154,7 +170,7 @@ def third(doc_id: str | Column) -> Column:
 
 
 def accepted(docs: DataFrame, train: DataFrame | None = None, min_score: float = 0.5) -> DataFrame:
-    """The documents with an identified language: not und, and with a posterior of at least min_score."""
-    source = docs if train is None else train
-    out = identify(docs, fit(source))
-    return out.where(F.col("lang_pred") != "und").where(F.col("score") >= min_score).select(*docs.columns)
+    """The documents with an identified language: not und, and with a posterior of at least min_score; all their columns."""
+    model = fit(docs if train is None else train)
+    rows = identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
+    return rows.where(F.col("lang_pred") != "und").where(F.col("score") >= min_score).select("row.*")
