@@ -391,6 +391,15 @@ def test_contamination_edges(spark):
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0 and decontaminate.clean(docs, bench.limit(0)).count() == len(texts)
 
 
+def test_contamination_by_repeated_and_null_item_ids(spark):
+    items = [(0, "the first passage, numbered zero, with words of its own"), (0, "another benchmark counts from zero as well, with this passage"), (None, "a passage whose number was lost on the way here"), (7, "The first passage (numbered zero) with words of its own")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs_of(spark, [*(f"before {t} after" for _, t in items[:3]), f"{items[2][1]} and {items[1][1]}", "clean"])
+    got = {r.doc_id: (r.n_items, r.item_ids, r.min_distance, r.contaminated) for r in decontaminate.contamination(docs, bench).collect()}
+    assert got == {0: (2, [0, 7], 0, True), 1: (1, [0], 0, True), 2: (1, [None], 0, True), 3: (2, [0, None], 0, True), 4: (0, [], None, False)}
+    assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [4]
+
+
 # ---------------------------------------------------------------- queries
 
 

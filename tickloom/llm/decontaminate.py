@@ -57,14 +57,19 @@ def least_distance(pattern: str, text: str) -> int:
 
 
 class Finder:
-    """Finds items within their error budget in normalised texts."""
+    """Finds items within their error budget in normalised texts; an id may stand for several texts, and be null."""
 
-    def __init__(self, items: list[tuple[int, str]], error: float):
+    def __init__(self, items: list[tuple[int | None, str]], error: float):
         import ahocorasick
 
-        self.items = {i: (t, budget(len(t), error)) for i, t in items}
+        ids: dict[str, dict[int | None, None]] = {}
+        for i, t in items:
+            ids.setdefault(t, {})[i] = None
+        #: By place: a distinct text, its budget and the ids that it has.
+        self.items = [(t, budget(len(t), error)) for t in ids]
+        self.ids = [tuple(x) for x in ids.values()]
         found: dict[str, list[tuple[int, int]]] = {}
-        for i, (t, k) in self.items.items():
+        for i, (t, k) in enumerate(self.items):
             for off, piece in pieces(t, k):
                 found.setdefault(piece, []).append((i, off))
         self.automaton = ahocorasick.Automaton()
@@ -72,8 +77,8 @@ class Finder:
             self.automaton.add_word(piece, (len(piece), places))
         self.automaton.make_automaton()
 
-    def find(self, text: str) -> dict[int, int]:
-        """Item -> its least distance, for the items within budget."""
+    def find(self, text: str) -> dict[int | None, int]:
+        """Item id -> the least distance of its texts, for the texts within budget."""
         windows: dict[int, list[list[int]]] = {}
         for end, (size, places) in self.automaton.iter(text):
             for i, off in places:
@@ -85,7 +90,7 @@ class Finder:
                     spans[-1][1] = max(spans[-1][1], hi)
                 elif not spans or [lo, hi] != spans[-1]:
                     spans.append([lo, hi])
-        out = {}
+        out: dict[int | None, int] = {}
         for i, spans in windows.items():
             item, k = self.items[i]
             best = k + 1
@@ -97,7 +102,8 @@ class Finder:
                 if not best:
                     break
             if best <= k:
-                out[i] = best
+                for x in self.ids[i]:
+                    out[x] = min(best, out.get(x, best))
         return out
 
 
@@ -106,12 +112,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, error: float = 0.05) ->
 
     An item is in a document if some part of the document's normalised text is within error * length
     edits of the normalised item: exact for any place, found by the pigeonhole principle, with no cap on
-    candidates.  Null or empty texts and items match nothing (n_items 0, min_distance null).  Items are
+    candidates.  Null or empty texts match nothing (n_items 0, min_distance null).  An id may stand for
+    several texts and counts once; items with a null id count as one id, a null at the end of item_ids.  Items are
     read in blocks of BLOCK_CHARS, each one pass over the documents, so the driver and the tasks hold one
     block; rows stay as they are, repeated ones too.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null").dropDuplicates()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").dropDuplicates()
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
     n_blocks = max(1, -(-int(total) // BLOCK_CHARS))
     out = docs.select("doc_id", "text").withColumn("item_ids", F.array().cast("array<long>")).withColumn("min_distance", F.lit(None).cast("long"))
@@ -128,22 +135,18 @@ def _search(rows: DataFrame, shared: object, error: float) -> DataFrame:
         finder = None
         for batch in batches:
             if finder is None:
-                finder = Finder(_distinct(shared.value), error)
+                finder = Finder(shared.value, error)
             lists, least = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for n, text in enumerate(batch.column(1).to_pylist()):
                 found = finder.find(normal(text)) if text else {}
                 if found:
-                    lists[n] = sorted({*lists[n], *found})
+                    lists[n] = sorted({*lists[n], *found}, key=lambda i: (i is None, i or 0))
                     least[n] = min(x for x in (least[n], *found.values()) if x is not None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int64())), pa.array(least, pa.int64())], batch.schema.names)
 
     return rows.mapInArrow(run, rows.schema)
 
 
-def _distinct(items: list[tuple[int, str]]) -> list[tuple[int, str]]:
-    return list(dict.fromkeys(items))
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, error: float = 0.05) -> DataFrame:
     """The documents without any benchmark item, with all their columns; a row with a null doc_id is judged by its text too."""
     found = contamination(docs.select(F.struct(*docs.columns).alias("doc_id"), "text"), benchmark, error)
