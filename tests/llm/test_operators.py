@@ -294,6 +294,37 @@ def test_pii_trees_add_only_calibrated_spans(spark):
     assert sum(bool(r.spans) for r in got if r.doc_id % 2 == 0) == 0
 
 
+def test_pii_trees_find_planted_forms_that_no_base_pattern_finds(spark):
+    rng = random.Random(12)
+    n = lambda k: "".join(str(rng.randrange(10)) for _ in range(k))
+
+    def card(ok):
+        head = "4" + n(14)
+        total = sum(sum(divmod(int(x) * (2 - i % 2), 10)) for i, x in enumerate(head))
+        d = head + str((-total + (not ok)) % 10)
+        return rng.choice("./").join(d[i : i + 4] for i in range(0, 16, 4))
+
+    planted = {
+        "email": lambda: f"user{n(3)} (at) host{n(1)} (dot) org",
+        "ip": lambda: ":".join(f"{rng.randrange(1 << 12, 1 << 16):x}" for _ in range(8)),
+        "card": lambda: card(True),
+        "phone": lambda: f"555-{n(4)}-{n(3)}",
+    }
+    others = [lambda: f"see you (at) noon{n(2)}", lambda: f"at 12:30:45:{n(2)} sharp", lambda: f"version 1.{n(2)}.{n(1)}", lambda: f"order {n(9)} and {n(3)}"]
+    texts, want = [], []
+    for i in range(1600):
+        kind = list(planted)[i % 4] if i % 8 < 4 else None
+        lead, form = ("phone: " if kind == "phone" else "so "), planted[kind]() if kind else rng.choice(others)()
+        texts.append(f"{lead}{form}. Then more")
+        want.append(f"{kind}:{len(lead)}:{len(lead) + len(form)}" if kind else "")
+    texts += [f"so {card(False)}. Then more" for _ in range(3)]
+    docs = docs_of(spark, texts)
+    trees = pii.fit(docs)
+    assert sorted(trees.thresholds) == sorted(planted)
+    got = {r.doc_id: r.spans for r in pii.digest(docs, trees).collect()}
+    assert not any(base_spans(t) for t in texts) and [got[i] for i in range(len(texts))] == [*want, "", "", ""]
+
+
 # ---------------------------------------------------------------- 8
 
 
