@@ -255,6 +255,31 @@ def test_ngram_scores_equal_brute_force(spark):
     assert empty.train_tokens == 0 and empty.base_score == 0
 
 
+def test_ngram_query_is_the_model_without_a_cut_off(spark, tmp_path):
+    rng = random.Random(18)
+    texts = [" ".join(rng.choice("the cat sat on a mat ran zz".split()) + rng.choice(["", "", "s"]) for _ in range(rng.randrange(1, 25))) for _ in range(90)]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.QUERIES["op6_ngram_lm_score"](spark, str(tmp_path)).collect()}
+    tok = lambda t: [*t.split(), None]
+    learn = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    big = collections.Counter(p for t in learn for p in zip(["<s>", *tok(t)[:-1]], tok(t), strict=True))
+    cont = collections.Counter(w for _, w in big)
+    d2 = [0, *ngram.discounts([sum(v == k for v in big.values()) for k in (1, 2, 3, 4)])]
+    d1 = [0, *ngram.discounts([sum(v == k for v in cont.values()) for k in (1, 2, 3, 4)])]
+    spare = sum(d1[min(x, 3)] for x in cont.values()) / len(big)
+    lower = lambda w: (cont[w] - d1[min(cont[w], 3)]) / len(big) + spare / (len(cont) + 1)
+
+    def prob(a, w):
+        after = [n for (x, _), n in big.items() if x == a]
+        if not after:
+            return lower(w)
+        return (big[a, w] - d2[min(big[a, w], 3)] + sum(d2[min(n, 3)] for n in after) * lower(w)) / sum(after)
+
+    assert 1 in big.values()
+    for i, t in enumerate(texts):
+        assert got[i].score == pytest.approx(sum(math.log10(prob(a, b)) for a, b in zip(["<s>", *tok(t)[:-1]], tok(t), strict=True)))
+
+
 # ---------------------------------------------------------------- 7
 
 

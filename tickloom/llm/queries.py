@@ -63,7 +63,7 @@ def op6_ngram_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _read(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
-    scored = score(docs, train(docs.where(~held_out)))
+    scored = score(docs, train(docs.where(~held_out), keep=1))
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
