@@ -406,6 +406,14 @@ def test_html_density_without_article_element():
     assert html.main_text("<" * 3000) is not None and html.main_text('<a href="' * 500) is not None
 
 
+@pytest.mark.parametrize("attributes", ['class="content no-sidebar"', 'id="page-with-sidebar"', 'class="post has-comments"', 'class="search-result-body"', 'class="widget"'])
+def test_html_marks_do_not_drop_the_article(attributes):
+    body = "".join(f"<p>{'words of the story and more ' * 8}{i}</p>" for i in range(4))
+    rest = '<div class="site-header"><p>Top words</p></div><div id="sidebar-1"><p>Side words</p></div><div class="related"><p>Other words</p></div>'
+    want = html.main_text(f"<body><div>{body}</div></body>")
+    assert want.count("\n") == 3 and html.main_text(f"<body>{rest}<div {attributes}>{body}</div></body>") == want
+
+
 # ---------------------------------------------------------------- 10
 
 

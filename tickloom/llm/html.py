@@ -20,37 +20,61 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements, and words of class, id and role, that aren't part of an article.
+#: Elements, and whole or last words of a class, id or role, that aren't part of an article; a token with a word of NOT_MARKS says nothing of its element.
 DROPPED = frozenset("nav header footer aside form button select dialog menu svg canvas object audio video map head".split())
 DROPPED_MARKS = frozenset(
     "ad ads adv advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay "
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar header masthead footer comment comments disqus replies related recommended share "
     "sharing social newsletter subscribe subscription widget contentinfo complementary search".split()
 )
+NOT_MARKS = frozenset("no not has have with without".split())
 #: What a start tag closes if it is open: innermost of these first, up to the bound.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _INSIDE_P = frozenset("option td th caption".split())
 
 
 class Node:
-    __slots__ = ("chars", "density", "items", "link_chars", "link_tags", "parent", "sum", "tag", "tags")
+    __slots__ = ("chars", "density", "items", "link_chars", "link_tags", "marked", "parent", "sum", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.items = tag, parent, []
+        self.tag, self.parent, self.items, self.marked = tag, parent, [], False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-def _dropped(tag: str, attributes: str) -> bool:
+def _mark(token: str) -> bool:
+    words = [w for w in _SPLIT.split(token) if w]
+    return bool(words) and words[-1] in DROPPED_MARKS and NOT_MARKS.isdisjoint(words)
+
+
+def _dropped(tag: str, attributes: str) -> bool | None:
+    """Whether an element goes; None if by its marks only."""
     if tag in DROPPED:
         return True
+    marked = False
     for name, value in _MARKS.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if name != "hidden" and tag not in ("html", "body", "article", "main") and not DROPPED_MARKS.isdisjoint(_SPLIT.split(value)):
-            return True
-    return False
+        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and any(map(_mark, value.split())):
+            marked = True
+    return None if marked else False
+
+
+def _unmark(root: Node) -> None:
+    """Take marked elements out, but not one with most of the page's text outside links, unless the page has an unmarked article or main element around or beside it."""
+    order = _order(root)
+    if not any(n.marked for n in order):
+        return
+    plain: dict[int, int] = {}
+    bodies: dict[int, bool] = {}  # whether a subtree has such an element with text
+    for node in reversed(order):
+        below = [x for x in node.items if isinstance(x, Node)]
+        own = sum(len(x.strip()) for x in node.items if isinstance(x, str)) + sum(plain[id(x)] for x in below)
+        plain[id(node)] = 0 if node.tag == "a" else own
+        bodies[id(node)] = not node.marked and (any(bodies[id(x)] for x in below) or node.tag in ("article", "main") and own > 0)
+    for node in order:
+        node.items = [x for x in node.items if isinstance(x, str) or not x.marked or 2 * plain[id(x)] > plain[id(root)] and not bodies[id(root)]]
 
 
 def parse(page: str) -> Node:
@@ -113,11 +137,14 @@ def parse(page: str) -> Node:
             found = re.compile(rf"</{tag}\s*+>", re.I).search(page, at)
             at = found.end() if found else end
             continue
-        node = None if parent is None or _dropped(tag, attributes) else Node(tag, parent)
+        dropped = parent is None or _dropped(tag, attributes)
+        node = None if dropped else Node(tag, parent)
         if node is not None:
+            node.marked = dropped is None
             parent.items.append(node)
         if tag not in VOID and not attributes.endswith("/"):
             stack.append((tag, node))
+    _unmark(root)
     return root
 
 
