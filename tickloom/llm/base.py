@@ -5,14 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Hashable
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch; texts of 100,000 characters still make batches of some tens of MB.
-ARROW_ROWS = 512
+#: Rows and bytes of an Arrow batch at most (a longer text makes a batch of its own).
+ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 
 _own_root: dict[str, str] = {}
 
@@ -21,8 +22,15 @@ _shipped: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches that Python tasks hold in memory, and send this package to the executors."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bound the Arrow batches that Python tasks hold in memory, and send this package to the executors.
+
+    Lowers the two batch settings of the session where they are higher; nothing else of it changes.
+    """
+    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         top = Path(__file__).resolve().parents[1]
@@ -36,14 +44,29 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one if unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one if unset and Spark runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         root = _own_root.setdefault(app, f"file://{tempfile.mkdtemp(prefix='spark-')}")
     return root.rstrip("/")
 
 
+_held: dict[str, tuple[Hashable, object]] = {}
+
+
+def held(kind: str, key: Hashable, make: Callable[[], object]) -> object:
+    """What a worker process keeps from task to task: one object at a time, so an operator's next task finds its
+    own and another operator's first task lets it go."""
+    if kind not in _held or _held[kind][0] != key:
+        _held.clear()
+        _held[kind] = key, make()
+    return _held[kind][1]
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared root; nothing is created yet."""
     return f"{shared_root(spark)}/tickloom/{name}-{uuid.uuid4().hex}"
@@ -70,6 +93,8 @@ _LOWER[65:91] += 32
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
+#: Bytes that one table of powers covers; only a longer word needs a longer table, which isn't kept.
+CHUNK = 1 << 19
 _powers: list[np.ndarray] = []
 
 
@@ -80,19 +105,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 21)
-        tables = []
-        for base in (_P, _P_INV):
-            t = np.full(size, base, dtype=U64)
-            t[0] = 1
-            tables.append(np.multiply.accumulate(t))
+def _power_tables(n: int) -> list[np.ndarray]:
+    if n <= CHUNK + 1 and _powers:
+        return _powers
+    tables = []
+    for base in (_P, _P_INV):
+        t = np.full(max(n, CHUNK + 1), base, dtype=U64)
+        t[0] = 1
+        tables.append(np.multiply.accumulate(t))
+    if n <= CHUNK + 1:
         _powers[:] = tables
-    return _powers[0], _powers[1]
+    return tables
 
 
-def text_slices(column: pa.Array, max_bytes: int = 1 << 20):
+def text_slices(column: pa.Array, max_bytes: int = 1 << 19):
     """Yield (first row, data bytes, offsets) of a string array in pieces of about max_bytes; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -131,14 +157,20 @@ def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hashes of the byte ranges; with lower, A-Z count as a-z."""
-    if not len(starts):
-        return np.zeros(0, U64)
-    up, down = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(((_LOWER[data] if lower else data).astype(U64) + U64(1)) * up[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mix64(h + (ends - starts).astype(U64) * _K3)
+    """64-bit hashes of ascending byte ranges that don't overlap; with lower, A-Z count as a-z."""
+    out = np.empty(len(starts), U64)
+    i = 0
+    while i < len(starts):
+        lo = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, lo + CHUNK, side="right")))
+        piece = data[lo : ends[j - 1]]
+        up, down = _power_tables(len(piece) + 1)
+        sums = np.zeros(len(piece) + 1, U64)
+        np.cumsum(((_LOWER[piece] if lower else piece).astype(U64) + U64(1)) * up[: len(piece)], out=sums[1:])
+        h = (sums[ends[i:j] - lo] - sums[starts[i:j] - lo]) * down[starts[i:j] - lo]
+        out[i:j] = mix64(h + (ends[i:j] - starts[i:j]).astype(U64) * _K3)
+        i = j
+    return out
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:

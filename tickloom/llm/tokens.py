@@ -7,7 +7,6 @@ and plane lengths of each block) and the documents (doc_id, number of ids), then
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import struct
@@ -22,14 +21,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import fresh_path, text_slices, word_bounds, word_hashes, written
+from .base import fresh_path, held, text_slices, word_bounds, word_hashes, written
 from .files import Input, Output
 
 MAGIC = b"TLPLANE1"
 BLOCK_IDS = 1 << 16
 NULL_ID = -(1 << 63)
 _PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-CACHE_WORDS = 300_000
+#: Pieces whose ids a worker keeps: some 10 MB.
+CACHE_WORDS = 150_000
 
 
 def to_planes(ids: np.ndarray, bits: bool = False) -> list[bytes]:
@@ -169,8 +169,9 @@ class WordEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat, self.starts, self.lengths, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        """No piece is known: ascending hashes, the place of each, and by place its first id and number of ids."""
+        self.keys, self.place, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int32), 0
+        self.flat, self.starts, self.lengths, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32), 0
 
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words one after another, and the number of each.  Words of letters are encoded in one text:
@@ -184,7 +185,8 @@ class WordEncoder:
         found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
         return np.array([i for x in found for i in x], np.int64), np.array([len(x) for x in found], np.int64)
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """Keep the ids of new words; their places."""
         plain = [_PLAIN.fullmatch(w) is not None for w in words]
         order = [i for i, p in enumerate(plain) if p] + [i for i, p in enumerate(plain) if not p]
         cut, parts = sum(plain), []
@@ -194,7 +196,7 @@ class WordEncoder:
             found = [e.ids for e in self.tokenizer.encode_batch([words[j] for j in order[cut:]], add_special_tokens=False)]
             parts.append((np.array([i for x in found for i in x], np.int64), np.array([len(x) for x in found], np.int64)))
         ids, lengths = (np.concatenate(c) for c in zip(*parts, strict=True))
-        n = len(self.known)
+        n = self.n
         while n + len(words) > len(self.starts):
             self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
         while self.size + len(ids) > len(self.flat):
@@ -202,37 +204,43 @@ class WordEncoder:
         self.flat[self.size : self.size + len(ids)] = ids
         self.starts[n : n + len(words)], self.lengths[n : n + len(words)] = self.size + np.cumsum(lengths) - lengths, lengths
         self.size += len(ids)
-        self.known.update(zip((hashes[j] for j in order), range(n, n + len(words)), strict=True))
+        self.n += len(words)
+        places = np.empty(len(words), np.int32)
+        places[order] = np.arange(n, self.n)
+        return places
 
     def encode(self, data: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with end_id after it, and the number of ids of each."""
-        starts, ends, at = piece_bounds(data, off)
+        starts, ends, stop = piece_bounds(data, off)
         hashes, first, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) + len(hashes) > CACHE_WORDS:
+        if self.n + len(hashes) > CACHE_WORDS:
             self._reset()
-        keys = hashes.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.known]
-        if new:
+        at = np.searchsorted(self.keys, hashes)
+        new = np.ones(len(hashes), bool)
+        if len(self.keys):
+            new = self.keys[np.minimum(at, len(self.keys) - 1)] != hashes
+        if new.any():
             raw = data.tobytes()
-            self._learn([keys[i] for i in new], [raw[starts[first[i]] : ends[first[i]]].decode() for i in new])
-        place = np.fromiter((self.known[h] for h in keys), np.int64, len(keys))
+            places = self._learn([raw[starts[i] : ends[i]].decode() for i in first[new].tolist()])
+            self.keys, self.place = np.insert(self.keys, at[new], hashes[new]), np.insert(self.place, at[new], places)
+            at = np.searchsorted(self.keys, hashes)
+        place = self.place[at]
         word = place[inverse]
         # the end ids stand after the words of each text
-        count = np.insert(self.lengths[word], at[1:], 1)
-        source = np.insert(self.starts[word], at[1:], -1)
+        count = np.insert(self.lengths[word].astype(np.int64), stop[1:], 1)
+        source = np.insert(self.starts[word].astype(np.int64), stop[1:], -1)
         begin = np.cumsum(count) - count
         where = np.repeat(source - begin, count) + np.arange(count.sum())
         is_end = np.repeat(source, count) < 0
         ids = np.where(is_end, np.uint32(end_id), self.flat[np.where(is_end, 0, where)])
         sums = np.concatenate([[0], np.cumsum(count)])
-        stops = at[1:] + np.arange(1, len(at))
+        stops = stop[1:] + np.arange(1, len(stop))
         return ids.astype(np.uint32), np.diff(sums[np.concatenate([[0], stops])])
 
 
-@functools.lru_cache(maxsize=1)
 def encoder_for(path: str) -> WordEncoder:
     """The encoder of this worker process; its cache serves task after task."""
-    return WordEncoder(path)
+    return held("tokens", path, lambda: WordEncoder(path))
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, bits: bool = False) -> DataFrame:
