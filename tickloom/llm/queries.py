@@ -42,7 +42,7 @@ def op3_token_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shard", "place")
+    return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "draws.shard")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
