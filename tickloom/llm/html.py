@@ -16,6 +16,7 @@ _SPLIT = re.compile(r"[^a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes".split())
+_RAW_END = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in RAW}
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -28,8 +29,10 @@ DROPPED_MARKS = frozenset(
     "sharing social newsletter subscribe subscription widget contentinfo complementary search".split()
 )
 NOT_MARKS = frozenset("no not has have with without".split())
-#: What a start tag closes if it is open: innermost of these first, up to the bound.
-_ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: What a start tag closes if it is open: the innermost of these, unless a bound is opened after it.
+_ENDS = (("p", "td th button object"), ("li", "ul ol menu"), ("dt dd", "dl"), ("tr", "table"), ("td th", "tr table"), ("option", "select"))
+_GROUP = {tag: g for g, (tags, _) in enumerate(_ENDS) for tag in tags.split() if g}
+_OPENED = {tag: [(g, tag in tags.split()) for g, (tags, bounds) in enumerate(_ENDS) if tag in f"{tags} {bounds}".split()] for tags, bounds in _ENDS for tag in f"{tags} {bounds}".split()}
 _INSIDE_P = frozenset("option td th caption".split())
 
 
@@ -77,24 +80,64 @@ def _unmark(root: Node) -> None:
         node.items = [x for x in node.items if isinstance(x, str) or not x.marked or 2 * plain[id(x)] > plain[id(root)] and not bodies[id(root)]]
 
 
+class _Open:
+    """The open elements.  Every entry knows the innermost open element of each group of _ENDS (or none) and the
+    innermost block, so that a tag is placed without a look through the stack."""
+
+    def __init__(self, root: Node):
+        self.nodes: list[Node | None] = [root]  # no node: in a dropped element
+        self.tags = ["html"]
+        self.ends: list[tuple[int, ...]] = [(-1,) * len(_ENDS)]
+        self.block = [0]
+        self.places: dict[str, list[int]] = {"html": [0]}
+
+    def push(self, tag: str, node: Node | None) -> None:
+        at, ends = len(self.tags), self.ends[-1]
+        if tag in _OPENED:
+            now = list(ends)
+            for g, is_end in _OPENED[tag]:
+                now[g] = at if is_end else -1
+            ends = tuple(now)
+        self.nodes.append(node)
+        self.tags.append(tag)
+        self.ends.append(ends)
+        self.block.append(at if tag in BLOCKS and tag != "p" else self.block[-1])
+        self.places.setdefault(tag, []).append(at)
+
+    def close(self, to: int) -> None:
+        while len(self.tags) > max(1, to):
+            self.places[self.tags.pop()].pop()
+            self.nodes.pop()
+            self.ends.pop()
+            self.block.pop()
+
+    def end(self, tag: str) -> None:
+        """An end tag closes its innermost element; one that makes no block doesn't reach out of a block."""
+        at = self.places.get(tag)
+        if at and at[-1] > 0 and (tag in BLOCKS or at[-1] > self.block[-1]):
+            self.close(at[-1])
+
+    def before(self, tag: str) -> None:
+        """What a start tag closes."""
+        if tag in BLOCKS and tag not in _INSIDE_P and self.ends[-1][0] > 0:
+            self.close(self.ends[-1][0])
+        if tag in _GROUP and (at := self.ends[-1][_GROUP[tag]]) > 0:
+            self.close(at)
+
+
 def parse(page: str) -> Node:
-    """A tree of the kept elements; dropped elements and raw text are read over."""
+    """A tree of the kept elements; dropped elements and raw text are read over.  Takes linear time for any markup."""
     root = Node("html", None)
-    stack: list[tuple[str, Node | None]] = [("html", root)]  # no node: in a dropped element
-    at, end = 0, len(page)
+    stack = _Open(root)
+    at, end = 0, page.rfind(">") + 1  # what stands after the last > is text
 
     def text(piece: str) -> None:
-        if piece and stack[-1][1] is not None:
-            stack[-1][1].items.append(piece)
-
-    def close(to: int) -> None:
-        del stack[max(1, to) :]
+        if piece and stack.nodes[-1] is not None:
+            stack.nodes[-1].items.append(piece)
 
     while at < end:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at, end)
         if m is None:
-            tail = page[at:]
-            text(tail)
             break
         text(page[at : m.start()])
         at = m.end()
@@ -103,39 +146,17 @@ def parse(page: str) -> Node:
             continue
         tag = name.lower()
         if slash:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if tag not in BLOCKS and stack[i][0] in BLOCKS and stack[i][0] != "p":
-                    break
+            stack.end(tag)
             continue
         if tag in ("html", "body"):
-            if tag == "body":
-                for i in range(1, len(stack)):
-                    if stack[i][0] == "head":
-                        close(i)
-                        break
+            if tag == "body" and stack.places.get("head"):
+                stack.close(stack.places["head"][0])
             continue
-        if tag in BLOCKS and tag not in _INSIDE_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in ("td", "th", "button", "object"):
-                    break
-        if tag in _ENDS:
-            ends, bound = _ENDS[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in ends:
-                    close(i)
-                    break
-                if stack[i][0] in bound:
-                    break
-        parent = stack[-1][1]
+        stack.before(tag)
+        parent = stack.nodes[-1]
         if tag in RAW:
-            found = re.compile(rf"</{tag}\s*+>", re.I).search(page, at)
-            at = found.end() if found else end
+            found = _RAW_END[tag].search(page, at)
+            at = found.end() if found else len(page)
             continue
         dropped = parent is None or _dropped(tag, attributes)
         node = None if dropped else Node(tag, parent)
@@ -143,13 +164,18 @@ def parse(page: str) -> Node:
             node.marked = dropped is None
             parent.items.append(node)
         if tag not in VOID and not attributes.endswith("/"):
-            stack.append((tag, node))
+            stack.push(tag, node)
+    text(page[at:])
     _unmark(root)
     return root
 
 
 def weigh(root: Node) -> list[Node]:
-    """Fill in counts, densities and density sums; nodes in page order."""
+    """Fill in counts, densities and density sums; nodes in page order.
+
+    Elements that make no block (b, span, br ...) count as tags and their text as their block's, but are no
+    parts of the layout: a sum goes over the nearest blocks below, and no such element is chosen.
+    """
     order = _order(root)
     for node in reversed(order):
         for x in node.items:
@@ -166,56 +192,47 @@ def weigh(root: Node) -> list[Node]:
     for node in reversed(order):
         if node.chars:
             tags, link_chars = max(1, node.tags), max(1, node.link_chars)
-            # one more than the published base, which is undefined on a page without links
+            # one more than the published base, which is 1 or nearly so for a node without links on a page with few: its logarithm then is no divisor
             base = 1 + math.log(node.chars / max(1, node.chars - node.link_chars) * node.link_chars + share * node.chars + math.e)
             adjusted = node.chars / link_chars * tags / max(1, node.link_tags)
             node.density = node.chars / tags * math.log(max(1.0, adjusted)) / math.log(base)
-        node.sum = sum(x.density for x in node.items if isinstance(x, Node))
+        node.sum = sum(x.density if x.tag in BLOCKS else x.sum for x in node.items if isinstance(x, Node))
     return order
 
 
+def _largest(nodes: list[Node]) -> Node:
+    """The block of the largest density sum, the innermost if equal; of the largest density if no sum is above 0."""
+    nodes = [n for n in nodes if n.tag in BLOCKS]
+    best = nodes[0]
+    for n in nodes[1:]:
+        if (n.sum, n.density if not best.sum else 0) >= (best.sum, best.density if not best.sum else 0):
+            best = n
+    return best
+
+
 def content(root: Node) -> list[Node]:
     """Roots of the main text, in page order.
 
     The subtree of the largest density sum, and of whatever hangs on its path to the body and is as
-    dense as the sparsest node of that path, its subtree of the largest sum.  A root inside an article
-    or main element stands for the whole of it.
+    dense as the sparsest node of that path, its subtree of the largest sum (or itself, if that is no more
+    than its own density).
     """
     order = weigh(root)
     if not root.chars:
         return []
-    best = max(order, key=lambda n: n.sum)
-    if not best.sum:
-        best = max(order, key=lambda n: n.density)
+    best = _largest(order)
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
+    path = [n for n in path if n.tag in BLOCKS]
     least = min(n.density for n in path)
-    on_path, chosen = set(map(id, path)), [best]
+    on_path, keep = set(map(id, path)), {id(best)}
     for up in path[1:]:
         for x in up.items:
-            if isinstance(x, Node) and id(x) not in on_path and x.chars and x.density >= least:
-                below = _order(x)
-                top = max(below, key=lambda n: n.sum)
-                chosen.append(top if top.sum > x.density else x)
-    whole = []
-    for node in chosen:
-        up, found = node, {}
-        while up is not None:
-            if up.tag in ("article", "main"):
-                found.setdefault(up.tag, up)
-            up = up.parent
-        whole.append(found.get("article") or found.get("main") or node)
-    keep = {id(n) for n in whole}
-    out = []
-    for node in order:
-        up = node.parent
-        if id(node) in keep:
-            while up is not None and id(up) not in keep:
-                up = up.parent
-            if up is None:
-                out.append(node)
-    return out
+            if isinstance(x, Node) and x.tag in BLOCKS and id(x) not in on_path and x.chars and x.density >= least:
+                top = _largest(_order(x))
+                keep.add(id(top if top.sum > x.density else x))
+    return [n for n in order if id(n) in keep]
 
 
 def _order(top: Node) -> list[Node]:
