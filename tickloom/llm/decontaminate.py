@@ -3,24 +3,29 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of test items in one automaton; more items are searched in further passes over the rows.
-BLOCK_CHARS = 16_000_000
+from .base import held
+
+#: Characters of test items in one automaton, some 60 MB in each worker; more items are searched in further passes over the rows.
+BLOCK_CHARS = 1_000_000
 _APART = re.compile(r"[\W_]+")
 
 
 def normal(text: str | None) -> str:
-    """Lower case, everything but letters and digits to single spaces."""
-    return _APART.sub(" ", text.lower()).strip() if text else ""
+    """Lower case, everything but letters and digits to single spaces, with one before and after; empty without any."""
+    words = _APART.sub(" ", text.lower()).strip() if text else ""
+    return f" {words} " if words else ""
 
 
-def budget(length: int, error: float) -> int:
-    return int(length * error)
+def budget(item: str, error: float) -> int:
+    """Edits allowed for a normalised item: a share of its characters without the spaces around it."""
+    return int((len(item) - 2) * error)
 
 
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
@@ -66,7 +71,7 @@ class Finder:
         for i, t in items:
             ids.setdefault(t, {})[i] = None
         #: By place: a distinct text, its budget and the ids that it has.
-        self.items = [(t, budget(len(t), error)) for t in ids]
+        self.items = [(t, budget(t, error)) for t in ids]
         self.ids = [tuple(x) for x in ids.values()]
         found: dict[str, list[tuple[int, int]]] = {}
         for i, (t, k) in enumerate(self.items):
@@ -111,11 +116,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, error: float = 0.05) ->
     """docs(doc_id, text) against benchmark(item_id, text): doc_id, n_items, item_ids, min_distance, contaminated.
 
     An item is in a document if some part of the document's normalised text is within error * length
-    edits of the normalised item: exact for any place, found by the pigeonhole principle, with no cap on
-    candidates.  Null or empty texts match nothing (n_items 0, min_distance null).  An id may stand for
+    edits of the normalised item, both with the spaces around their words, so a short item isn't found
+    inside a longer word: exact for any place, found by the pigeonhole principle, with no cap on candidates.  Null or empty texts match nothing (n_items 0, min_distance null).  An id may stand for
     several texts and counts once; items with a null id count as one id, a null at the end of item_ids.  Items are
-    read in blocks of BLOCK_CHARS, each one pass over the documents, so the driver and the tasks hold one
-    block; rows stay as they are, repeated ones too.
+    read in blocks of about BLOCK_CHARS, each one pass over the documents, so the driver and the tasks hold one
+    block, which is what is broadcast; rows stay as they are, repeated ones too.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").dropDuplicates()
@@ -131,11 +136,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, error: float = 0.05) ->
 
 
 def _search(rows: DataFrame, shared: object, error: float) -> DataFrame:
+    key = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = None
+        finder = held("decontaminate", key, lambda: Finder(shared.value, error))
         for batch in batches:
-            if finder is None:
-                finder = Finder(shared.value, error)
             lists, least = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for n, text in enumerate(batch.column(1).to_pylist()):
                 found = finder.find(normal(text)) if text else {}
