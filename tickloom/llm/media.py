@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,42 @@ DECLARED = "application/octet-stream"
 # ---------------------------------------------------------------- validators: length of a whole object at an offset, or None
 
 
-def riff(data: bytes, at: int) -> int | None:
+class Marks:
+    """What validators of one media object share, so that each part of it is looked through once, however many
+    signatures it has."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.walked: dict[tuple[int, bool | None], int | None] = {}  # JPEG: place and whether a scan was met -> end; None: start of a scan -> the mark after it
+
+    def _places(self, magic: bytes) -> list[int]:
+        out, at = [], self.data.find(magic)
+        while at >= 0:
+            out.append(at)
+            at = self.data.find(magic, at + 1)
+        return out
+
+    @cached_property
+    def eofs(self) -> list[int]:
+        return self._places(b"%%EOF")
+
+    @cached_property
+    def xrefs(self) -> list[int]:
+        return self._places(b"startxref")
+
+    @cached_property
+    def archives(self) -> dict[int, int]:
+        """Start of a ZIP archive by its end records -> its first end."""
+        out: dict[int, int] = {}
+        for end in self._places(b"PK\x05\x06"):
+            if end + 22 <= len(self.data):
+                size, start, note = struct.unpack_from("<IIH", self.data, end + 12)
+                if end + 22 + note <= len(self.data):
+                    out.setdefault(end - start - size, end + 22 + note)
+        return out
+
+
+def riff(data: bytes, at: int, marks: Marks) -> int | None:
     """RIFF of any form: the chunks must fill the stated size; wav needs fmt and data."""
     if len(data) < at + 12:
         return None
@@ -39,11 +76,11 @@ def riff(data: bytes, at: int) -> int | None:
     return size if data[at + 8 : at + 12] != b"WAVE" or {b"fmt ", b"data"} <= seen else None
 
 
-def png(data: bytes, at: int) -> int | None:
+def png(data: bytes, at: int, marks: Marks) -> int | None:
     pos, first = at + 8, True
     while pos + 12 <= len(data):
         n, kind = struct.unpack_from(">I4s", data, pos)
-        if pos + 12 + n > len(data) or first and kind != b"IHDR":
+        if pos + 12 + n > len(data) or first and (kind != b"IHDR" or n != 13):
             return None
         if zlib.crc32(data[pos + 4 : pos + 8 + n]) != struct.unpack_from(">I", data, pos + 8 + n)[0]:
             return None
@@ -53,7 +90,7 @@ def png(data: bytes, at: int) -> int | None:
     return None
 
 
-def gif(data: bytes, at: int) -> int | None:
+def gif(data: bytes, at: int, marks: Marks) -> int | None:
     if len(data) < at + 13:
         return None
     pos, flags = at + 13, data[at + 10]
@@ -75,34 +112,35 @@ def gif(data: bytes, at: int) -> int | None:
     return None
 
 
-def jpeg(data: bytes, at: int) -> int | None:
-    pos, scanned = at + 2, False
-    while pos + 2 <= len(data):
-        if data[pos] != 0xFF:
-            return None
+def jpeg(data: bytes, at: int, marks: Marks) -> int | None:
+    """Segments up to the end mark after a scan; a walk that meets an earlier one's place has its end."""
+    pos, scanned, path, end = at + 2, False, [], None
+    while pos + 2 <= len(data) and data[pos] == 0xFF:
+        if (pos, scanned) in marks.walked:
+            end = marks.walked[pos, scanned]
+            break
+        path.append((pos, scanned))
         mark = data[pos + 1]
         if mark == 0xD9:
-            return pos + 2 - at if scanned else None
-        if pos + 4 > len(data):
-            return None
-        n = struct.unpack_from(">H", data, pos + 2)[0]
-        if n < 2:
-            return None
+            end = pos + 2 if scanned else None
+            break
+        if pos + 4 > len(data) or (n := struct.unpack_from(">H", data, pos + 2)[0]) < 2:
+            break
         pos += 2 + n
         if mark == 0xDA:
             scanned = True
-            while True:
-                pos = data.find(b"\xff", pos)
-                if pos < 0 or pos + 1 >= len(data):
-                    return None
-                if data[pos + 1] == 0 or 0xD0 <= data[pos + 1] <= 0xD7:
-                    pos += 2
-                    continue
-                break
-    return None
-
-
-def bmp(data: bytes, at: int) -> int | None:
+            if (pos, None) in marks.walked:
+                pos = marks.walked[pos, None]
+            else:
+                began, pos = pos, data.find(b"\xff", pos)
+                while 0 <= pos < len(data) - 1 and (data[pos + 1] == 0 or 0xD0 <= data[pos + 1] <= 0xD7):
+                    pos = data.find(b"\xff", pos + 2)
+                pos = marks.walked[began, None] = pos if 0 <= pos < len(data) - 1 else len(data)
+    marks.walked.update(dict.fromkeys(path, end))
+    return end and end - at
+
+
+def bmp(data: bytes, at: int, marks: Marks) -> int | None:
     if len(data) < at + 54:
         return None
     size, zero, start, head, _, _, planes, bits = struct.unpack_from("<IIIIiiHH", data, at + 2)
@@ -110,7 +148,7 @@ def bmp(data: bytes, at: int) -> int | None:
     return size if good and at + size <= len(data) else None
 
 
-def gzip(data: bytes, at: int) -> int | None:
+def gzip(data: bytes, at: int, marks: Marks) -> int | None:
     unpack = zlib.decompressobj(31)
     pos = at
     try:
@@ -124,24 +162,22 @@ def gzip(data: bytes, at: int) -> int | None:
     return min(pos, len(data)) - len(unpack.unused_data) - at if unpack.eof else None
 
 
-def pdf(data: bytes, at: int) -> int | None:
-    end = data.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and data.rfind(b"startxref", at, end) >= 0 else None
+def pdf(data: bytes, at: int, marks: Marks) -> int | None:
+    i = bisect_left(marks.eofs, at)
+    if i == len(marks.eofs):
+        return None
+    j = bisect_left(marks.xrefs, at)
+    return marks.eofs[i] + 5 - at if j < len(marks.xrefs) and marks.xrefs[j] < marks.eofs[i] else None
 
 
-def zipped(data: bytes, at: int) -> int | None:
+def zipped(data: bytes, at: int, marks: Marks) -> int | None:
     if len(data) < at + 30 or struct.unpack_from("<H", data, at + 8)[0] not in (0, 8, 9, 12, 14, 93, 95):
         return None
-    end = data.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(data):
-        size, start, note = struct.unpack_from("<IIH", data, end + 12)
-        if at + start + size == end and end + 22 + note <= len(data):
-            return end + 22 + note - at
-        end = data.find(b"PK\x05\x06", end + 4)
-    return None
+    end = marks.archives.get(at)
+    return end and end - at
 
 
-def ogg(data: bytes, at: int) -> int | None:
+def ogg(data: bytes, at: int, marks: Marks) -> int | None:
     pos = at
     while data[pos : pos + 4] == b"OggS" and pos + 27 <= len(data):
         flags, n = data[pos + 5], data[pos + 26]
@@ -155,7 +191,7 @@ def ogg(data: bytes, at: int) -> int | None:
 
 
 #: Magic bytes -> (type, validator); fixed values of the formats.
-SIGNATURES: dict[bytes, tuple[str, Callable[[bytes, int], int | None]]] = {
+SIGNATURES: dict[bytes, tuple[str, Callable[[bytes, int, Marks], int | None]]] = {
     b"RIFF": ("audio/wav", riff),
     b"\x89PNG\r\n\x1a\n": ("image/png", png),
     b"GIF87a": ("image/gif", gif),
@@ -182,11 +218,11 @@ def signature_automaton() -> object:
 
 def sniff(data: bytes, automaton: object) -> list[tuple[str, int, int]]:
     """(type, offset, length) of every whole object whose magic bytes and structure are confirmed, nested ones too."""
-    found = []
+    found, marks = [], Marks(data)
     for end, magic in automaton.iter(data.decode("latin-1")):
         kind, check = SIGNATURES[magic]
         at = end + 1 - len(magic)
-        size = check(data, at)
+        size = check(data, at, marks)
         if size:
             found.append((_RIFF_FORMS.get(data[at + 8 : at + 12], "application/riff") if magic == b"RIFF" else kind, at, size))
     return found
