@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import mmap
+import uuid
 
 import numpy as np
 from pyarrow import fs
@@ -15,12 +16,14 @@ def _located(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 class Output:
-    """A file that gets its name only when it is whole, so that a lost task leaves nothing to read."""
+    """A file that gets its name only when it is whole, so that a lost task leaves nothing to read.  Of tasks that write one
+    name with the same content the first counts."""
 
     def __init__(self, uri: str):
         self.system, self.path = _located(uri)
         self.system.create_dir(self.path.rpartition("/")[0], recursive=True)
-        self.stream = self.system.open_output_stream(self.path + ".part")
+        self.part = f"{self.path}.{uuid.uuid4().hex}.part"
+        self.stream = self.system.open_output_stream(self.part)
         self.size = 0
 
     def write(self, data: bytes) -> None:
@@ -29,7 +32,12 @@ class Output:
 
     def close(self) -> None:
         self.stream.close()
-        self.system.move(self.path + ".part", self.path)
+        try:
+            self.system.move(self.part, self.path)
+        except OSError:
+            if self.system.get_file_info(self.path).type != fs.FileType.File:
+                raise
+            self.system.delete_file(self.part)
 
 
 class Input:
@@ -51,9 +59,9 @@ class Input:
 
 
 def mapped(uri: str, dtype: str) -> np.ndarray:
-    """A file of numbers as an array: memory-mapped where the shared folder is mounted, else read."""
+    """A file of numbers as an array, empty if there is no such file: memory-mapped where the shared folder is mounted, else read."""
     system, path = _located(uri)
-    if system.get_file_info(path).size == 0:
+    if not system.get_file_info(path).size:
         return np.zeros(0, dtype)
     if isinstance(system, fs.LocalFileSystem):
         with open(path, "rb") as f:

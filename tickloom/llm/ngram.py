@@ -1,15 +1,16 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, stored as sorted arrays, memory-mapped by workers.
-
-Files of the model, in the shared folder:
-  words    sorted 64-bit word hashes and their counts, by ranges of the hash; a word's id is its place
-  stats    five counts for each word id: predecessors, and as a context: tokens, successors seen once, twice, more
-  bigrams  sorted keys (context id, word id) seen at least `keep` times and their counts, by ranges of a hash
-Tasks combine what they count before the shuffle, in packed sorted arrays, so a hot word is a few entries.
+"""Interpolated modified Kneser-Ney bigram model: counted in Spark, stored as sorted hash arrays, memory-mapped by workers.
+
+Files of the model, in the shared folder, by ranges (their numbers are in their names, so no list of them is kept):
+  words    sorted 64-bit word hashes and their counts, by ranges of the hash; a word's id is its range and its place there
+  stats    five counts for each word: predecessors, and as a context: tokens, successors seen once, twice, more
+  bigrams  sorted 64-bit hashes of (context id, word id) and their counts, by ranges of a hash of the context
+Tasks combine what they count before the shuffle, in packed sorted arrays, so a hot word is a few entries; a task
+sends a range one blob at most, and never more blobs than it has entries.  Two of a billion bigrams share a hash with
+a chance of 3 %, of which one count would be off.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,30 +20,38 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import U64, fresh_path, mix64, text_slices, word_bounds, word_hashes, written
+from .base import U64, fresh_path, held, mix64, text_slices, word_bounds, word_hashes, written
 from .files import Output, mapped
 
 END, BEGIN = U64(0x517CC1B727220A95), U64(0x2545F4914F6CDD1D)
 #: Tokens of the input for each range of a reduce, and entries that a task holds before it sends them.
-RANGE_TOKENS, HELD = 3_000_000, 3_000_000
+RANGE_TOKENS, HELD = 3_000_000, 1_500_000
 #: A context with more tokens than this has its successors dealt over all ranges.
 HOT_CONTEXT = 500_000
-SLICE = 2 << 20
+SLICE = 1 << 20
+_SHIFT = U64(32)
+
+
+def _planes(x: np.ndarray, kind: str) -> bytes:
+    return np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(len(x), -1).T).tobytes()
 
 
-def pack(keys: np.ndarray, *counts: np.ndarray) -> bytes:
-    """Ascending keys as deltas, and counts, in byte planes."""
+def pack(keys: np.ndarray, *more: np.ndarray) -> bytes:
+    """Ascending 64-bit keys as deltas, then 64-bit ids if unsigned and counts if signed, in byte planes."""
     delta = np.diff(keys, prepend=U64(0)) if len(keys) else keys
-    planes = [np.ascontiguousarray(delta.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()]
-    planes += [np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for c in counts]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([_planes(delta, "<u8"), *(_planes(c, "<u8" if c.dtype == np.uint64 else "<u4") for c in more)]))
 
 
-def unpack(blob: bytes, n_counts: int) -> list[np.ndarray]:
+def unpack(blob: bytes, kinds: str) -> list[np.ndarray]:
+    """kinds: k for the keys, i for each array of ids, c for each of counts."""
     raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
-    n = len(raw) // (8 + 4 * n_counts)
-    keys = np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").ravel(), dtype=U64)
-    return [keys, *(np.ascontiguousarray(raw[(8 + 4 * i) * n : (12 + 4 * i) * n].reshape(4, n).T).view("<u4").ravel() for i in range(n_counts))]
+    width = [4 if k == "c" else 8 for k in kinds]
+    n, out, at = len(raw) // sum(width), [], 0
+    for k, w in zip(kinds, width, strict=True):
+        x = np.ascontiguousarray(raw[at : at + w * n].reshape(w, n).T).view(f"<u{w}").ravel()
+        out.append(np.cumsum(x, dtype=U64) if k == "k" else x)
+        at += w * n
+    return out
 
 
 def summed(keys: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
@@ -56,18 +65,16 @@ def summed(keys: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
 
 
 def _merged(blobs: list[bytes], n_counts: int) -> list[np.ndarray]:
-    parts = [unpack(b, n_counts) for b in blobs]
+    parts = [unpack(b, "k" + "c" * n_counts) for b in blobs]
     return summed(*(np.concatenate(c) for c in zip(*parts, strict=True)))
 
 
-def _store(folder: str, name: str, *arrays: np.ndarray) -> str:
-    """Each array as one file of plain little-endian numbers; the stem of their names."""
-    stem = f"{folder}/{name}-{uuid.uuid4().hex}"
+def _store(folder: str, name: str, *arrays: np.ndarray) -> None:
+    """Each array as one file of plain little-endian numbers."""
     for i, a in enumerate(arrays):
-        out = Output(f"{stem}.{i}")
+        out = Output(f"{folder}/{name}.{i}")
         out.write(np.ascontiguousarray(a).tobytes())
         out.close()
-    return stem
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,42 +90,42 @@ def word_range(hashes: np.ndarray, ranges: int) -> np.ndarray:
 class Words:
     """Ids and counts of words, from the mapped files."""
 
-    def __init__(self, stems: list[str | None], sizes: list[int]):
-        self.stems, self.base, self.open = stems, np.concatenate([[0], np.cumsum(sizes)]), {}
+    def __init__(self, folder: str, ranges: int):
+        self.folder, self.ranges, self.open = folder, ranges, {}
 
-    def find(self, sorted_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (-1: unknown) and counts of ascending hashes."""
-        ids, counts = np.full(len(sorted_hashes), -1, np.int64), np.zeros(len(sorted_hashes), np.int64)
-        at = word_range(sorted_hashes, len(self.stems))
+    def find(self, sorted_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each of ascending hashes is known, its id and its count."""
+        known, ids, counts = np.zeros(len(sorted_hashes), bool), np.zeros(len(sorted_hashes), U64), np.zeros(len(sorted_hashes), np.int64)
+        at = word_range(sorted_hashes, self.ranges)
         for r in np.unique(at).tolist():
-            if self.stems[r] is None:
-                continue
             lo, hi = np.searchsorted(at, r), np.searchsorted(at, r, side="right")
             if r not in self.open:
-                self.open[r] = mapped(f"{self.stems[r]}.0", "<u8"), mapped(f"{self.stems[r]}.1", "<u8")
+                self.open[r] = mapped(f"{self.folder}/words-{r}.0", "<u8"), mapped(f"{self.folder}/words-{r}.1", "<u8")
             keys, n = self.open[r]
-            place = np.searchsorted(keys, sorted_hashes[lo:hi])
-            hit = keys[np.minimum(place, len(keys) - 1)] == sorted_hashes[lo:hi]
-            ids[lo:hi][hit] = place[hit] + self.base[r]
+            if not len(keys):
+                continue
+            place = np.minimum(np.searchsorted(keys, sorted_hashes[lo:hi]), len(keys) - 1)
+            hit = keys[place] == sorted_hashes[lo:hi]
+            known[lo:hi] = hit
+            ids[lo:hi][hit] = place[hit].astype(U64) | U64(r) << _SHIFT
             counts[lo:hi][hit] = n[place[hit]].astype(np.int64)
-        return ids, counts
+        return known, ids, counts
 
 
-def bigram_range(context: np.ndarray, word: np.ndarray, hot: np.ndarray, ranges: int) -> np.ndarray:
-    mixed = mix64(context.astype(U64) * U64(0x9E3779B97F4A7C15) + np.where(hot, word.astype(U64) + U64(1), U64(0)))
-    return word_range(mixed, ranges)
+def bigram_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix64(mix64(context + U64(1)) * U64(0x9E3779B97F4A7C15) + word)
+
+
+def bigram_range(context: np.ndarray, key: np.ndarray, hot: np.ndarray, ranges: int) -> np.ndarray:
+    return word_range(mix64(np.where(hot, key, context) ^ U64(0x9FB21C651E98DF25)), ranges)
 
 
 @dataclass
 class Model:
-    """What a scoring task needs: file names and totals, no counts of the corpus."""
-
-    word_stems: list[str | None]
-    word_sizes: list[int]
-    begin: int
-    stat_stems: dict[int, str]
-    stat_width: int
-    bigram_stems: list[str | None]
+    """What a scoring task needs: a folder and totals, no counts of the corpus."""
+
+    folder: str
+    ranges: int
     n_tokens: int
     n_words: int
     keep: int
@@ -128,6 +135,11 @@ class Model:
     spare: float
     begin_hot: bool
 
+    @property
+    def begin(self) -> np.uint64:
+        """The id of the context before the first word: alone in a range of its own."""
+        return U64(self.ranges) << _SHIFT
+
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
     """The three discounts of modified Kneser-Ney from counts of counts 1 to 4; 0.75 where they tell nothing."""
@@ -155,125 +167,119 @@ def _reduce_groups(rows: DataFrame, key: str, schema: str, work) -> DataFrame:
     return rows.groupBy(key).applyInArrow(run, schema)
 
 
-def train(docs: DataFrame, keep: int = 2) -> Model:
-    """Count docs(text) and write the model.  Bigrams seen fewer than keep times aren't stored: their
-    whole mass goes to the lower order, as with a count cut-off, so probabilities still add up to one.
-    Null texts are empty (an END only); no rows give the uniform model."""
+def train(docs: DataFrame, keep: int = 1) -> Model:
+    """Count docs(text) and write the model.  keep prunes, and is off by default: bigrams seen fewer than
+    keep times aren't stored and their whole mass goes to the lower order, so probabilities still add up to
+    one.  Null texts are empty (an END only); no rows give the uniform model; other columns are ignored."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     folder = fresh_path(spark, "ngrams")
     size = docs.agg(F.sum(F.octet_length("text") / 6 + 1).alias("n"), F.count("*").alias("rows")).first()
     ranges = max(1, int((size.n or 0) / RANGE_TOKENS) + 1)
+    begin, begin_hot = U64(ranges) << _SHIFT, size.rows > HOT_CONTEXT
+
+    def by_range(at: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+        """Blobs of the ranges of entries that are sorted by range."""
+        cuts = np.searchsorted(at, np.arange(ranges + 1))
+        some = np.flatnonzero(np.diff(cuts)).tolist()
+        return pa.RecordBatch.from_pydict({"range": pa.array(some, pa.int64()), "blob": pa.array([pack(*(c[cuts[r] : cuts[r + 1]] for c in columns)) for r in some], pa.binary())})
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        parts, n = [], 0
 
         def flush() -> pa.RecordBatch:
-            keys, counts = summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-            cuts = np.searchsorted(word_range(keys, ranges), np.arange(ranges + 1))
-            some = [r for r in range(ranges) if cuts[r] < cuts[r + 1]]
-            return pa.RecordBatch.from_pydict({"range": pa.array(some, pa.int64()), "blob": pa.array([pack(keys[cuts[r] : cuts[r + 1]], counts[cuts[r] : cuts[r + 1]]) for r in some], pa.binary())})
+            keys, counts = summed(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+            return by_range(word_range(keys, ranges), keys, counts)
 
         for batch in batches:
             for _, data, off in text_slices(batch.column(0), SLICE):
                 hashes, _ = tokens(data, off)
-                held.append(np.unique(hashes, return_counts=True))
-                n += len(held[-1][0])
+                parts.append(np.unique(hashes, return_counts=True))
+                n += len(parts[-1][0])
                 if n > HELD:
                     yield flush()
-                    held, n = [], 0
-        if held:
+                    parts, n = [], 0
+        if parts:
             yield flush()
 
     def store_words(r: int, blobs: list[bytes]) -> list[list]:
         keys, counts = _merged(blobs, 1)
-        return [[r], [_store(folder, f"words-{r:06d}", keys.astype("<u8"), counts.astype("<u8"))], [len(keys)], [int(counts.sum())]]
+        _store(folder, f"words-{r}", keys.astype("<u8"), counts.astype("<u8"))
+        return [[r], [len(keys)], [int(counts.sum())]]
 
     counted = docs.mapInArrow(count_words, "range long, blob binary")
-    stored = {x.range: x for x in written(_reduce_groups(counted, "range", "range long, stem string, n long, total long", store_words), "words").collect()}
-    stems = [stored[r].stem if r in stored else None for r in range(ranges)]
-    sizes = [stored[r].n if r in stored else 0 for r in range(ranges)]
-    n_words, n_tokens = sum(sizes), sum(x.total for x in stored.values())
-    if n_words >= (1 << 32) - 1:
-        raise ValueError("more than 2**32 - 2 distinct words")
-    begin = n_words  # the id of the context before the first word
-    width = max(1, -(-(n_words + 1) // ranges))
-    stat_ranges = -(-(n_words + 1) // width)
+    stored = written(_reduce_groups(counted, "range", "range long, n long, total long", store_words), "words").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
+    n_words, n_tokens = stored.n or 0, stored.total or 0
 
     def count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, n = Words(stems, sizes), [], 0
+        words, parts, n = Words(folder, ranges), [], 0
 
         def flush() -> pa.RecordBatch:
-            keys, counts, hot = (np.concatenate(c) for c in zip(*held, strict=True))
+            keys, counts, context, word, hot = (np.concatenate(c) for c in zip(*parts, strict=True))
             order = np.argsort(keys, kind="stable")
-            keys, counts, hot = keys[order], counts[order], hot[order]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            counts, keys, hot = np.add.reduceat(counts, first), keys[first], hot[first]
-            at = bigram_range(keys >> U64(32), keys & U64(0xFFFFFFFF), hot, ranges)
-            order = np.argsort(at, kind="stable")
-            cuts = np.searchsorted(at[order], np.arange(ranges + 1))
-            some = [r for r in range(ranges) if cuts[r] < cuts[r + 1]]
-            blobs = [pack(keys[order[cuts[r] : cuts[r + 1]]], counts[order[cuts[r] : cuts[r + 1]]]) for r in some]
-            return pa.RecordBatch.from_pydict({"range": pa.array(some, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+            first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+            counts, order = np.add.reduceat(counts[order], first), order[first]
+            context, word, at = context[order], word[order], bigram_range(context[order], keys[order], hot[order], ranges)
+            order = np.lexsort((context, at))
+            return by_range(at[order], context[order], word[order], counts[order])
 
         for batch in batches:
             for _, data, off in text_slices(batch.column(0), SLICE):
                 hashes, lengths = tokens(data, off)
                 distinct, inverse = np.unique(hashes, return_inverse=True)
-                ids, seen = words.find(distinct)
-                context, hot = _contexts(ids[inverse], (seen > HOT_CONTEXT)[inverse], lengths, begin, size.rows > HOT_CONTEXT)
-                keys = context.astype(U64) << U64(32) | ids[inverse].astype(U64)
-                keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
-                held.append((keys, counts, hot[first]))
+                _, ids, seen = words.find(distinct)
+                context, hot = _contexts(ids[inverse], (seen > HOT_CONTEXT)[inverse], lengths, begin, begin_hot)
+                word = ids[inverse]
+                keys, first, counts = np.unique(bigram_key(context, word), return_index=True, return_counts=True)
+                parts.append((keys, counts, context[first], word[first], hot[first]))
                 n += len(keys)
                 if n > HELD:
                     yield flush()
-                    held, n = [], 0
-        if held:
+                    parts, n = [], 0
+        if parts:
             yield flush()
 
     def store_bigrams(r: int, blobs: list[bytes]) -> list[list]:
-        keys, counts = _merged(blobs, 1)
-        context, word = (keys >> U64(32)).astype(np.int64), (keys & U64(0xFFFFFFFF)).astype(np.int64)
+        context, word, counts = (np.concatenate(c) for c in zip(*(unpack(b, "kic") for b in blobs), strict=True))
+        keys = bigram_key(context, word)
+        order = np.argsort(keys, kind="stable")
+        keys, context, word = keys[order], context[order], word[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        keys, context, word, counts = keys[first], context[first], word[first], np.add.reduceat(counts[order].astype(np.int64), first)
         kept = counts >= keep
-        stem = _store(folder, f"bigrams-{r:06d}", keys[kept].astype("<u8"), counts[kept].astype("<u4"))
-        by_count = [int((counts == i).sum()) for i in range(1, 5)]
-        as_word = summed(word.astype(U64), np.ones(len(keys), np.int64))
-        as_context = summed(context.astype(U64), counts, counts == 1, counts == 2, counts >= 3)
-        both = np.concatenate([as_word[0], as_context[0]])
+        _store(folder, f"bigrams-{r}", keys[kept].astype("<u8"), counts[kept].astype("<u4"))
+        as_word = summed(word, np.ones(len(keys), np.int64))
+        as_context = summed(context, counts, counts == 1, counts == 2, counts >= 3)
         pad = np.zeros(len(as_word[0]), np.int64)
-        stats = summed(both, np.concatenate([as_word[1], np.zeros(len(as_context[0]), np.int64)]), *(np.concatenate([pad, c]) for c in as_context[1:]))
-        cuts = np.searchsorted(stats[0] // U64(width), np.arange(stat_ranges + 1, dtype=U64))
-        some = [s for s in range(stat_ranges) if cuts[s] < cuts[s + 1]]
-        packed = [pack(*(c[cuts[s] : cuts[s + 1]] for c in stats)) for s in some]
+        stats = summed(np.concatenate([as_word[0], as_context[0]]), np.concatenate([as_word[1], np.zeros(len(as_context[0]), np.int64)]), *(np.concatenate([pad, c]) for c in as_context[1:]))
+        place = stats[0] >> _SHIFT
+        some = np.unique(place)
+        cuts = np.append(np.searchsorted(place, some), len(place))
+        packed = [pack(*(c[cuts[i] : cuts[i + 1]] for c in stats)) for i in range(len(some))]
         n = len(some)
-        return [[-1, *some], [stem, *[None] * n], [None, *packed], [r, *[None] * n], *([c, *[None] * n] for c in by_count), [len(keys), *[None] * n]]
+        return [[-1, *some.tolist()], [None, *packed], *([int((counts == i).sum()), *[None] * n] for i in range(1, 5)), [len(keys), *[None] * n]]
 
     pairs = docs.mapInArrow(count_bigrams, "range long, blob binary")
-    reduced = written(_reduce_groups(pairs, "range", "place long, stem string, blob binary, range long, n1 long, n2 long, n3 long, n4 long, n long", store_bigrams), "bigrams")
-    files = {x.range: x for x in reduced.where("place = -1").drop("blob").collect()}
+    reduced = written(_reduce_groups(pairs, "range", "place long, blob binary, n1 long, n2 long, n3 long, n4 long, n long", store_bigrams), "bigrams")
+    by_count = reduced.where("place = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "n4", "n"))).first()
 
-    def store_stats(s: int, blobs: list[bytes]) -> list[list]:
+    def store_stats(r: int, blobs: list[bytes]) -> list[list]:
         ids, *counts = _merged(blobs, 5)
-        table = np.zeros((width, 5), "<u4")
-        table[(ids - U64(s * width)).astype(np.int64)] = np.stack(counts, axis=1)
+        at = (ids & U64(0xFFFFFFFF)).astype(np.int64)
+        table = np.zeros((int(at.max()) + 1, 5), "<u4")
+        table[at] = np.stack(counts, axis=1)
         before = table[:, 0]
-        return [[s], [_store(folder, f"stats-{s:06d}", table)], *([int((before == i).sum())] for i in range(1, 5)), [int((before >= 3).sum())]]
-
-    sums = _reduce_groups(reduced.where("place >= 0").select("place", "blob"), "place", "place long, stem string, n1 long, n2 long, n3 long, n4 long, more long", store_stats)
-    stats = written(sums, "stats").collect()
-    words_by = [sum(x[f"n{i}"] for x in stats) for i in range(1, 5)]
-    total_pairs = sum(x.n for x in files.values())
-    d = discounts(words_by)
-    more = sum(x.more for x in stats)
-    return Model(
-        stems, sizes, begin, {x.place: x.stem for x in stats}, width, [files[r].stem if r in files else None for r in range(ranges)], n_tokens, n_words, keep,
-        discounts([sum(x[f"n{i}"] for x in files.values()) for i in range(1, 5)]), d, total_pairs,
-        (d[0] * words_by[0] + d[1] * words_by[1] + d[2] * more) / total_pairs if total_pairs else 1.0, size.rows > HOT_CONTEXT,
-    )
-
-
-def _contexts(ids: np.ndarray, hot: np.ndarray, lengths: np.ndarray, begin: int, begin_hot: bool) -> tuple[np.ndarray, np.ndarray]:
+        _store(folder, f"stats-{r}", table)
+        return [[r], *([int((before == i).sum())] for i in range(1, 5)), [int((before >= 3).sum())]]
+
+    sums = _reduce_groups(reduced.where("place >= 0").select("place", "blob"), "place", "place long, n1 long, n2 long, n3 long, n4 long, more long", store_stats)
+    stats = written(sums, "stats").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "n4", "more"))).first()
+    d = discounts([stats.n1, stats.n2, stats.n3, stats.n4])
+    spare = (d[0] * stats.n1 + d[1] * stats.n2 + d[2] * stats.more) / by_count.n if by_count.n else 1.0
+    return Model(folder, ranges, n_tokens, n_words, keep, discounts([by_count.n1, by_count.n2, by_count.n3, by_count.n4]), d, by_count.n, spare, begin_hot)
+
+
+def _contexts(ids: np.ndarray, hot: np.ndarray, lengths: np.ndarray, begin: np.uint64, begin_hot: bool) -> tuple[np.ndarray, np.ndarray]:
     """The id before each token (begin at the first of a text) and whether it is hot."""
     before, before_hot = np.roll(ids, 1), np.roll(hot, 1)
     first = np.cumsum(lengths) - lengths
@@ -285,40 +291,35 @@ class Scorer:
     """log10 probabilities of token streams from the mapped files of a model."""
 
     def __init__(self, model: Model):
-        self.m, self.words, self.open, self.stats = model, Words(model.word_stems, model.word_sizes), {}, {}
+        self.m, self.words, self.open, self.stats = model, Words(model.folder, model.ranges), {}, {}
 
     def _stats(self, ids: np.ndarray) -> np.ndarray:
-        """Rows of five counts for ascending ids; zeros for -1."""
+        """Rows of five counts for ids."""
         out = np.zeros((len(ids), 5), np.int64)
-        place = ids // self.m.stat_width
-        for s in np.unique(place[ids >= 0]).tolist():
-            if s not in self.m.stat_stems:
-                continue
+        order = np.argsort(ids, kind="stable")
+        place = ids[order] >> _SHIFT
+        for s in np.unique(place).tolist():
+            mine = order[np.searchsorted(place, s) : np.searchsorted(place, s, side="right")]
             if s not in self.stats:
-                self.stats[s] = mapped(f"{self.m.stat_stems[s]}.0", "<u4").reshape(-1, 5)
-            lo, hi = np.searchsorted(place, s), np.searchsorted(place, s, side="right")
-            out[lo:hi] = self.stats[s][ids[lo:hi] - s * self.m.stat_width]
+                self.stats[s] = mapped(f"{self.m.folder}/stats-{s}.0", "<u4").reshape(-1, 5)
+            at = (ids[mine] & U64(0xFFFFFFFF)).astype(np.int64)
+            there = at < len(self.stats[s])
+            out[mine[there]] = self.stats[s][at[there]]
         return out
 
-    def _bigrams(self, keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
-        """Stored counts of ascending keys, 0 where none is stored."""
+    def _bigrams(self, keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Stored counts of distinct keys of the ranges `at`, 0 where none is stored."""
         out = np.zeros(len(keys), np.int64)
-        at = bigram_range(keys >> U64(32), keys & U64(0xFFFFFFFF), hot, len(self.m.bigram_stems))
         order = np.argsort(at, kind="stable")
-        cuts = np.searchsorted(at[order], np.arange(len(self.m.bigram_stems) + 1))
-        for r in np.flatnonzero(np.diff(cuts)).tolist():
-            stem = self.m.bigram_stems[r]
-            if stem is None:
-                continue
+        for r in np.unique(at).tolist():
+            mine = order[np.searchsorted(at[order], r) : np.searchsorted(at[order], r, side="right")]
             if r not in self.open:
-                self.open[r] = mapped(f"{stem}.0", "<u8"), mapped(f"{stem}.1", "<u4")
+                self.open[r] = mapped(f"{self.m.folder}/bigrams-{r}.0", "<u8"), mapped(f"{self.m.folder}/bigrams-{r}.1", "<u4")
             stored, counts = self.open[r]
-            if not len(stored):
-                continue
-            mine = order[cuts[r] : cuts[r + 1]]
-            place = np.minimum(np.searchsorted(stored, keys[mine]), len(stored) - 1)
-            hit = stored[place] == keys[mine]
-            out[mine[hit]] = counts[place[hit]]
+            if len(stored):
+                place = np.minimum(np.searchsorted(stored, keys[mine]), len(stored) - 1)
+                hit = stored[place] == keys[mine]
+                out[mine[hit]] = counts[place[hit]]
         return out
 
     def score(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -326,24 +327,24 @@ class Scorer:
         m = self.m
         hashes, lengths = tokens(data, off)
         distinct, inverse = np.unique(hashes, return_inverse=True)
-        ids, seen = self.words.find(distinct)
+        known, ids, seen = self.words.find(distinct)
         owner = np.repeat(np.arange(len(lengths)), lengths)
         base = np.log10((seen + 0.5) / (m.n_tokens + 0.5 * (m.n_words + 1)))[inverse]
-        order = np.argsort(ids, kind="stable")
         stats = np.zeros((len(ids), 5), np.int64)
-        stats[order] = self._stats(ids[order])
+        stats[known] = self._stats(ids[known])
         pairs = max(1, m.pairs)
         lower = (stats[:, 0] - discount(stats[:, 0], m.word_discounts)) / pairs + m.spare / (m.n_words + 1)
-        token = ids[inverse]
-        context, hot = _contexts(token, (seen > HOT_CONTEXT)[inverse], lengths, m.begin, m.begin_hot)
-        as_context = np.zeros((len(token), 5), np.int64)
+        word, first = ids[inverse], np.cumsum(lengths) - lengths
+        context, hot = _contexts(word, (seen > HOT_CONTEXT)[inverse], lengths, m.begin, m.begin_hot)
+        as_context = np.zeros((len(word), 5), np.int64)
         as_context[1:] = stats[inverse[:-1]]
-        first = np.cumsum(lengths) - lengths
         as_context[first] = self._stats(np.array([m.begin]))[0]
-        known = (context >= 0) & (token >= 0)
-        both = np.zeros(len(token), np.int64)
-        keys, at, back = np.unique(context[known].astype(U64) << U64(32) | token[known].astype(U64), return_index=True, return_inverse=True)
-        both[known] = self._bigrams(keys, hot[known][at])[back]
+        there = np.roll(known[inverse], 1)
+        there[first] = True
+        there &= known[inverse]
+        both = np.zeros(len(word), np.int64)
+        keys, at, back = np.unique(bigram_key(context[there], word[there]), return_index=True, return_inverse=True)
+        both[there] = self._bigrams(keys, bigram_range(context[there][at], keys, hot[there][at], m.ranges))[back]
         total = as_context[:, 1]
         d = m.bigram_discounts
         cut = [d[i] if m.keep <= i + 1 else float(i + 1) for i in range(2)]
@@ -351,7 +352,7 @@ class Scorer:
         some = np.maximum(total, 1)
         p = np.where(total > 0, (both - discount(both, d)) / some + spare / some * lower[inverse], lower[inverse])
         add = lambda x: np.bincount(owner, weights=x, minlength=len(lengths))
-        return lengths, add(seen[inverse] > 0).astype(np.int64), add(base), add(np.log10(p))
+        return lengths, add(known[inverse]).astype(np.int64), add(base), add(np.log10(p))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -359,11 +360,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     A null text is empty and is scored as its END.  Whole texts; repeated rows stay.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = held("ngram", model.folder, lambda: Scorer(model))
         for batch in batches:
             for row, data, off in text_slices(batch.column(1), SLICE):
                 n, known, base, own = scorer.score(data, off)
