@@ -277,7 +277,7 @@ def test_ngram_scores_equal_brute_force(spark):
     texts = ["the cat sat on the mat", "The cat ran", "", None] + [" ".join(rng.choice("the cat sat on a mat ran zz".split()) for _ in range(rng.randrange(1, 25))) for _ in range(120)]
     df = docs_of(spark, texts)
     learn = texts[:100]
-    got = {r.doc_id: r for r in ngram.score(df, ngram.train(df.where("doc_id < 100"))).collect()}
+    got = {r.doc_id: r for r in ngram.score(df, ngram.train(df.where("doc_id < 100"), keep=2)).collect()}
     tok = lambda t: [w.lower() for w in WORD.findall(t or "")] + [None]
     c = collections.Counter(w for t in learn for w in tok(t))
     big = collections.Counter(p for t in learn for p in zip(["<s>", *tok(t)[:-1]], tok(t), strict=True))
@@ -389,19 +389,22 @@ def test_pii_trees_find_planted_forms_that_no_base_pattern_finds(spark):
         "ip": lambda: ":".join(f"{rng.randrange(1 << 12, 1 << 16):x}" for _ in range(8)),
         "card": lambda: card(True),
         "phone": lambda: f"555-{n(4)}-{n(3)}",
+        "secret": lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40)),
     }
-    others = [lambda: f"see you (at) noon{n(2)}", lambda: f"at 12:30:45:{n(2)} sharp", lambda: f"version 1.{n(2)}.{n(1)}", lambda: f"order {n(9)} and {n(3)}"]
+    others = [lambda: f"see you (at) noon{n(2)}", lambda: f"at 12:30:45:{n(2)} sharp", lambda: f"version 1.{n(2)}.{n(1)}", lambda: f"order {n(9)} and {n(3)}", lambda: "commit " + "".join(rng.choice("0123456789abcdef") for _ in range(40))]
     texts, want = [], []
     for i in range(1600):
-        kind = list(planted)[i % 4] if i % 8 < 4 else None
-        lead, form = ("phone: " if kind == "phone" else "so "), planted[kind]() if kind else rng.choice(others)()
+        kind = list(planted)[i % 5] if i % 10 < 5 else None
+        lead, form = {"phone": "phone: ", "secret": 'token = "'}.get(kind, "so "), planted[kind]() if kind else rng.choice(others)()
         texts.append(f"{lead}{form}. Then more")
         want.append(f"{kind}:{len(lead)}:{len(lead) + len(form)}" if kind else "")
     texts += [f"so {card(False)}. Then more" for _ in range(3)]
     docs = docs_of(spark, texts)
     trees = pii.fit(docs)
     assert sorted(trees.thresholds) == sorted(planted)
-    got = {r.doc_id: r.spans for r in pii.digest(docs, trees).collect()}
+    rows = pii.digest(docs, trees).collect()
+    got = {r.doc_id: r.spans + r.secrets for r in rows}
+    assert all(r.n_redactions == bool(got[r.doc_id]) for r in rows)
     assert not any(base_spans(t) for t in texts) and [got[i] for i in range(len(texts))] == [*want, "", "", ""]
 
 
