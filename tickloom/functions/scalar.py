@@ -164,9 +164,6 @@ def to_zone(ts: ColumnOrName, source: str, target: str = "Asia/Kolkata") -> Colu
 # ---------------------------------------------------------------- strings
 
 
-_CONTRACT = r"^([A-Z&]+?)(\d{1,2})([A-Z]{3})(\d{2}|20\d{2})(\d{3,})(CE|PE)$"
-
-
 def contract_fields(symbol: ColumnOrName) -> Column:
     """FUN-1: struct(underlying, expiry, strike, side) of UNDERLYING DD MON YY[YY] STRIKE CE|PE; null if it doesn't fit.
 

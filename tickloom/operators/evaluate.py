@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -220,7 +221,7 @@ def pass_matrix(df: DataFrame, row: str, name: str, ok: Column, names: Sequence[
 
 
 def return_summary(df: DataFrame, keys: Sequence[str], ret: str, traded: Column, side: str) -> DataFrame:
-    """EVL-2: trades, block rate, net, profit factor, win rate and share of long trades."""
+    """EVL-2: trades, block rate, net, profit factor, win rate and share of long trades; scans.max_drawdown has the drawdown, which needs an order."""
     r = F.when(traded, F.col(ret))
     return df.groupBy(*keys).agg(F.count_if(traded).alias("trades"), (1 - F.avg(traded.cast("double"))).alias("block_rate"), F.sum(F.when(traded, F.col(ret)).otherwise(0.0)).alias("net"), profit_factor(r).alias("profit_factor"), F.avg((r > 0).cast("double")).alias("win_rate"), F.avg(F.when(traded, (F.col(side) == "CE").cast("double"))).alias("long_share"))
 
@@ -241,10 +242,18 @@ def auc_brier(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -
 
 def calibration(df: DataFrame, score: str, label: str, tie: Sequence[str], bins: int = 10, equal_count: bool = True, keys: Sequence[str] = ()) -> DataFrame:
     """EVL-5, EVL-6: rows, mean score and positive share of each bin; bins of equal count have edges int(i n / bins) of the
-    sorted rows, those of equal width are of [0, 1]."""
+    sorted rows, those of equal width are of [0, 1].  Rows are placed inside 4,096 ranges of the score, whose sizes
+    are added up, so no task sorts them all."""
     if equal_count:
-        w = Window.partitionBy(*keys)
-        r = df.withColumn("_i", F.row_number().over(w.orderBy(score, *tie)) - 1).withColumn("_n", F.count("*").over(w))
+        part = F.coalesce(F.greatest(F.lit(-1), F.least(F.lit(4096), F.floor(F.col(score) * 4096))), F.lit(-2))
+        r = df.withColumn("_b", part)
+        whole = Window.partitionBy(*keys)
+        before = F.coalesce(F.sum("_c").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ranges = r.groupBy(*keys, "_b").agg(F.count("*").alias("_c")).withColumn("_start", before).withColumn("_n", F.sum("_c").over(whole)).drop("_c")
+        r = r.withColumn("_i", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(score, *tie)) - 1)
+        names = [*keys, "_b"]
+        ranges = ranges.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(names)), "_start", "_n")
+        r = r.join(ranges, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(names)]).withColumn("_i", F.col("_i") + F.col("_start"))
         b = F.floor(((F.col("_i") + 1) * bins - 1) / F.col("_n"))
         bin_ = F.least(F.lit(bins - 1), b)
     else:
@@ -291,26 +300,62 @@ def t_statistic(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     return g.withColumn("t", t).withColumn("p_value", 2 * (1 - normal_cdf(F.abs("t")))).drop("sd")
 
 
+def _resampled(per: DataFrame, unit: str, iterations: int, seed: int) -> DataFrame:
+    """A row per iteration that a unit is drawn in: it, and w, a Poisson(1) weight from a hash of both, that a rerun repeats."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(unit).cast("string"), F.col("it").cast("string"))), 1, 7), 16, 10).cast("double") / float(16**7)
+    weight, p, tail, k = F.lit(0), math.exp(-1), 0.0, 0
+    while tail < 1 - 1e-9:
+        tail += p
+        weight = weight + (F.col("_u") >= tail).cast("int")
+        k += 1
+        p /= k
+    return per.withColumn("it", F.explode(F.sequence(F.lit(1), F.lit(iterations)))).withColumn("_u", u).withColumn("w", weight).where("w > 0").drop("_u")
+
+
+def _interval(x: DataFrame, value: str, keys: Sequence[str], level: float) -> DataFrame:
+    a = (1 - level) / 2
+    return x.groupBy(*keys).agg(F.count(value).alias("iterations"), F.avg(value).alias("mean"), F.percentile(value, a).alias("low"), F.percentile(value, 1 - a).alias("high"))
+
+
 def bootstrap_mean(df: DataFrame, unit: str, x: str, iterations: int = 200, seed: int = 3, level: float = 0.95) -> DataFrame:
-    """EVL-12, SET-8: interval of the mean by resampling whole units (days), with Poisson(1) weights from a hash.
+    """EVL-12, SET-8: interval of the mean by resampling whole units (days).
 
     Units are summed first; each is exploded to the iterations it has a weight in, so the work is units x iterations.
     """
     per = df.groupBy(unit).agg(F.sum(x).alias("s"), F.count(x).alias("n"))
-    u = F.pmod(F.xxhash64(F.lit(seed), unit, "it"), F.lit(1 << 30)) / float(1 << 30)
-    tail, weight, p, k = 0.0, F.lit(0), 0.36787944117144233, 0
-    cuts = []
-    while k < 8:
-        tail += p
-        cuts.append(tail)
-        k += 1
-        p /= k
-    for c in cuts:
-        weight = weight + (F.col("u") >= c).cast("int")
-    drawn = per.withColumn("it", F.explode(F.sequence(F.lit(1), F.lit(iterations)))).withColumn("u", u).withColumn("w", weight)
-    means = drawn.groupBy("it").agg(safe_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("m"))
-    a = (1 - level) / 2
-    return means.agg(F.count("m").alias("iterations"), F.avg("m").alias("mean"), F.percentile("m", a).alias("low"), F.percentile("m", 1 - a).alias("high"))
+    drawn = _resampled(per, unit, iterations, seed)
+    return _interval(drawn.groupBy("it").agg(safe_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("m")), "m", (), level)
+
+
+def bootstrap_profit_factor(df: DataFrame, unit: str, ret: str, iterations: int = 200, seed: int = 3, level: float = 0.95) -> DataFrame:
+    """EVL-12: interval of gains over losses; an iteration without losses has none."""
+    per = df.groupBy(unit).agg(F.sum(F.when(F.col(ret) > 0, F.col(ret)).otherwise(0.0)).alias("g"), F.sum(F.when(F.col(ret) < 0, -F.col(ret)).otherwise(0.0)).alias("l"))
+    drawn = _resampled(per, unit, iterations, seed)
+    return _interval(drawn.groupBy("it").agg(safe_divide(F.sum(F.col("w") * F.col("g")), F.sum(F.col("w") * F.col("l"))).alias("m")), "m", (), level)
+
+
+def bootstrap_auc(df: DataFrame, unit: str, score: str, label: str, iterations: int = 100, seed: int = 3, level: float = 0.95) -> DataFrame:
+    """EVL-12: intervals of the area under the curve and of the Brier score, measure by measure, by resampling whole units.
+    Equal scores of a unit are counted before they meet the iterations, so the work is their number x iterations."""
+    ok = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    per = ok.groupBy(unit, F.col(score).alias("_s")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("p"), F.sum((F.col(label) - F.col(score)) ** 2).alias("b"))
+    weights = _resampled(ok.select(unit).distinct(), unit, iterations, seed)
+    g = per.join(weights, unit).groupBy("it", "_s").agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in ("n", "p", "b")))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("it").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    s = g.withColumn("_r", before + (F.col("n") + 1) / 2).groupBy("it").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum(F.col("_r") * F.col("p")).alias("r"), F.sum("b").alias("b"))
+    auc = safe_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p")))
+    rows = s.select(F.explode(F.array(F.struct(F.lit("auc").alias("measure"), auc.alias("m")), F.struct(F.lit("brier").alias("measure"), safe_divide("b", "n").alias("m")))).alias("x")).select("x.*")
+    return _interval(rows, "m", ["measure"], level)
+
+
+def half_drift(df: DataFrame, score: str, label: str, half: Column, least: int = 10) -> DataFrame:
+    """EVL-3: area and Brier score of both halves of the rows and the differences, later minus earlier; half: 0 or 1 for a row.
+    A half of fewer rows than `least` has no area."""
+    per = auc_brier(df.withColumn("_half", half), score, label, ["_half"])
+    pick = lambda c, h: F.max(F.when(F.col("_half") == h, F.col(c)))
+    big = F.when(F.col("rows") >= least, F.col("auc"))
+    g = per.withColumn("auc", big).agg(*(pick(c, h).alias(f"{c}_{n}") for c in ("auc", "brier") for h, n in ((0, "first"), (1, "second"))))
+    return g.withColumns({"auc_drift": F.col("auc_second") - F.col("auc_first"), "brier_drift": F.col("brier_second") - F.col("brier_first")})
 
 
 def gates(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
@@ -335,6 +380,17 @@ def feature_separation(df: DataFrame, features: Sequence[str], label: str) -> Da
     return out.select("feature", "n1", "n0", safe_divide(F.col("m1") - F.col("m0"), F.sqrt((F.col("v1") + F.col("v0")) / 2)).alias("cohens_d"), F.when(var > 0, (u - n1 * n0 / 2) / F.sqrt(var)).alias("rank_z"))
 
 
+def separation_stability(df: DataFrame, features: Sequence[str], label: str, window: str) -> DataFrame:
+    """EVL-14: per feature over the windows: their number, mean and population spread of Cohen's d, the share of windows
+    whose d has the sign of the mean, and the drift of d from the first window to the last."""
+    x = df.select(window, F.col(label).cast("int").alias("y"), F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features))).alias("z")).select(window, "y", "z.*").where("v is not null and y is not null")
+    one, zero = F.when(F.col("y") == 1, F.col("v")), F.when(F.col("y") == 0, F.col("v"))
+    per = x.groupBy("feature", window).agg(safe_divide(F.avg(one) - F.avg(zero), F.sqrt((F.var_pop(one) + F.var_pop(zero)) / 2)).alias("d")).where("d is not null")
+    whole = Window.partitionBy("feature")
+    per = per.withColumn("_same", (F.signum("d") == F.signum(F.avg("d").over(whole))).cast("double"))
+    return per.groupBy("feature").agg(F.count("*").alias("windows"), F.avg("d").alias("mean_d"), F.stddev_pop("d").alias("spread_d"), F.avg("_same").alias("sign_share"), (F.max_by("d", window) - F.min_by("d", window)).alias("drift_d"))
+
+
 def monotone(df: DataFrame, keys: Sequence[str], bucket: str, value: str) -> DataFrame:
     """EVL-16: whether the value never falls from bucket to bucket, and how often it does."""
     d = df.withColumn("_f", (F.col(value) < F.lag(value).over(over(keys, [bucket]))).cast("int"))

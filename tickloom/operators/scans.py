@@ -20,19 +20,34 @@ def _sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFra
     return df.groupBy(*keys).agg(F.array_sort(F.collect_list(ordered)).alias("_rows")).select(F.transform("_rows", lambda r: r["_row"]).alias("_rows"))
 
 
-def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Column, step, emit, out: str) -> DataFrame:
-    """Fold the session in order: state = step(state, row), and column `out` = emit(state, row) after each step."""
-    g = _sorted(df, keys, order)
-    init = F.struct(start.alias("s"), F.array().alias("o"))
+#: Rows of a chunk: outputs are collected in arrays of this length, so a session of n rows costs n * CHUNK / 2
+#: copies of one value (and n / CHUNK squared of a reference), not n squared.
+CHUNK = 48
 
-    probe = g.select(F.transform("_rows", lambda r: emit(start, r)).alias("x")).schema["x"].dataType.elementType.simpleString()
-    init = F.struct(start.alias("s"), F.array().cast(f"array<{probe}>").alias("o"))
 
-    def fold(a: Column, r: Column) -> Column:
+def fold_chunks(rows: Column, state: Column, kind: str, step, emit) -> Column:
+    """The array of emit(state, row) after each state = step(state, row), chunk by chunk."""
+    empty = F.array().cast(f"array<{kind}>")
+
+    def one(a: Column, r: Column) -> Column:
         s = step(a["s"], r)
         return F.struct(s.alias("s"), F.concat(a["o"], F.array(emit(s, r))).alias("o"))
 
-    done = g.withColumn("_o", F.aggregate("_rows", init, fold, lambda a: a["o"]))
+    def chunk(a: Column, part: Column) -> Column:
+        now = F.aggregate(part, F.struct(a["x"]["s"].alias("s"), empty.alias("o")), one)
+        return F.struct(now.alias("x"), F.concat(a["done"], F.array(a["x"]["o"])).alias("done"))
+
+    n = F.ceil(F.size(rows) / CHUNK).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(rows, i * CHUNK + 1, F.lit(CHUNK)))
+    start = F.struct(F.struct(state.alias("s"), empty.alias("o")).alias("x"), F.array().cast(f"array<array<{kind}>>").alias("done"))
+    return F.aggregate(parts, start, chunk, lambda a: F.flatten(F.concat(a["done"], F.array(a["x"]["o"]))))
+
+
+def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Column, step, emit, out: str) -> DataFrame:
+    """Fold the session in order: state = step(state, row), and column `out` = emit(state, row) after each step."""
+    g = _sorted(df, keys, order)
+    kind = g.select(F.transform("_rows", lambda r: emit(start, r)).alias("x")).schema["x"].dataType.elementType.simpleString()
+    done = g.withColumn("_o", fold_chunks(F.col("_rows"), start, kind, step, emit))
     pairs = done.select(F.explode(F.arrays_zip("_rows", "_o")).alias("p"))
     return pairs.select("p._rows.*", F.col("p._o").alias(out))
 
@@ -54,25 +69,26 @@ def ewm(df: DataFrame, x: str, keys: Sequence[str], order: Sequence[str], out: s
 
 def ewm_long(df: DataFrame, x: str, keys: Sequence[str], block: str, order: Sequence[str], out: str, alpha: float) -> DataFrame:
     """SCN-1 for a series of any length without nulls: each block (a day) is the affine map y -> p y + q of the last
-    value before it; the maps are composed over the blocks, then each block is scanned from its own start."""
+    value before it; the maps of all blocks before are composed by doubling, in log2(blocks) windows over a row per
+    block, then each block is scanned from its own start."""
     per = _sorted(df, [*keys, block], order)
     ident = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("q"))
     values = F.transform("_rows", lambda r: r[x].cast("double"))
     per = per.select(*(F.col("_rows")[0][k].alias(k) for k in (*keys, block)), values.alias("_v"), "_rows")
     fold = F.aggregate("_v", ident, lambda a, v: F.struct((a["p"] * (1 - alpha)).alias("p"), (a["q"] * (1 - alpha) + alpha * v).alias("q")))
     maps = per.select(*keys, block, fold.alias("m"), F.col("_v")[0].alias("first"))
-    w = over(keys, [block]).rowsBetween(Window.unboundedPreceding, -1)
-    chain = maps.withColumn("earlier", F.collect_list(F.struct("m", "first")).over(w))  # one pair per block
-    start = F.aggregate("earlier", F.lit(None).cast("double"), lambda y, e: e["m"]["p"] * F.coalesce(y, e["first"]) + e["m"]["q"])
-    carried = chain.select(*keys, block, F.coalesce(start, F.col("first")).alias("_y0"))
+    w = over(keys, [block])
+    # y before a block is the composed map of the blocks before, at the first value of the first of them
+    chain = maps.select(*keys, block, "first", F.first("first").over(w).alias("_f"), F.lag("m.p").over(w).alias("_p"), F.lag("m.q").over(w).alias("_q"))
+    most = maps.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 1
+    back = 1
+    while back < most:
+        p, q = F.lag("_p", back).over(w), F.lag("_q", back).over(w)
+        chain = chain.withColumns({"_p": F.coalesce(p * F.col("_p"), "_p"), "_q": F.coalesce(q * F.col("_p") + F.col("_q"), "_q")})
+        back *= 2
+    carried = chain.select(*keys, block, F.coalesce(F.col("_p") * F.col("_f") + F.col("_q"), "first").alias("_y0"))
     both = per.join(carried, [*keys, block])
-    init = F.struct(F.col("_y0").alias("y"), F.array().cast("array<double>").alias("o"))
-
-    def step(a: Column, v: Column) -> Column:
-        y = (1 - alpha) * a["y"] + alpha * v
-        return F.struct(y.alias("y"), F.concat(a["o"], F.array(y)).alias("o"))
-
-    done = both.withColumn("_o", F.aggregate("_v", init, step, lambda a: a["o"]))
+    done = both.withColumn("_o", fold_chunks(F.col("_v"), F.col("_y0"), "double", lambda y, v: (1 - alpha) * y + alpha * v, lambda y, v: y))
     return done.select(F.explode(F.arrays_zip("_rows", "_o")).alias("p")).select("p._rows.*", F.col("p._o").alias(out))
 
 

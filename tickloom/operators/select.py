@@ -68,6 +68,15 @@ def pick_expiry(expiry: str, day: ColumnOrName) -> Column:
     return F.coalesce(F.min(F.when(F.col(expiry) >= col(day), F.col(expiry))), F.max(expiry))
 
 
+def nearest_expiries(days: DataFrame, day: str, expiries: DataFrame, expiry: str, out: str = "expiry") -> DataFrame:
+    """SRT-10: for every distinct day the first expiry on or after it, else the last one: both sorted once by date and filled
+    backwards.  The window sees a row per day and per expiry."""
+    both = days.select(F.col(day).alias("_at"), F.lit(None).cast("date").alias("_x")).distinct().unionByName(expiries.select(F.col(expiry).alias("_at"), F.col(expiry).alias("_x")).distinct())
+    after = Window.orderBy("_at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    filled = both.withColumn(out, F.coalesce(F.min("_x").over(after), F.max("_x").over(Window.partitionBy())))
+    return filled.where("_x is null and _at is not null").select(F.col("_at").alias(day), out)
+
+
 def page(df: DataFrame, order: Sequence[ColumnOrName], number: int, size: int) -> DataFrame:
     """SRT-12: rows of a page; a page beyond the end is the last one.  For reports: ranks need one ordered pass."""
     total = Window.partitionBy()

@@ -71,37 +71,49 @@ def expanding_mean(x: ColumnOrName, least: int, w: WindowSpec) -> Column:
     return F.when(F.count(col(x)).over(running(w)) >= least, F.avg(col(x)).over(running(w)))
 
 
+def _earlier_counts(df: DataFrame, x: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """df with _less, _same and _n: of the rows of the session before this one, those with a smaller and an equal x, and
+    those with any.  A session is one sorted array, of which a row looks at what stands before it."""
+    ordered = F.struct(*(F.col(o).alias(f"_o{i}") for i, o in enumerate(order)), F.struct(*(F.col(c) for c in df.columns)).alias("_row"), F.col(x).alias("_x"))
+    g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(ordered)).alias("_rows")).withColumn("_v", F.transform("_rows", lambda r: r["_x"]))
+
+    def counts(r: Column, i: Column) -> Column:
+        seen = F.slice("_v", F.lit(1), i)
+        size = lambda keep: F.size(F.filter(seen, keep))
+        return F.struct(r["_row"].alias("_row"), size(lambda v: v < r["_x"]).alias("_less"), size(lambda v: v == r["_x"]).alias("_same"), size(lambda v: v.isNotNull()).alias("_n"))
+
+    return g.select(F.explode(F.transform("_rows", counts)).alias("_p")).select("_p._row.*", "_p._less", "_p._same", "_p._n")
+
+
 def expanding_rank(df: DataFrame, x: str, keys: Sequence[str], order: Sequence[str], out: str, least: int = 5) -> DataFrame:
     """WIN-11: (#less + (#equal + 1) / 2) / n among the rows up to this one, nulls left out.
 
-    The frame is a session's running array, so a session must be of bounded length (a day of minutes).
+    A session is of bounded length (a day of minutes): memory grows with it, time with its square.
     """
-    seen = F.collect_list(F.col(x)).over(running(over(keys, order)))
-    df = df.withColumn("_seen", seen)
-    less = F.size(F.filter("_seen", lambda v: v < F.col(x)))
-    same = F.size(F.filter("_seen", lambda v: v == F.col(x)))
-    n = F.size("_seen")
-    return df.withColumn(out, F.when(F.col(x).isNotNull() & (n >= least), (less + (same + 1) / 2) / n)).drop("_seen")
+    df = _earlier_counts(df, x, keys, order)
+    n = F.col("_n") + 1
+    return df.withColumn(out, F.when(F.col(x).isNotNull() & (n >= least), (F.col("_less") + (F.col("_same") + 2) / 2) / n)).drop("_less", "_same", "_n")
 
 
-def history_percentile(df: DataFrame, x: str, keys: Sequence[str], day: str, order: Sequence[str], out: str, bins: int = 4096, days: int = 90) -> DataFrame:
+def history_percentile(df: DataFrame, x: str, keys: Sequence[str], day: str, order: Sequence[str], out: str, days: int = 90) -> DataFrame:
     """WIN-12: 100 * share of earlier values <= x, over the days before (within `days` of them) and the earlier rows of the day.
 
-    Two passes: distinct values of each day with counts, then a join of each row with the day's prior
-    histogram by value order.  The history is carried as (value, cumulated count) per day, never as rows.
+    The distinct values of a day, with counts, go to each of the `days` days after it, and meet that
+    day's own values in one pass in order of value that adds the counts up: a day's rows are never
+    paired with another's.
     """
-    counts = df.where(F.col(x).isNotNull()).groupBy(*keys, day, F.col(x).alias("_v")).agg(F.count("*").alias("_c"))
-    d = counts.select(*keys, F.col(day).alias("_d"), "_v", "_c")
-    here = counts.select(*keys, day, F.col("_v").alias("_x"))
-    past = here.join(d, list(keys)).where((F.col("_d") < F.col(day)) & (F.col("_d") >= F.date_sub(F.col(day), days)))
-    past = past.groupBy(*keys, day, "_x").agg(F.sum(F.when(F.col("_v") <= F.col("_x"), F.col("_c")).otherwise(0)).alias("_le"), F.sum("_c").alias("_n"))
-    w = over([*keys, day], order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumn("_seen", F.collect_list(F.col(x)).over(w))
-    rows = rows.withColumn("_le0", F.size(F.filter("_seen", lambda v: v <= F.col(x)))).withColumn("_n0", F.size("_seen"))
+    counts = df.where(F.col(x).isNotNull()).groupBy(*keys, day, F.col(x).alias("_x")).agg(F.count("*").alias("_c"))
+    later = counts.select(*keys, F.explode(F.sequence(F.date_add(day, 1), F.date_add(day, days))).alias(day), "_x", "_c", F.lit(0).alias("_own"))
+    both = later.join(counts.select(*keys, day).distinct(), [*keys, day], "left_semi").unionByName(counts.withColumn("_c", F.lit(0).cast("long")).withColumn("_own", F.lit(1)))
+    day_of = Window.partitionBy(*keys, day)
+    upto = day_of.orderBy("_x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    past = both.withColumn("_le", F.sum("_c").over(upto)).withColumn("_all", F.sum("_c").over(day_of)).where("_own = 1").drop("_c", "_own")
+    rows = _earlier_counts(df, x, [*keys, day], order)
     on = [rows[k].eqNullSafe(past[k]) for k in (*keys, day)] + [rows[x] == past["_x"]]
-    joined = rows.join(past, on, "left").select(*(rows[c] for c in rows.columns), "_le", "_n")
-    total = F.coalesce("_n", F.lit(0)) + F.col("_n0")
-    return joined.withColumn(out, F.when(F.col(x).isNotNull() & (total > 0), 100.0 * (F.coalesce("_le", F.lit(0)) + F.col("_le0")) / total)).drop("_seen", "_le", "_n", "_le0", "_n0")
+    joined = rows.join(past, on, "left").select(*(rows[c] for c in rows.columns), "_le", "_all")
+    total = F.coalesce("_all", F.lit(0)) + F.col("_n")
+    seen = F.coalesce("_le", F.lit(0)) + F.col("_less") + F.col("_same")
+    return joined.withColumn(out, F.when(F.col(x).isNotNull() & (total > 0), 100.0 * seen / total)).drop("_le", "_all", "_less", "_same", "_n")
 
 
 def clock_baseline(x: ColumnOrName, keys: Sequence[str], clock: str, day_index: str, lookback: int = 30) -> Column:
@@ -202,12 +214,13 @@ def pivots(df: DataFrame, high: str, low: str, keys: Sequence[str], order: Seque
     f = w.rowsBetween(-k, k)
     whole = F.count("*").over(f) == 2 * k + 1
     df = df.withColumn("pivot_high", F.when(whole & (F.col(high) == F.max(high).over(f)), F.col(high))).withColumn("pivot_low", F.when(whole & (F.col(low) == F.min(low).over(f)), F.col(low)))
-    seen = w.rowsBetween(Window.unboundedPreceding, -k)
-    df = df.withColumn("_h", F.collect_list("pivot_high").over(seen)).withColumn("_l", F.collect_list("pivot_low").over(seen))
-    last = lambda c, i: F.try_element_at(F.col(c), F.lit(i))
-    up = (last("_h", -1) > last("_h", -2)) & (last("_l", -1) > last("_l", -2))
-    down = (last("_h", -1) < last("_h", -2)) & (last("_l", -1) < last("_l", -2))
-    return df.withColumn("structure", F.when(up, "HH_HL").when(down, "LH_LL").otherwise("MIXED")).drop("_h", "_l")
+    seen, before = w.rowsBetween(Window.unboundedPreceding, -k), w.rowsBetween(Window.unboundedPreceding, -1)
+    for c in ("high", "low"):  # each pivot knows the one before it
+        df = df.withColumn(f"_{c}", F.when(F.col(f"pivot_{c}").isNotNull(), F.struct(F.col(f"pivot_{c}").alias("at"), F.last(f"pivot_{c}", ignorenulls=True).over(before).alias("prev"))))
+        df = df.withColumn(f"_{c}", F.last(f"_{c}", ignorenulls=True).over(seen))
+    up = (F.col("_high.at") > F.col("_high.prev")) & (F.col("_low.at") > F.col("_low.prev"))
+    down = (F.col("_high.at") < F.col("_high.prev")) & (F.col("_low.at") < F.col("_low.prev"))
+    return df.withColumn("structure", F.when(up, "HH_HL").when(down, "LH_LL").otherwise("MIXED")).drop("_high", "_low")
 
 
 def breakout_state(high: str, low: str, close: str, n: int, w: WindowSpec) -> Column:

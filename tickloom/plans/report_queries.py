@@ -175,12 +175,6 @@ def t_statistic(spark: SparkSession, sf: str) -> DataFrame:
     return E.t_statistic(trades(spark, sf), ["regime"], "ret").select("regime", "n", F.round("mean", 6).alias("mean"), F.round("t", 5).alias("t"))
 
 
-@query("evl_12_set_8_bootstrap")
-def bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    """Interval of the mean return by resampling days; distributional, so no SQL."""
-    return rounded(E.bootstrap_mean(trades(spark, sf), "day", "ret"))
-
-
 @query("evl_13_gates", "WITH " + TRADES + ", s AS (SELECT regime, count(*) AS trades, avg((ret > 0)::INT) AS w, sum(ret) FILTER (ret > 0) / nullif(-sum(ret) FILTER (ret < 0), 0) AS pf FROM trades GROUP BY 1) SELECT regime, trades >= 100 AS enough, coalesce(pf >= 1.2, false) AS profitable, w >= 0.5 AS wins, trades >= 100 AND coalesce(pf >= 1.2, false) AND w >= 0.5 AS passed FROM s")
 def gates(spark: SparkSession, sf: str) -> DataFrame:
     s = E.trade_summary(trades(spark, sf), ["regime"], "ret").select("regime", "trades", "win_rate", "profit_factor")
@@ -209,11 +203,10 @@ def ab_compare(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(E.ab_compare(t.where("side = 'F'"), t.where("side = 'O'"), "day", "ret"))
 
 
-@query("scn_9_evl_21_daily_equity", "WITH " + TRADES + ", e AS (SELECT day, id, ret, 100 + sum(ret) OVER (ORDER BY day, id) AS q FROM trades WHERE regime = '1-URGENT') SELECT day, count(*) AS trades, round(arg_max(q, id), 5) AS end_equity, round(max(ret), 5) AS best, round(min(ret), 5) AS worst FROM e GROUP BY day")
+@query("scn_9_evl_21_daily_equity", "WITH " + TRADES + ", e AS (SELECT regime, day, id, ret, 100 + sum(ret) OVER (PARTITION BY regime ORDER BY day, id) AS q FROM trades) SELECT regime, day, count(*) AS trades, round(arg_max(q, id), 5) AS end_equity, round(max(ret), 5) AS best, round(min(ret), 5) AS worst FROM e GROUP BY regime, day")
 def daily_equity(spark: SparkSession, sf: str) -> DataFrame:
-    t = trades(spark, sf).where("regime = '1-URGENT'")
-    c = C.daily_equity(t, "ret", "day", ["regime"], ["day", "id"], 100.0)
-    return c.select("day", "trades", *(F.round(x, 5).alias(x) for x in ("end_equity", "best", "worst")))
+    c = C.daily_equity(trades(spark, sf), "ret", "day", ["regime"], ["day", "id"], 100.0)
+    return c.select("regime", "day", "trades", *(F.round(x, 5).alias(x) for x in ("end_equity", "best", "worst")))
 
 
 # ---------------------------------------------------------------- streams
@@ -223,13 +216,12 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
     return readers.stream(spark, f"{sf}/events*.parquet", spark.read.parquet(f"{sf}/events.parquet").schema)
 
 
-@query("str_1_2_dedupe_envelopes", "SELECT count(*) AS n, count(DISTINCT user_id) AS users FROM (SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE user_id % 4 = 0)")
+@query("str_1_2_dedupe_envelopes", "SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
 def dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    raw = _stream(spark, sf).where("user_id % 4 = 0").select(F.to_json(F.struct("user_id", F.col("ts").alias("at"), "props")).alias("value"))
+    raw = _stream(spark, sf).select(F.to_json(F.struct("user_id", F.col("ts").alias("at"), "props")).alias("value"))
     good, _ = ST.parsed(raw, "value", "user_id long, at timestamp, props string", ["user_id", "at"])
     keyed = good.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    out = ST.run_to_table(ST.deduplicated(keyed, "at", ["user_id", "k"], "60 days").select("user_id", "k"), "dedupe")
-    return out.agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+    return ST.run_to_table(ST.deduplicated(keyed, "at", ["user_id", "k"], "60 days").select("user_id", "k"), "dedupe")
 
 
 @query("str_7_tick_bars", "SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS bar_ts, event_type, round(first(value ORDER BY ts, event_id), 6) AS open, round(max(value), 6) AS high, round(min(value), 6) AS low, round(last(value ORDER BY ts, event_id), 6) AS close, count(*) AS n FROM events WHERE value > 0 GROUP BY ALL")
@@ -239,12 +231,24 @@ def tick_bars(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.withColumn("bar_ts", F.col("bar_ts").cast("timestamp_ntz")))
 
 
-@query("str_3_sliding_and_sessions", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+@query(
+    "str_3_sliding_and_sessions",
+    """WITH g AS (SELECT user_id, event_type, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 1 HOUR, true) AS new FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts)), s AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id, event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM g)
+SELECT user_id, event_type, min(ts) AS first_ts, max(ts) + INTERVAL 1 HOUR AS end_ts, count(*) AS n FROM s GROUP BY user_id, event_type, i""",
+)
 def session_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Sessions of each user and type that end after an hour's gap; summed again they hold every event once."""
+    """Sessions of each user and type, which end an hour after their last event."""
     s = _stream(spark, sf).withColumn("at", F.col("ts").cast("timestamp"))
     out = ST.run_to_table(ST.sessions(s, "at", ["user_id", "event_type"], "1 hour"), "sessions", "complete")
-    return out.groupBy("event_type").agg(F.sum("n").alias("n"))
+    return out.select("user_id", "event_type", F.col("start").cast("timestamp_ntz").alias("first_ts"), F.col("end").cast("timestamp_ntz").alias("end_ts"), "n")
+
+
+@query("str_3_sliding_windows", "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR * k AS first_ts, count(*) AS n FROM events, (SELECT unnest([0, 1, 2]) AS k) GROUP BY ALL")
+def sliding_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of three-hour windows that begin every hour."""
+    s = _stream(spark, sf).withColumn("at", F.col("ts").cast("timestamp"))
+    out = ST.run_to_table(ST.sliding_counts(s, "at", ["event_type"], "3 hours", "1 hour", "10 minutes"), "sliding", "complete")
+    return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("first_ts"), "n")
 
 
 @query("str_5_upserted_stream", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
@@ -275,12 +279,18 @@ def _ticks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "str_8_14_rolling_features",
-    "WITH " + BARS + """, p AS (SELECT *, list(price) OVER w AS v, max(price) OVER w AS h, min(price) OVER w AS l, sum(price * volume) OVER w / nullif(sum(volume) OVER w, 0) AS vw, row_number() OVER w AS bar FROM bars WINDOW w AS (PARTITION BY session, instrument ORDER BY ts, event_id))
-SELECT instrument, event_id, round(list_reduce(v, lambda y, x: y * 0.8 + x * 0.2), 6) AS ema, round(h, 6) AS day_high, round(l, 6) AS day_low, round(vw, 6) AS vwap, bar FROM p""",
+    "WITH " + BARS + """, d AS (SELECT *, price - lag(price) OVER o AS d, CASE WHEN count(*) OVER f = 5 AND price = max(price) OVER f THEN price END AS ph, CASE WHEN count(*) OVER f = 5 AND price = min(price) OVER f THEN price END AS pl
+  FROM bars WINDOW o AS (PARTITION BY session, instrument ORDER BY ts, event_id), f AS (PARTITION BY session, instrument ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+p AS (SELECT *, list(price) OVER w AS v, list(greatest(d, 0.0)) FILTER (d IS NOT NULL) OVER w AS g, list(greatest(-d, 0.0)) FILTER (d IS NOT NULL) OVER w AS l, list(coalesce(abs(d), 0.0)) OVER w AS tr, max(price) OVER w AS h, min(price) OVER w AS lo,
+  sum(price * volume) OVER w / nullif(sum(volume) OVER w, 0) AS vw, row_number() OVER w AS bar, list(ph) FILTER (ph IS NOT NULL) OVER s AS hs, list(pl) FILTER (pl IS NOT NULL) OVER s AS ls
+  FROM d WINDOW w AS (PARTITION BY session, instrument ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), s AS (PARTITION BY session, instrument ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING)),
+e AS (SELECT *, list_reduce(g, lambda y, x: y + (x - y) / 14) AS eg, list_reduce(l, lambda y, x: y + (x - y) / 14) AS el FROM p WHERE bar > 1)
+SELECT p.instrument, p.event_id, round(list_reduce(p.v, lambda y, x: y * 0.8 + x * 0.2), 6) AS ema, round(p.h, 6) AS day_high, round(p.lo, 6) AS day_low, round(p.vw, 6) AS vwap, p.bar, round(list_reduce(p.tr, lambda y, x: y + (x - y) / 14), 6) AS atr,
+  round(CASE WHEN p.bar > 14 AND e.el > 0 THEN 100 - 100 / (1 + e.eg / e.el) END, 6) AS rsi, CASE WHEN p.hs[-1] > p.hs[-2] AND p.ls[-1] > p.ls[-2] THEN 'HH_HL' WHEN p.hs[-1] < p.hs[-2] AND p.ls[-1] < p.ls[-2] THEN 'LH_LL' ELSE 'MIXED' END AS structure FROM p LEFT JOIN e USING (event_id)""",
 )
 def rolling_features(spark: SparkSession, sf: str) -> DataFrame:
     out = ST.run_to_table(ST.rolling_features(_ticks(spark, sf).select("instrument", "session", "ts", "event_id", "price", "volume")), "features")
-    return rounded(out, "instrument", "event_id", "ema", "day_high", "day_low", "vwap", "bar")
+    return rounded(out, "instrument", "event_id", "ema", "day_high", "day_low", "vwap", "bar", "atr", "rsi", "structure")
 
 
 @query(

@@ -195,11 +195,10 @@ def best_candidate(spark: SparkSession, sf: str) -> DataFrame:
     return T.best_candidate(bars(spark, sf), ["user_id"], [F.desc("price"), "volume", "event_id"], (F.col("price") > 5) & (F.col("volume") > 10)).select("user_id", "event_id")
 
 
-@query("srt_10_expiry_choice", "WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), x AS (SELECT DISTINCT CAST(date_trunc('month', l_shipdate) AS DATE) AS exp FROM lineitem WHERE l_shipdate < TIMESTAMP '2000-01-01') SELECT day, coalesce(min(exp) FILTER (exp >= day), max(exp)) AS expiry FROM d, x GROUP BY day")
+@query("srt_10_expiry_choice", "WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), x AS (SELECT DISTINCT CAST(date_trunc('month', l_shipdate) AS DATE) AS exp FROM lineitem) SELECT day, coalesce(min(exp) FILTER (exp >= day), max(exp)) AS expiry FROM d, x GROUP BY day")
 def expiry_choice(spark: SparkSession, sf: str) -> DataFrame:
-    days = read(spark, sf, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
-    exps = read(spark, sf, "lineitem").where("l_shipdate < timestamp_ntz'2000-01-01'").select(F.date_trunc("month", "l_shipdate").cast("date").alias("exp")).distinct()
-    return days.crossJoin(F.broadcast(exps.limit(2000))).groupBy("day").agg(T.pick_expiry("exp", "day").alias("expiry"))  # months up to 2000
+    days = read(spark, sf, "orders").select(F.to_date("o_orderdate").alias("day"))
+    return T.nearest_expiries(days, "day", read(spark, sf, "lineitem").select(F.date_trunc("month", "l_shipdate").cast("date").alias("exp")), "exp", "expiry")
 
 
 @query("srt_12_page", "WITH " + TRADES + " SELECT id, round(ret, 6) AS ret, rn::INTEGER AS row_number FROM (SELECT *, row_number() OVER (ORDER BY ret DESC, id) AS rn FROM trades) WHERE rn BETWEEN 51 AND 75")
@@ -237,9 +236,9 @@ def splits(spark: SparkSession, sf: str) -> DataFrame:
     return T.split_days(bars(spark, sf), "session")
 
 
-@query("agg_34_absent_days", "WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_custkey % 7 = 1), c AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM d)::TIMESTAMP, (SELECT max(day) FROM d)::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS day) SELECT day FROM c WHERE isodow(day) < 6 AND day NOT IN (SELECT day FROM d)")
+@query("agg_34_absent_days", "WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderstatus = 'P'), c AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM d)::TIMESTAMP, (SELECT max(day) FROM d)::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS day) SELECT day FROM c WHERE isodow(day) < 6 AND day NOT IN (SELECT day FROM d)")
 def absent(spark: SparkSession, sf: str) -> DataFrame:
-    return T.absent_days(read(spark, sf, "orders").where("o_custkey % 7 = 1").select(F.to_date("o_orderdate").alias("day")), "day")
+    return T.absent_days(read(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.to_date("o_orderdate").alias("day")), "day")
 
 
 # ---------------------------------------------------------------- chains
@@ -327,7 +326,7 @@ def clock_return(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(L.clock_return(hourly(spark, sf), KEYS, "hr", "close", 10, 3, 0.2), "session", "instrument", "ret", "label")
 
 
-_PATHS = NUMBERED + ", e AS (SELECT session, instrument, event_id AS id, rn, price AS entry FROM b WHERE rn % 20 = 1 AND price > 0), p AS (SELECT e.id, e.entry, x.rn - e.rn AS k, x.price / e.entry - 1 AS pnl FROM e JOIN b x ON x.session = e.session AND x.instrument = e.instrument AND x.rn > e.rn AND x.rn <= e.rn + 10)"
+_PATHS = NUMBERED + ", e AS (SELECT session, instrument, event_id AS id, rn, price AS entry FROM b WHERE price > 0), p AS (SELECT e.id, e.entry, x.rn - e.rn AS k, x.price / e.entry - 1 AS pnl FROM e JOIN b x ON x.session = e.session AND x.instrument = e.instrument AND x.rn > e.rn AND x.rn <= e.rn + 10)"
 
 
 @query(
@@ -339,12 +338,12 @@ def first_touch_exits(spark: SparkSession, sf: str) -> DataFrame:
     _w = W.over(KEYS, ORDER)
     b = bars(spark, sf).withColumn("rn", F.row_number().over(_w))
     path = F.collect_list(F.struct("rn", "price")).over(_w.rowsBetween(1, 10))
-    e = b.withColumn("path", path).where("rn % 20 = 1 and price > 0").select(F.col("event_id").alias("id"), F.col("price").alias("entry"), F.col("rn").alias("r0"), F.explode("path").alias("x"))
+    e = b.withColumn("path", path).where("price > 0").select(F.col("event_id").alias("id"), F.col("price").alias("entry"), F.col("rn").alias("r0"), F.explode("path").alias("x"))
     p = e.select("id", "entry", (F.col("x.rn") - F.col("r0")).alias("k"), F.col("x.price").alias("now"))
     return rounded(L.first_touch(p, "entry", "now", "k", stop=0.5, target=1.0, trail_arm=0.6, trail_back=0.3, time_stop=8))
 
 
-@query("lbl_13_14_16_breach_and_class", "WITH " + NUMBERED + ", x AS (SELECT session, instrument, min(ts) FILTER (price > 100) AS first_breach, count(*) FILTER (price > 100) AS breaches, max(price) - first(price ORDER BY ts, event_id) AS up, first(price ORDER BY ts, event_id) - min(price) AS down FROM b GROUP BY ALL) SELECT session, instrument, first_breach, breaches, CASE WHEN up < 20 AND down < 20 THEN 'NO_MOVE' WHEN up >= 20 AND down >= 20 THEN 'CHOP' WHEN up >= 100 THEN 'BIG_UP' WHEN down >= 100 THEN 'BIG_DOWN' WHEN up >= 20 THEN 'SMALL_UP' WHEN down >= 20 THEN 'SMALL_DOWN' END AS move FROM x")
+@query("lbl_14_16_breach_and_class", "WITH " + NUMBERED + ", x AS (SELECT session, instrument, min(ts) FILTER (price > 100) AS first_breach, count(*) FILTER (price > 100) AS breaches, max(price) - first(price ORDER BY ts, event_id) AS up, first(price ORDER BY ts, event_id) - min(price) AS down FROM b GROUP BY ALL) SELECT session, instrument, first_breach, breaches, CASE WHEN up < 20 AND down < 20 THEN 'NO_MOVE' WHEN up >= 20 AND down >= 20 THEN 'CHOP' WHEN up >= 100 THEN 'BIG_UP' WHEN down >= 100 THEN 'BIG_DOWN' WHEN up >= 20 THEN 'SMALL_UP' WHEN down >= 20 THEN 'SMALL_DOWN' END AS move FROM x")
 def breach_and_class(spark: SparkSession, sf: str) -> DataFrame:
     o = F.min_by("price", F.struct(*ORDER))
     g = bars(spark, sf).groupBy(*KEYS).agg(*L.first_breach(KEYS, "ts", F.col("price") > 100), (F.max("price") - o).alias("up"), (o - F.min("price")).alias("down"))
@@ -385,16 +384,6 @@ def slopes(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "embeddings").select("vec_id", F.round(S.slope("embedding", normal=False), 5).alias("slope"))
 
 
-@query("fun_13_option_values")
-def option_values(spark: SparkSession, sf: str) -> DataFrame:
-    """Value, greeks and the volatility solved back from the value, for every part as a contract."""
-    p = read(spark, sf, "part")
-    strike, vol, call = 800 + F.col("p_size") * 10.0, 0.1 + F.col("p_size") / 100, F.col("p_partkey") % 2 == 0
-    years, rate = F.lit(0.25), F.lit(0.06)
-    x = p.select("p_partkey", F.col("p_retailprice").alias("spot"), strike.alias("strike"), vol.alias("vol"), call.alias("call")).withColumn("value", S.option_value(F.col("spot"), F.col("strike"), years, rate, F.col("vol"), F.col("call")))
-    return rounded(x.withColumn("solved", S.implied_vol(F.col("value"), F.col("spot"), F.col("strike"), years, rate, F.col("call"))).withColumn("g", S.greeks(F.col("spot"), F.col("strike"), years, rate, F.col("vol"), F.col("call"))).select("p_partkey", "value", "vol", "solved", "g.*"))
-
-
 @query(
     "fun_15_book_metrics",
     "WITH " + NUMBERED + """, g AS (SELECT session, instrument, list(price ORDER BY rn)[1:3] AS p, list(volume ORDER BY rn)[1:3] AS q, list(price ORDER BY rn DESC)[1:3] AS ap, list(volume ORDER BY rn DESC)[1:3] AS aq FROM b GROUP BY ALL)
@@ -498,10 +487,10 @@ def day_bands(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "dqc_11_latest_block",
-    "WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) % 5 <> 1 AS good FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1), k AS (SELECT *, max(day) FILTER (good) OVER () AS last FROM d), x AS (SELECT * FROM k WHERE day <= last), y AS (SELECT *, sum((NOT good OR coalesce(day - lag(day) OVER (ORDER BY day) > 3, false) OR coalesce(NOT lag(good) OVER (ORDER BY day), false))::INT) OVER (ORDER BY day) AS g FROM (SELECT *, day - lag(day) OVER (ORDER BY day) AS gp FROM x)), z AS (SELECT * FROM y WHERE good) SELECT min(day) AS first_day, max(day) AS last_day, count(*) AS days FROM z WHERE g = (SELECT max(g) FROM z)".replace("sum((NOT good OR coalesce(day - lag(day) OVER (ORDER BY day) > 3, false) OR coalesce(NOT lag(good) OVER (ORDER BY day), false))::INT) OVER (ORDER BY day) AS g FROM (SELECT *, day - lag(day) OVER (ORDER BY day) AS gp FROM x)", "sum((NOT good OR coalesce(gp > 3, false) OR coalesce(NOT lg, false))::INT) OVER (ORDER BY day) AS g FROM (SELECT *, day - lag(day) OVER (ORDER BY day) AS gp, lag(good) OVER (ORDER BY day) AS lg FROM x)"),
+    "WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) % 5 <> 1 AS good FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1), k AS (SELECT *, max(day) FILTER (good) OVER () AS last FROM d), x AS (SELECT * FROM k WHERE day <= last), y AS (SELECT *, sum((NOT good OR coalesce(day - lag(day) OVER (ORDER BY day) > 3, false) OR coalesce(NOT lag(good) OVER (ORDER BY day), false))::INT) OVER (ORDER BY day) AS g FROM (SELECT *, day - lag(day) OVER (ORDER BY day) AS gp FROM x)), z AS (SELECT * FROM y WHERE good) SELECT min(day) AS first_day, max(day) AS last_day, count(*) AS days FROM z WHERE g = (SELECT max(g) FROM z)".replace("sum((NOT good OR coalesce(day - lag(day) OVER (ORDER BY day) > 3, false) OR coalesce(NOT lag(good) OVER (ORDER BY day), false))::INT) OVER (ORDER BY day) AS g FROM (SELECT *, day - lag(day) OVER (ORDER BY day) AS gp FROM x)", "sum((NOT good OR coalesce(gp > 3, false) OR coalesce(NOT lg, false))::INT) OVER (ORDER BY day) AS g FROM (SELECT *, day - lag(day) OVER (ORDER BY day) AS gp, lag(good) OVER (ORDER BY day) AS lg FROM x)"),
 )
 def latest_block(spark: SparkSession, sf: str) -> DataFrame:
-    d = read(spark, sf, "orders").where("o_custkey % 3 = 0").groupBy(F.to_date("o_orderdate").alias("day")).agg((F.count("*") % 5 != 1).alias("good"))
+    d = read(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").groupBy(F.to_date("o_orderdate").alias("day")).agg((F.count("*") % 5 != 1).alias("good"))
     return Q.latest_block(d, "day", "good", 3)
 
 

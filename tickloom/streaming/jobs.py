@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.scalar import book_metrics
@@ -103,54 +104,94 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(versions[-1]) if versions else spark.createDataFrame([], df.schema)
 
 
-def run_upserts(df: DataFrame, name: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """STR-5, SNK-4: fold each micro-batch into a keyed table.  Every batch writes a new version from the one before, named
-    by the batch's number, so a batch that runs again writes the same version."""
+#: Buckets of a keyed table; a micro-batch rewrites those that it has keys of.
+BUCKETS = 64
+
+
+def run_upserts(df: DataFrame, name: str, keys: Sequence[str], order: Sequence[str], folder: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """STR-5, SNK-4: fold each micro-batch into a keyed table and read it.
+
+    Rows are in buckets by a hash of the key, each with versions named by the batch that wrote them; a
+    batch reads and writes its own buckets only, then commits their list.  All of it is on disk in
+    `folder`, so a query that is started again there goes on, and a batch that runs again writes the same.
+    """
     spark = df.sparkSession
-    path = scratch(spark, name)
-    done: dict[int, str] = {}
+    path = folder or scratch(spark, name)
+    rows, commits = f"{path}/rows", f"{path}/commits"
+    spark.createDataFrame([], df.schema).write.mode("ignore").parquet(f"{rows}/_bucket=-1/_version=-1")
+    spark.createDataFrame([], "_bucket int, _version long").write.mode("ignore").parquet(f"{commits}/batch=-1")
+    schema = T.StructType([*df.schema.fields, T.StructField("_bucket", T.IntegerType()), T.StructField("_version", T.LongType())])
+
+    def current(before: int | None = None) -> DataFrame:
+        done = spark.read.schema("_bucket int, _version long, batch long").parquet(commits)
+        done = done.where(F.col("batch") < before) if before is not None else done
+        last = done.groupBy("_bucket").agg(F.max("_version").alias("_version"))
+        return spark.read.schema(schema).parquet(rows).join(F.broadcast(last), ["_bucket", "_version"])  # a row per bucket
 
     def fold(batch: DataFrame, n: int) -> None:
-        prior = max((k for k in done if k < n), default=None)
-        current = spark.read.parquet(done[prior]) if prior is not None else None
-        upserted(current, batch, keys, order).write.mode("overwrite").parquet(f"{path}/v{n}")
-        done[n] = f"{path}/v{n}"
+        batch = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = batch.select("_bucket").distinct().persist()
+        try:
+            old = current(n).drop("_version").join(F.broadcast(touched), "_bucket", "left_semi")  # at most one row per bucket
+            new = upserted(old.select(batch.columns), batch, keys, order).withColumn("_version", F.lit(n).cast("long"))
+            new.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket", "_version").parquet(rows)
+            touched.withColumn("_version", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{commits}/batch={n}")
+        finally:
+            touched.unpersist()
 
-    df.writeStream.foreachBatch(fold).option("checkpointLocation", scratch(spark, f"{name}-checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(done[max(done)]) if done else spark.createDataFrame([], df.schema)
+    df.writeStream.foreachBatch(fold).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return current().drop("_bucket", "_version")
 
 
 class RollingFeatures(StatefulProcessor):
-    """STR-8, STR-14, STR-18: per key and session running features: EMA, high, low, VWAP, return; a new session resets them."""
+    """STR-8, STR-14, STR-18: running features of each instrument and session: EMA, high, low, VWAP, return, RSI and ATR (Wilder,
+    by ticks), and the structure of the last pivots (two rows on both sides).  A session's key ends its state; what carries
+    over sessions comes by with_daily_context."""
 
-    def __init__(self, span: int = 9):
-        self.alpha = 2.0 / (span + 1)
+    def __init__(self, span: int = 9, n: int = 14):
+        self.alpha, self.n = 2.0 / (span + 1), n
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("features", "session string, ema double, high double, low double, pv double, v double, last double, n long")
+        self.state = handle.getValueState(
+            "features", "ema double, high double, low double, pv double, v double, last double, n long, gain double, loss double, atr double, tail array<double>, highs array<double>, lows array<double>"
+        )
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:  # noqa: N802
-        held = self.state.get() if self.state.exists() else None
-        session, ema, high, low, pv, v, last, n = held if held is not None else (None, None, None, None, 0.0, 0.0, None, 0)
+        held = self.state.get() if self.state.exists() else (None, None, None, 0.0, 0.0, None, 0, None, None, None, [], [], [])
+        ema, high, low, pv, v, last, n, gain, loss, atr, tail, highs, lows = held
+        tail, highs, lows = list(tail), list(highs), list(lows)
+        smooth = lambda y, x: x if y is None else y + (x - y) / self.n
         frame = pd.concat(list(rows)).sort_values(["ts", "event_id"])
         out = []
-        for r in frame.itertuples(index=False):
-            if r.session != session:
-                session, ema, high, low, pv, v, last, n = r.session, None, None, None, 0.0, 0.0, None, 0
-            x = float(r.price)
+        for event, x, volume in zip(frame["event_id"].tolist(), frame["price"].astype(float).tolist(), frame["volume"].astype(float).tolist(), strict=True):
             ema = x if ema is None else ema + self.alpha * (x - ema)
             high, low = (x, x) if high is None else (max(high, x), min(low, x))
-            pv, v, n = pv + x * float(r.volume), v + float(r.volume), n + 1
-            out.append((*key, r.event_id, session, ema, high, low, pv / v if v else None, None if last is None or last == 0 else x / last - 1, n))
+            pv, v, n = pv + x * volume, v + volume, n + 1
+            move = 0.0 if last is None else x - last
+            if last is not None:
+                gain, loss = smooth(gain, max(move, 0.0)), smooth(loss, max(-move, 0.0))
+            atr = smooth(atr, abs(move))
+            tail = [*tail[-4:], x]
+            if len(tail) == 5:
+                if tail[2] == max(tail):
+                    highs = [*highs[-1:], tail[2]]
+                if tail[2] == min(tail):
+                    lows = [*lows[-1:], tail[2]]
+            structure = "MIXED"
+            if len(highs) == len(lows) == 2:
+                up, down = highs[1] > highs[0] and lows[1] > lows[0], highs[1] < highs[0] and lows[1] < lows[0]
+                structure = "HH_HL" if up else "LH_LL" if down else "MIXED"
+            rsi = 100 - 100 / (1 + gain / loss) if n > self.n and loss else None
+            out.append((*key, event, ema, high, low, pv / v if v else None, None if last is None or last == 0 else x / last - 1, rsi, atr, structure, n))
             last = x
-        self.state.update((session, ema, high, low, pv, v, last, n))
-        yield pd.DataFrame(out, columns=["instrument", "event_id", "session", "ema", "day_high", "day_low", "vwap", "ret", "bar"])
+        self.state.update((ema, high, low, pv, v, last, n, gain, loss, atr, tail, highs, lows))
+        yield pd.DataFrame(out, columns=["instrument", "session", "event_id", "ema", "day_high", "day_low", "vwap", "ret", "rsi", "atr", "structure", "bar"])
 
     def close(self) -> None:
         pass
 
 
-FEATURES_SCHEMA = "instrument string, event_id long, session string, ema double, day_high double, day_low double, vwap double, ret double, bar long"
+FEATURES_SCHEMA = "instrument string, session string, event_id long, ema double, day_high double, day_low double, vwap double, ret double, rsi double, atr double, structure string, bar long"
 
 
 def _stateful(df: DataFrame) -> None:
@@ -162,7 +203,7 @@ def _stateful(df: DataFrame) -> None:
 def rolling_features(df: DataFrame, span: int = 9) -> DataFrame:
     """A stream of (instrument, session, ts, event_id, price, volume) with running features.  Needs the RocksDB state store."""
     _stateful(df)
-    return df.groupBy("instrument").transformWithStateInPandas(RollingFeatures(span), FEATURES_SCHEMA, "append", "None")
+    return df.groupBy("instrument", "session").transformWithStateInPandas(RollingFeatures(span), FEATURES_SCHEMA, "append", "None")
 
 
 class CutoffEnricher(StatefulProcessor):
