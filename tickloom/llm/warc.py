@@ -33,29 +33,23 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _line(url: str) -> str:
-    return url.replace("\r", "%0D").replace("\n", "%0A")
-
-
 def record_id(page_id: int | None, task: int, place: int) -> str:
     """The identifier of the record at a place of a task: rows that repeat a page_id, or have none, still differ."""
     return f"<urn:uuid:{uuid.uuid5(_NAMES, f'page:{page_id}:{task}:{place}')}>"
 
 
-def record(identifier: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None = None, date: str = "2024-01-01T00:00:00Z") -> bytes:
+def record(identifier: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str = "2024-01-01T00:00:00Z") -> bytes:
     """The bytes of one WARC/1.1 record: response with the payload, or revisit without it."""
     kind = "response" if refers_to is None else "revisit"
     block = payload if refers_to is None else b""
     head = [f"WARC-Type: {kind}", f"WARC-Record-ID: {identifier}", f"WARC-Date: {date}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + _line(url))
+        head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if page_id is not None:
         head.append(f"WARC-Page-ID: {page_id}")
     head.append(f"WARC-Payload-Digest: sha1:{payload_digest(payload)}")
     if refers_to is not None:
         head += [f"WARC-Refers-To-Page-ID: {refers_to}", f"WARC-Refers-To-Date: {date}", f"WARC-Profile: {PROFILE}", f"WARC-Payload-Length: {len(payload)}"]
-        if refers_url is not None:
-            head.append("WARC-Refers-To-Target-URI: " + _line(refers_url))
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}"]
     return b"WARC/1.1\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -149,21 +143,21 @@ def write_bundles(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFram
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     body = F.encode("html", "utf-8")
-    marks = pages.select("page_id", "url", F.sha1(body).alias("sha"), F.octet_length("html").alias("size")).where(F.col("size") >= min_bytes)
-    last = marks.groupBy("sha").agg(F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("last"), F.count("*").alias("n")).where("n > 1").select("sha", "last")
-    refers = marks.join(last, "sha").where("page_id <> last.page_id").select("page_id", "sha", F.col("last.page_id").alias("refers_to"), F.col("last.url").alias("refers_url"))
+    marks = pages.select("page_id", F.sha1(body).alias("sha"), F.octet_length("html").alias("size")).where(F.col("size") >= min_bytes)
+    last = marks.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("sha", "last")
+    refers = marks.join(last, "sha").where("page_id <> last").select("page_id", "sha", F.col("last").alias("refers_to"))
     rows = pages.withColumn("sha", F.sha1(body)).join(refers.distinct(), ["page_id", "sha"], "left")
-    rows = rows.select("page_id", "url", "html", "refers_to", "refers_url")
+    rows = rows.select("page_id", "url", "html", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle, done, place = None, [], 0
         task = TaskContext.get()
         for batch in batches:
-            for page_id, url, html, refers_to, refers_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bundle is None:
                     bundle = Bundle(f"{folder}/{task.partitionId():06d}-{uuid.uuid4().hex}.warc.zst")
                 identifier = record_id(page_id, task.partitionId(), place)
-                bundle.add(identifier, record(identifier, page_id, url, html.encode(), refers_to, refers_url))
+                bundle.add(identifier, record(identifier, page_id, url, html.encode(), refers_to))
                 place += 1
                 if bundle.out.size >= BUNDLE_BYTES:
                     done.append(bundle.close())
