@@ -245,9 +245,11 @@ def counterfactual(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- evaluation
 
 
-@query("evl_1_profit_factor", "WITH " + TRADES + " SELECT day, round(coalesce(sum(ret) FILTER (ret > 0), 0) / nullif(-sum(ret) FILTER (ret < 0), 0), 3) AS profit_factor FROM trades GROUP BY day")
+@query("evl_1_profit_factor", "WITH " + TRADES + ", m AS (SELECT day, round(ret * 1000000)::BIGINT AS r FROM trades) SELECT day, round(coalesce(sum(r) FILTER (r > 0), 0)::DOUBLE / nullif(-sum(r) FILTER (r < 0), 0), 6) AS profit_factor FROM m GROUP BY day")
 def profit_factor(spark: SparkSession, sf: str) -> DataFrame:
-    return trades(spark, sf).groupBy("day").agg(F.round(E.profit_factor("ret"), 3).alias("profit_factor"))
+    """Returns in whole millionths, so that sums are exact."""
+    t = trades(spark, sf).select("day", F.round(F.col("ret") * 1000000).cast("long").alias("r"))
+    return rounded(t.groupBy("day").agg(E.profit_factor("r").cast("double").alias("profit_factor")))
 
 
 @query(
@@ -327,11 +329,11 @@ def separation_stability(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("feature", "windows", *(F.round(c, 5).alias(c) for c in ("mean_d", "spread_d", "sign_share", "drift_d")))
 
 
-@query("evl_21_capital_metrics", "SELECT l_orderkey, l_linenumber, round(e * q, 4) AS at_risk, round((x - e) * q, 4) AS pnl_amount, round((x - e) * q / 100000, 6) AS capital_share, round(CASE WHEN mfe > 0 THEN (x / e - 1) / mfe END, 6) AS capture FROM (SELECT l_orderkey, l_linenumber, l_extendedprice AS e, l_extendedprice * (1 + l_discount - l_tax) AS x, l_quantity AS q, l_discount AS mfe FROM lineitem)")
+@query("evl_21_capital_metrics", "SELECT l_orderkey, l_linenumber, round(e * q, 4) AS at_risk, round((x - e) * q, 4) AS pnl_amount, round((x - e) * q / 100000, 9) AS capital_share, round(CASE WHEN mfe > 0 THEN (x / e - 1) / mfe END, 6) AS capture FROM (SELECT l_orderkey, l_linenumber, l_extendedprice AS e, l_extendedprice * (1 + l_discount - l_tax) AS x, l_quantity AS q, l_discount AS mfe FROM lineitem)")
 def capital_metrics(spark: SparkSession, sf: str) -> DataFrame:
     li = read(spark, sf, "lineitem").withColumn("exit", F.col("l_extendedprice") * (1 + F.col("l_discount") - F.col("l_tax")))
     x = E.capital_metrics(li, "l_extendedprice", "exit", "l_quantity", "l_discount", 100000.0)
-    return x.select("l_orderkey", "l_linenumber", F.round("at_risk", 4).alias("at_risk"), F.round("pnl_amount", 4).alias("pnl_amount"), F.round("capital_share", 6).alias("capital_share"), F.round("capture", 6).alias("capture"))
+    return x.select("l_orderkey", "l_linenumber", F.round("at_risk", 4).alias("at_risk"), F.round("pnl_amount", 4).alias("pnl_amount"), F.round("capital_share", 9).alias("capital_share"), F.round("capture", 6).alias("capture"))
 
 
 # ---------------------------------------------------------------- quality

@@ -203,10 +203,10 @@ def ab_compare(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(E.ab_compare(t.where("side = 'F'"), t.where("side = 'O'"), "day", "ret"))
 
 
-@query("scn_9_evl_21_daily_equity", "WITH " + TRADES + ", e AS (SELECT regime, day, id, ret, 100 + sum(ret) OVER (PARTITION BY regime ORDER BY day, id) AS q FROM trades) SELECT regime, day, count(*) AS trades, round(arg_max(q, id), 5) AS end_equity, round(max(ret), 5) AS best, round(min(ret), 5) AS worst FROM e GROUP BY regime, day")
+@query("scn_9_evl_21_daily_equity", "WITH " + TRADES + ", e AS (SELECT regime, day, id, ret, 100 + sum(ret) OVER (PARTITION BY regime ORDER BY day, id) AS q FROM trades) SELECT regime, day, count(*) AS trades, round(arg_max(q, id), 6) AS end_equity, round(max(ret), 6) AS best, round(min(ret), 6) AS worst FROM e GROUP BY regime, day")
 def daily_equity(spark: SparkSession, sf: str) -> DataFrame:
     c = C.daily_equity(trades(spark, sf), "ret", "day", ["regime"], ["day", "id"], 100.0)
-    return c.select("regime", "day", "trades", *(F.round(x, 5).alias(x) for x in ("end_equity", "best", "worst")))
+    return c.select("regime", "day", "trades", *(F.round(x, 6).alias(x) for x in ("end_equity", "best", "worst")))
 
 
 # ---------------------------------------------------------------- streams
