@@ -142,8 +142,12 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
     docs_of = {r.lang: r.n for r in per.where(F.col("lang").isin(langs)).collect()}
 
     marked = F.concat(F.lit("_"), "w", F.lit("_"))
-    cut = [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(marked) - (n - 1))), lambda i, n=n: F.struct(F.lit(n).alias("kind"), F.substring(marked, i, F.lit(n)).alias("g"))) for n in range(1, LONGEST + 1)]
-    units = F.concat(F.array(F.struct(F.lit(0).alias("kind"), F.col("w").alias("g"))), *cut)
+
+    def grams(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(marked) - (n - 1)))
+        return F.transform(places, lambda i: F.struct(F.lit(n).alias("kind"), F.substring(marked, i, F.lit(n)).alias("g")))
+
+    units = F.concat(F.array(F.struct(F.lit(0).alias("kind"), F.col("w").alias("g"))), *(grams(n) for n in range(1, LONGEST + 1)))
     rows = counted.select("lang", "n", F.explode(units).alias("u")).where("(u.kind = 0 or length(u.g) = u.kind) and not (u.kind = 1 and u.g = '_')")
     rows = rows.groupBy("u.kind", F.xxhash64("u.g").alias("h"), "lang").agg(F.sum("n").alias("n")).toArrow()  # bounded by the sample
 
