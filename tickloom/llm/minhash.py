@@ -181,8 +181,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, slack: flo
        pair in a million looks unlike) and confirmed on
        full sets; this joins nearly all of a group of near copies into one component.
     3. Buckets whose members still are in several components: pair by pair, estimated and confirmed,
-       or, in a bucket of CROWD members or more, every member outside its largest component against
-       that component and the other such members, in blocks that emit confirmed links only.
+       or, in a bucket of CROWD members or more, every member outside the component that has most of
+       them against that component and the other such members, in blocks that emit confirmed links only.
     Pairs inside a component can't change the result, so no link between different texts is lost.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -213,12 +213,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, slack: flo
     links = written(_confirmed(first, docs, k, threshold), "links-stars")
     label = written(components(links), "components-1")
 
-    sized = label.groupBy("component").agg(F.count("*").alias("comp_size"))
-    named = label.hint("merge").join(sized, "component").select(F.col("node").alias("rep"), F.col("component").alias("comp"), "comp_size")
-    placed = inside.select("rep", "band", "members").join(named, "rep", "left")
-    placed = placed.select("rep", "band", "members", F.coalesce("comp", "rep").alias("comp"), F.coalesce("comp_size", F.lit(1)).alias("comp_size"))
-    largest = F.max(F.struct("comp_size", "comp")).alias("main")
-    mixed = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), largest).where("lo <> hi").select("band", F.col("main.comp").alias("main"))
+    named = label.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    placed = inside.select("rep", "band", "members").join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    parts = placed.groupBy("band", "comp").agg(F.count("*").alias("there"))
+    largest = F.max(F.struct("there", "comp")).alias("main")
+    mixed = parts.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), largest).where("lo <> hi").select("band", F.col("main.comp").alias("main"))
     open_rows = written(placed.join(mixed, "band"), "open-buckets")
 
     crowd = open_rows.where(F.col("members") >= CROWD)
