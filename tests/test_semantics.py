@@ -162,3 +162,43 @@ def test_day_replace_keeps_other_days(spark):
     writers.write_days(a, root, "d")
     writers.write_days(spark.createDataFrame([("2024-01-02", 5)], "d string, v int"), root, "d")
     assert sorted(r.v for r in readers.parquet_dataset(spark, root).collect()) == [1, 5]
+
+
+def test_chunked_scan_equals_a_grouped_pandas_reference(spark):
+    """UDF-2: the per-session grouped map is kept here as the reference of the SQL fold."""
+    import pandas as pd
+
+    rows = [(f"k{i % 3}", i, None if i % 17 == 5 else float((i * 37) % 101)) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, i long, x double")
+
+    def reference(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("i")
+        return g.assign(y=g["x"].ewm(alpha=0.2, adjust=False).mean())[["k", "i", "y"]]
+
+    want = {(r.k, r.i): r.y for r in df.groupBy("k").applyInPandas(reference, "k string, i long, y double").collect()}
+    for r in C.ewm(df, "x", ["k"], ["i"], "y", alpha=0.2).collect():
+        assert abs(r.y - want[r.k, r.i]) < 1e-9
+
+
+def test_upserts_go_on_where_they_stopped(spark, tmp_path):
+    from tickloom.streaming import jobs as ST
+
+    source, place = f"file://{tmp_path}/in", f"file://{tmp_path}/table"
+    schema = "k long, at long, v string"
+    for n, rows in enumerate(([(i, 1, "a") for i in range(50)], [(i, 2, "b") for i in range(0, 60, 7)] + [(3, 0, "old")], [(7, 5, "c"), (99, 1, "new")])):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        out = ST.run_upserts(stream, "t", ["k"], ["at"], folder=place, buckets=4)
+    got = {r.k: (r.at, r.v) for r in out.collect()}
+    want = {i: (1, "a") for i in range(50)} | {i: (2, "b") for i in range(0, 60, 7)} | {7: (5, "c"), 99: (1, "new")}
+    assert got == want
+
+
+def test_equal_count_bins_meet_their_edges(spark):
+    rows = [(i, ((i * 7919) % 1000) / 999 if i % 10 else 0.5, i % 3 == 0) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, s double, y boolean").withColumn("y", F.col("y").cast("int"))
+    placed = sorted(rows, key=lambda r: (r[1], r[0]))
+    cuts = [int(i * len(rows) / 7) for i in range(8)]
+    got = {r.bin: (r.n, r.mean_score) for r in E.calibration(df, "s", "y", ["id"], 7).collect()}
+    for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        assert got[b][0] == hi - lo and abs(got[b][1] - sum(r[1] for r in placed[lo:hi]) / (hi - lo)) < 1e-9
