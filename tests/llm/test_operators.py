@@ -269,6 +269,59 @@ def test_language_held_out_accuracy_and_edges(spark):
     assert language.accepted(spark.createDataFrame([(1, "a b", "en"), (2, None, "en")], "doc_id long, text string, lang string")).count() == 1
 
 
+def test_language_equals_brute_force(spark):
+    import regex
+
+    rng = random.Random(31)
+    stems = {"en": ["house", "thing", "over", "under", "the"], "de": ["haus", "über", "unter", "das", "ding"], "sw": ["nyumba", "kitu"]}
+    rows = [(i, " ".join(rng.choice(stems[x]) + rng.choice(["", "s", "en"]) for _ in range(rng.randrange(3, 20))), x, "s", 0) for i, x in enumerate(["en"] * 40 + ["de"] * 30 + ["sw"] * 2)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = language.fit(docs)
+    langs = sorted(stems)
+    assert model.langs == langs
+    words = lambda t: regex.findall(r"\p{L}+", t.lower())
+    count = collections.defaultdict(lambda: collections.Counter())
+    for _, t, x, *_ in rows:
+        for w in words(t):
+            count[0][w, x] += 1
+            for n in range(1, 6):
+                m = f"_{w}_"
+                for i in range(len(m) - n + 1):
+                    if m[i : i + n] != "_":
+                        count[n][m[i : i + n], x] += 1
+    known = {n: {u for u, _ in c} for n, c in count.items()}
+    total = {n: {x: sum(v for (_, y), v in c.items() if y == x) for x in langs} for n, c in count.items()}
+    log = lambda n, u: [math.log((count[n][u, x] + 0.5) / (1 + total[n][x] + 0.5 * (len(known[n]) + 1))) for x in langs]
+
+    def score(w):
+        if w in known[0]:
+            return log(0, w)
+        m = f"_{w}_"
+        for n in range(5, 0, -1):
+            found = [log(n, m[i : i + n]) for i in range(len(m) - n + 1) if m[i : i + n] in known[n]]
+            if found:
+                return [sum(c) / len(found) for c in zip(*found, strict=True)]
+        return [-math.log(len(langs))] * len(langs)
+
+    prior = [math.log(sum(r[2] == x for r in rows) / len(rows)) for x in langs]
+    texts = ["the houses", "Das Hausding, das", "überthing nyumbakitu", "zzqq 中 das", "x" * 4000, "² ³ ½", "Ⅷ", None, "", *(r[1] for r in rows[:5]), rows[0][1]]
+    df = docs_of(spark, texts).withColumn("score", F.lit("clash")).withColumn("lang_pred", F.lit(1))
+    got = language.identify(df, model).orderBy("doc_id").collect()
+    for r, t in zip(got, texts, strict=True):
+        w = words(t or "")
+        if not w:
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        v = [(sum(c) + p) / len(w) for c, p in zip(zip(*map(score, w), strict=True), prior, strict=True)]
+        assert r.lang_pred == langs[v.index(max(v))], t
+        assert t and r.score == pytest.approx(1 / sum(math.exp(x - max(v)) for x in v), rel=1e-4)
+    assert language.fit(docs.drop("lang")) is None
+    kept = language.accepted(docs_of(spark, ["a b", None, "12", "é"]).drop("lang"))
+    assert sorted(r.text for r in kept.collect()) == ["a b", "é"]
+    again = language.accepted(docs.unionByName(docs))
+    assert again.columns == docs.columns and again.count() == 2 * len(rows)
+
+
 # ---------------------------------------------------------------- 6
 
 
@@ -489,6 +542,55 @@ def test_html_marks_do_not_drop_the_article(attributes):
     assert want.count("\n") == 3 and html.main_text(f"<body>{rest}<div {attributes}>{body}</div></body>") == want
 
 
+def test_html_density_sums_equal_brute_force():
+    rng = random.Random(41)
+
+    def page(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return " ".join(["word"] * rng.randrange(1, 40)) + (f" <a href=x>{'link ' * rng.randrange(1, 9)}</a>" if rng.random() < 0.4 else " <b>bold</b>" * rng.randrange(2))
+        return "".join(f"<{t}>{page(depth - 1)}</{t}>" for t in (rng.choice(["div", "p", "section", "ul"]) for _ in range(rng.randrange(1, 4))))
+
+    def below(n):
+        yield n
+        for x in n.items:
+            if isinstance(x, html.Node):
+                yield from below(x)
+
+    text = lambda n: sum(len(x.strip()) for m in below(n) for x in m.items if isinstance(x, str))
+    links = lambda n: [m for m in below(n) if m.tag == "a"]
+    for _ in range(60):
+        root = html.parse(f"<body>{page(4)}</body>")
+        share = sum(map(text, links(root))) / max(1, text(root))
+
+        def density(n, share=share):
+            c, t = text(n), max(1, sum(1 for _ in below(n)) - 1)
+            lc, lt = (c, len(links(n)) - 1) if n.tag == "a" else (sum(map(text, links(n))), len(links(n)))
+            if not c:
+                return 0.0
+            base = 1 + math.log(c / max(1, c - lc) * lc + share * c + math.e)
+            return c / t * math.log(max(1.0, c / max(1, lc) * t / max(1, lt))) / math.log(base)
+
+        def nearest(n):
+            for x in n.items:
+                if isinstance(x, html.Node):
+                    yield from [x] if x.tag in html.BLOCKS else nearest(x)
+
+        chosen = html.content(root)
+        sums = {id(n): sum(map(density, nearest(n))) for n in below(root) if n.tag in html.BLOCKS}
+        assert all(n.sum == pytest.approx(sums[id(n)]) for n in below(root) if n.tag in html.BLOCKS)
+        if max(sums.values(), default=0) > 0:
+            assert any(sums[id(n)] == pytest.approx(max(sums.values())) for n in chosen)
+
+
+def test_html_takes_linear_time():
+    import time
+
+    for p in ("<span>" * 20_000 + "</b>" * 20_000, "<b><div>" + "<span>" * 20_000 + "</b>" * 20_000, "<p><table><tr><td>" + "<div>" * 20_000, "<!" * 50_000, "<a " * 50_000, "<ul><li>" * 20_000, "<a <b " * 20_000 + ">"):
+        began = time.perf_counter()
+        html.main_text(p)
+        assert time.perf_counter() - began < 3
+
+
 # ---------------------------------------------------------------- 10
 
 
@@ -541,6 +643,36 @@ def test_contamination_by_repeated_and_null_item_ids(spark):
     assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [4]
 
 
+# ---------------------------------------------------------------- very long texts
+
+
+def test_word_hashes_do_not_depend_on_chunks(monkeypatch):
+    data = np.frombuffer(("ab cde  " * 500 + "x" * 900 + " y").encode(), np.uint8)
+    off = np.array([0, 3000, len(data)])
+    starts, ends, _ = base.word_bounds(data, off)
+    whole = base.word_hashes(data, starts, ends)
+    monkeypatch.setattr(base, "CHUNK", 64)
+    monkeypatch.setattr(base, "_powers", [])
+    assert (base.word_hashes(data, starts, ends) == whole).all() and len(base._powers[0]) == 65
+    assert base.word_hashes(np.frombuffer(b"cde", np.uint8), np.array([0]), np.array([3]))[0] == whole[1]
+
+
+def test_a_very_long_text_goes_through_every_operator(spark, tmp_path):
+    long = "some words of a very long text 12.3.4.5 " * 10_000  # 0.4 MB
+    texts = [long, long + "end", None, "short text"]
+    docs = docs_of(spark, texts)
+    assert [r.component_id for r in minhash.near_duplicates(docs, 2).orderBy("doc_id").collect()] == [0, 0, 2, 3]
+    assert [r.n_bytes for r in media.features(docs).orderBy("doc_id").collect()] == [len(t or "") for t in texts]
+    sizes = tokens.round_trip(docs, queries.tokenizer_file()).orderBy("doc_id").collect()
+    assert sizes[0].n_tokens > 100_000 and sizes[2].n_tokens == 1
+    assert [r.n_tokens for r in ngram.score(docs, ngram.train(docs)).orderBy("doc_id").collect()] == [len(WORD.findall(t or "")) + 1 for t in texts]
+    bench = spark.createDataFrame([(1, "very long text 12 3 4 5 end")], "item_id long, text string")
+    assert [r.contaminated for r in decontaminate.contamination(docs, bench).orderBy("doc_id").collect()] == [False, True, False, False]
+    assert [r.n_ip for r in pii.digest(docs, None).orderBy("doc_id").collect()] == [10_000, 10_000, 0, 0]
+    assert language.identify(docs, language.fit(docs)).where("lang_pred = 'en'").count() == 3
+    assert sum(r.taken for r in mixing.mix(docs).collect()) > 100_000
+
+
 # ---------------------------------------------------------------- queries
 
 
