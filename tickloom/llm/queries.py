@@ -16,12 +16,14 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of documents by 2-word shingles at 80 percent; nulls, ties and repeats as in minhash.near_duplicates."""
     from .minhash import near_duplicates
 
     return near_duplicates(_read(spark, sf_dir, "documents"), k=2, threshold=80)
 
 
 def op2_warc_seekable_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, written and read back; a null html is an empty payload, as in warc.write_bundles."""
     from .warc import round_trip
 
     return round_trip(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -34,18 +36,23 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 
 
 def op3_token_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document in plane files, read back; null texts have their end id, as in tokens.write_tokens."""
     from .tokens import round_trip
 
     return round_trip(_read(spark, sf_dir, "documents"), tokenizer_file(), 1).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op4_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents and the shards that each is drawn for, as in mixing.mix."""
     from .mixing import mix
 
     return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "draws.shard")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by a model of those that aren't held out; und without a letter, as in language.identify.
+    A null doc_id isn't held out.
+    """
     from pyspark.sql import functions as F
 
     from .language import fit, identify, third
@@ -57,6 +64,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a model of those that aren't held out, as in ngram.score.  A null doc_id isn't held out."""
     from pyspark.sql import functions as F
 
     from .ngram import score, train
@@ -68,6 +76,7 @@ def op6_ngram_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, with what the trees add and secrets, as in pii.digest."""
     from .pii import digest, fit
 
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -75,18 +84,21 @@ def op7_pii_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a stored WAV object, read back, inspected and described, as in media.features."""
     from .media import features
 
     return features(_read(spark, sf_dir, "documents"))
 
 
 def op9_html_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, as in html.extract."""
     from .html import extract
 
     return extract(_read(spark, sf_dir, "pages"))
 
 
 def op10_decontaminate_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in every document, as in decontaminate.contamination."""
     from .decontaminate import contamination
 
     return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
