@@ -202,3 +202,32 @@ def test_equal_count_bins_meet_their_edges(spark):
     got = {r.bin: (r.n, r.mean_score) for r in E.calibration(df, "s", "y", ["id"], 7).collect()}
     for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         assert got[b][0] == hi - lo and abs(got[b][1] - sum(r[1] for r in placed[lo:hi]) / (hi - lo)) < 1e-9
+
+
+def test_walk_forward_scores_unseen_days_and_quality_is_by_pairs(spark):
+    import datetime as dt
+    import random
+
+    from tickloom.operators import learn as ML
+
+    rng = random.Random(2)
+    first = dt.date(2024, 1, 1)
+    rows = []
+    for d in range(14):
+        for _ in range(30):
+            x = rng.gauss(0, 1)
+            rows.append((first + dt.timedelta(days=d), x, rng.gauss(0, 1) if rng.random() > 0.1 else None, float(x + rng.gauss(0, 0.7) > 0)))
+    df = spark.createDataFrame(rows, "day date, a double, b double, label double")
+    scores = ML.walk_forward_scores(df, "day", ["a", "b"], "label", 6, 2, 2, 4)
+    got = scores.collect()
+    assert {(r.fold, r.day) for r in got} == {(0, first + dt.timedelta(days=8)), (0, first + dt.timedelta(days=9)), (1, first + dt.timedelta(days=12)), (1, first + dt.timedelta(days=13))}
+    assert len(got) == 120 and all(0 <= r.p <= 1 for r in got)
+    for q in ML.fold_quality(scores, "label").collect():
+        mine = [(r.p, r.label) for r in got if r.fold == q.fold]
+        pairs = [(a, b) for a, y in mine if y for b, z in mine if not z]
+        assert abs(q.auc - sum((a > b) + (a == b) / 2 for a, b in pairs) / len(pairs)) < 1e-9 and q.auc > 0.75 and q.edge == "EDGE"
+        assert abs(q.brier - sum((p - y) ** 2 for p, y in mine) / len(mine)) < 1e-9
+    up = spark.createDataFrame([(0.5, 0.8)], "g double, d double").select(ML.gated("g", "d").alias("x")).first().x
+    assert (round(up.up, 9), round(up.down, 9)) == (0.4, 0.1)
+    with pytest.raises(ValueError):
+        ML.scored(None, df, ["a", "missing"])
