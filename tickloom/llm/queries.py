@@ -104,6 +104,46 @@ def op10_decontaminate_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, a tenth of them rewritten to repeat from some word on, as in periodic.collapse.
+    A null doc_id is in no tenth; without runs the four columns of the strongest are null.
+    """
+    from pyspark.sql import functions as F
+
+    from .periodic import collapse, strongest
+
+    docs = _read(spark, sf_dir, "documents")
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    repeated = F.expr("""array_join(transform(w, (x, i) -> if(i < g % size(w), x,
+        w[cast(g % size(w) + (i - g % size(w)) % (1 + (size(w) - g % size(w)) div (3 + g % 8)) as int)])), ' ')""")
+    chosen = docs.select("doc_id", "text", F.expr("crc32(cast(doc_id as string)) div 10").alias("g"), F.when((h % 10 == 0) & F.col("text").isNotNull(), words).alias("w"))
+    found = collapse(chosen.select("doc_id", F.when(F.size("w") > 0, repeated).otherwise(F.col("text")).alias("text")), texts=False)
+    best = strongest("runs")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.col("kept_sha256").alias("collapsed_sha256"),
+    )
+
+
+def op12_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors of greatest integer inner product for every 20th vector, as in topk.nearest."""
+    from pyspark.sql import functions as F
+
+    from .topk import nearest
+
+    return nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of each language in all documents, as in phrases.collocations."""
+    from .phrases import collocations
+
+    return collocations(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_warc_seekable_bundles": op2_warc_seekable_bundles,
@@ -115,6 +155,9 @@ QUERIES: dict[str, Query] = {
     "op8_media_signatures": op8_media_signatures,
     "op9_html_text_density": op9_html_text_density,
     "op10_decontaminate_pigeonhole": op10_decontaminate_pigeonhole,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_pivot_topk": op12_pivot_topk,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 ORACLE: dict[str, str] = {
@@ -144,4 +187,41 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
 FROM d""",
+    "op12_pivot_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op13_phrase_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT row_number() OVER () AS id, lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+u AS (SELECT id, lang, unnest(w) AS x, unnest(range(len(w))) AS i FROM w),
+t AS (
+  SELECT lang, x AS w1, lead(x) OVER o AS w2, lead(x, 2) OVER o AS w3 FROM u WINDOW o AS (PARTITION BY id ORDER BY i)),
+f AS (
+  SELECT lang, 1 AS size, w1, NULL AS w2, NULL AS w3, w1 AS phrase, count(*) AS a FROM t GROUP BY ALL
+  UNION ALL SELECT lang, 2, w1, w2, NULL, w1 || ' ' || w2, count(*) FROM t WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, w1, w2, w3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM t WHERE w3 IS NOT NULL GROUP BY ALL),
+c AS (SELECT * FROM f WHERE size > 1 AND a >= 10),
+split AS (
+  SELECT lang, phrase, a, 1 AS k, w1 AS p, CASE size WHEN 2 THEN w2 ELSE w2 || ' ' || w3 END AS q FROM c
+  UNION ALL SELECT lang, phrase, a, 2, w1 || ' ' || w2, w3 FROM c WHERE size = 3),
+cuts AS (
+  SELECT s.lang, s.phrase, s.a, k, x.a AS l, y.a AS r, ((1000000::HUGEINT * s.a * s.a) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM split s JOIN f x ON x.lang = s.lang AND x.phrase = s.p JOIN f y ON y.lang = s.lang AND y.phrase = s.q),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, w1 || ' ' || w2 AS phrase, a FROM c WHERE size = 3 UNION ALL SELECT lang, w2 || ' ' || w3, a FROM c WHERE size = 3)
+  GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN longer x ON b.lang = x.lang AND b.phrase = x.phrase WHERE x.a IS NULL OR 100 * x.a < 50 * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE size = 1 GROUP BY ALL)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
 }
