@@ -154,11 +154,11 @@ def _long_enough(q: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarr
     return stop - start >= np.maximum(MIN_WORDS - q, (MIN_POWER - 1) * q)
 
 
-def _short_documents(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, _Found]:
+def _short_documents(words: np.ndarray, at: np.ndarray, most: int = CHUNK_WORDS) -> tuple[np.ndarray, _Found]:
     """Stitched fragments of documents of one slice, and the document of each: those of like length laid end to end, with words between
     them that are equal to none, so that one pass does the tiles of all."""
     n = np.diff(at)
-    kind = np.where((n >= MIN_WORDS) & (n <= CHUNK_WORDS), np.frexp(np.maximum(n, 1).astype(float))[1] - 1, -1)
+    kind = np.where((n >= MIN_WORDS) & (n <= most), np.frexp(np.maximum(n, 1).astype(float))[1] - 1, -1)
     docs, out = [], []
     for c in np.unique(kind[kind >= 0]).tolist():
         which = np.flatnonzero(kind == c)
@@ -194,7 +194,7 @@ def _listed(docs: np.ndarray, found: _Found, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.StructArray.from_arrays([pa.array(x[order], pa.int64()) for x in found], fields=list(_FRAGMENT.value_type)))
 
 
-def _scan(texts: bool):
+def _scan(texts: bool, most: int):
     """For each text the fragments of its words if it is short; texts go on only where they may lose words, or with `texts`."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,9 +203,9 @@ def _scan(texts: bool):
             for i, data, off in text_slices(text):
                 starts, ends, at = word_bounds(data, off)
                 words = word_hashes(data, starts, ends, lower=False)
-                docs, found = _short_documents(words, at)
+                docs, found = _short_documents(words, at, most)
                 n = np.diff(at)
-                marked = n > CHUNK_WORDS
+                marked = n > most
                 marked[docs] = True
                 raw = [data[a:b].tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
                 sha = [None if m else hashlib.sha256(b" ".join(x.split())).hexdigest() for m, x in zip(marked.tolist(), raw, strict=True)]
@@ -218,27 +218,34 @@ def _scan(texts: bool):
 _TILE = "row long, low int, high int, origin long, first long, last long, words binary"
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Explode long documents into chunks for the low octaves and tiles for each octave above."""
-    names = ["row", "low", "high", "origin", "first", "last", "words"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    for batch in batches:
-        for i, data, off in text_slices(batch.column(1)):
-            starts, ends, at = word_bounds(data, off)
-            words = word_hashes(data, starts, ends, lower=False)
-            for j in range(len(off) - 1):
-                own = words[at[j] : at[j + 1]]
-                row, n = batch.column(0)[i + j].as_py(), len(own)
-                side = 3 << (HIGH - 1)  # a stride of the last low octave; its periods add two thirds of that
-                spans = [(0, HIGH, a - side, a, min(a + CHUNK_WORDS, n), a + CHUNK_WORDS + 2 * side) for a in range(0, n, CHUNK_WORDS)]
-                k = HIGH
-                while MIN_POWER << k <= n:
-                    spans += [(k, k + 1, b - (3 << k), b, b + 1, b + (5 << k)) for b in range(0, n, 3 << k)]
-                    k += 1
-                for low, high, a, first, last, b in spans:
-                    a, b = max(a, 0), min(b, n)
-                    values = (row, low, high, a, first, last, own[a:b].tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=names)
+def _tiles(chunk: int, apart: int):
+    """Explode long documents into chunks with the octaves below `apart` and tiles for each octave from it on."""
+
+    def spans(n: int) -> list[tuple[int, int, int, int, int, int]]:
+        side = 3 << (apart - 1)  # a stride of the last low octave; its periods add two thirds of that
+        out = [(0, apart, a - side, a, min(a + chunk, n), a + chunk + 2 * side) for a in range(0, n, chunk)]
+        k = apart
+        while MIN_POWER << k <= n:
+            out += [(k, k + 1, b - (3 << k), b, b + 1, b + (5 << k)) for b in range(0, n, 3 << k)]
+            k += 1
+        return out
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["row", "low", "high", "origin", "first", "last", "words"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        for batch in batches:
+            for i, data, off in text_slices(batch.column(1)):
+                starts, ends, at = word_bounds(data, off)
+                words = word_hashes(data, starts, ends, lower=False)
+                for j in range(len(off) - 1):
+                    own = words[at[j] : at[j + 1]]
+                    row, n = batch.column(0)[i + j].as_py(), len(own)
+                    for low, high, a, first, last, b in spans(n):
+                        a, b = max(a, 0), min(b, n)
+                        values = (row, low, high, a, first, last, own[a:b].tobytes())
+                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=names)
+
+    return task
 
 
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,20 +295,20 @@ def stitched_runs(fragments_of_rows: DataFrame) -> DataFrame:
     return runs.select("row", "start", "period", length.alias("length")).where(F.col("length") >= F.greatest(F.lit(MIN_WORDS), MIN_POWER * F.col("period")))
 
 
-def collapse(df: DataFrame, text: str = "text", texts: bool = True) -> DataFrame:
+def collapse(df: DataFrame, text: str = "text", texts: bool = True, chunk: int = CHUNK_WORDS, apart: int = HIGH) -> DataFrame:
     """The runs of each text and the text without their repeats.
 
     Adds to df: n_words, runs (start, period and length, by start and then period), kept_text (the words in no
     run after its first period, joined by one space; null unless `texts`) and kept_sha256 (of kept_text).  Columns of df with these
     names are replaced; others stay.  A null, empty or blank text has no words, no runs and an empty kept_text.  Rows are
     told apart by their place, so repeated rows and null ids each get their own result; an empty table gives
-    an empty table.  Words are compared by 64-bit hashes.
+    an empty table.  Words are compared by 64-bit hashes.  `chunk` and `apart` only say how documents are dealt.
     """
     own = ("n_words", "runs", "kept_text", "kept_sha256", "row", "fragments")
     others = [c for c in df.columns if c not in own and c != text]
     base = df.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"), F.struct(*(F.col(c) for c in others)).alias("given") if others else F.lit(None).cast("string").alias("given"))
-    scanned = written(_with_given(base, _scan(texts), _SCANNED), "periodic-scan")
-    tiles = scanned.where(F.col("n_words") > CHUNK_WORDS).select("row", "text").mapInArrow(_tiles, _TILE)
+    scanned = written(_with_given(base, _scan(texts, chunk), _SCANNED), "periodic-scan")
+    tiles = scanned.where(F.col("n_words") > chunk).select("row", "text").mapInArrow(_tiles(chunk, apart), _TILE)
     far = tiles.repartition("row", "low", "first").mapInArrow(_solve, "row long, period long, start long, stop long")
     runs = stitched_runs(scanned.select("row", F.inline("fragments")).unionByName(far))
     listed = runs.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "period", "length"))).alias("runs"))

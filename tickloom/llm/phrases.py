@@ -89,25 +89,29 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PAGE = "page long, words long, lang array<string>, chunk array<string>, tail array<int>, n array<bigint>"
 
 
-def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pack rows of the dictionary into pages."""
-    part, seq, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+def _pages(most: int):
+    """Pack rows of the dictionary into pages of about `most` bytes."""
 
-    def page() -> pa.RecordBatch:
-        table = pa.Table.from_batches(held).combine_chunks()
-        words = pc.sum(pc.count_substring(table["chunk"], " ")).as_py() + len(table)
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(table)], pa.int32()), table[c].combine_chunks()) for c in ("lang", "chunk", "tail", "n")]
-        return pa.RecordBatch.from_arrays([pa.array([part + seq]), pa.array([words]), *lists], names=["page", "words", "lang", "chunk", "tail", "n"])
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
 
-    for batch in batches:
-        for i in range(0, len(batch), 4096):
-            held.append(batch.slice(i, 4096))
-            size += pc.sum(pc.binary_length(held[-1].column(1))).as_py()
-            if size >= PAGE_BYTES:
-                yield page()
-                seq, held, size = seq + 1, [], 0
-    if sum(map(len, held)):
-        yield page()
+        def page() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            words = pc.sum(pc.count_substring(table["chunk"], " ")).as_py() + len(table)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(table)], pa.int32()), table[c].combine_chunks()) for c in ("lang", "chunk", "tail", "n")]
+            return pa.RecordBatch.from_arrays([pa.array([part + seq]), pa.array([words]), *lists], names=["page", "words", "lang", "chunk", "tail", "n"])
+
+        for batch in batches:
+            for i in range(0, len(batch), 4096):
+                held.append(batch.slice(i, 4096))
+                size += pc.sum(pc.binary_length(held[-1].column(1))).as_py()
+                if size >= most:
+                    yield page()
+                    seq, held, size = seq + 1, [], 0
+        if sum(map(len, held)):
+            yield page()
+
+    return task
 
 
 class _Page:
@@ -258,13 +262,13 @@ def dictionary(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
     return parts.groupBy("lang", "chunk", "tail").agg(F.count("*").alias("n"))
 
 
-def phrase_counts(df: DataFrame, least: int = 10, text: str = "text", lang: str = "lang") -> DataFrame:
+def phrase_counts(df: DataFrame, least: int = 10, text: str = "text", lang: str = "lang", page_bytes: int = PAGE_BYTES, task_words: int = WORDS_A_TASK) -> DataFrame:
     """(lang, size, phrase, n): all words (size 0, phrase empty) of each language, and every word, pair and triple with at least `least`
     occurrences, each within a piece."""
     parsed = dictionary(df, text, lang)
-    pages = written(parsed.mapInArrow(_pages, _PAGE), "phrase-pages")
+    pages = written(parsed.mapInArrow(_pages(page_bytes), _PAGE), "phrase-pages")
     total = pages.agg(F.sum("words")).first()[0] or 0
-    bits = max(0, int(np.ceil(np.log2(max(total, 1) / WORDS_A_TASK))))
+    bits = max(0, int(np.ceil(np.log2(max(total, 1) / task_words))))
     tags = pages.select("page", "lang", "chunk", "tail", "n")
     sent = tags.mapInArrow(_send(bits), _SENT)
     answers = sent.groupBy("dealt").applyInArrow(_answer(least), "page long, m long, frequent binary")
