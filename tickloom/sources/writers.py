@@ -25,6 +25,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/tickloom/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The table, written to the shared folder and read back: what it was made from isn't computed again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_days(df: DataFrame, root: str, day: str, order: Sequence[str] = ()) -> None:
     """SNK-1, SNK-2: replace exactly the days that df holds; other days stay.  One folder per day, rows in order."""
     out = df.repartition(day)

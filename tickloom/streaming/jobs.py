@@ -86,12 +86,22 @@ def open_positions(df: DataFrame, ident: str, event: str, order: Sequence[str],
     return g.where(F.col(f"r.{event}") != close).select(ident, "r.*")
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """STR-4: run a bounded stream to its end (availableNow) into a table of the shared folder and read it."""
+def run_to_table(df: DataFrame, name: str, mode: str = "append", folder: str | None = None, days: bool = False) -> DataFrame:
+    """STR-4: run a bounded stream to its end (availableNow) into a table of the shared folder and read it.  folder: where an append
+    run keeps its rows and, in `checkpoint`, its place, so that it can go on there.  days: the source gives a day at each
+    trigger (sources.replay); the run ends when it has no more."""
     spark = df.sparkSession
-    path, place = scratch(spark, name), scratch(spark, f"{name}-checkpoint")
+    path, place = (f"{folder}/rows", f"{folder}/checkpoint") if folder else (scratch(spark, name), scratch(spark, f"{name}-checkpoint"))
     if mode == "append":
-        df.writeStream.format("parquet").option("path", path).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
+        writer = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", place)
+        if days:
+            run = writer.trigger(processingTime="0 seconds").start()
+            try:
+                run.processAllAvailable()
+            finally:
+                run.stop()
+        else:
+            writer.trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(df.schema).parquet(path)
     versions: list[str] = []
 
