@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.writers import stored
+from .counting import positions
 from .windows import over, running
 
 
@@ -157,18 +161,44 @@ def embargo(train: DataFrame, held: DataFrame, ts: str, seconds: float) -> DataF
     return train.crossJoin(F.broadcast(first)).where(F.col("_first").isNull() | ~((F.col(ts) >= cut) & (F.col(ts) < F.col("_first")))).drop("_first")  # one row
 
 
-def self_overlaps(df: DataFrame, keys: Sequence[str], ident: str, start: str, end: str, bin_seconds: int = 3600) -> DataFrame:
+#: Intervals that start in one bin of the sweep.
+SWEEP_ROWS = 4096
+
+
+def self_overlaps(df: DataFrame, keys: Sequence[str], ident: str, start: str, end: str, rows: int = SWEEP_ROWS) -> DataFrame:
     """JOI-17: pairs (a, b) of one key whose half-open [start, end) overlap, the earlier (then smaller id) first.
 
-    Both are dealt to the time bins they touch; a pair counts in the bin of the later start only.
+    Bins have `rows` starts each, however dense an hour is.  Intervals that start in one bin are swept in order of
+    start: the work is near the number of pairs.  An interval that goes on into later bins meets all that start
+    there by an equi-join, which skew handling can split; of these pairs only those of its last bin can fail the test.
     """
     sec = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    rows = df.select(*keys, F.col(ident).alias("id"), sec(start).alias("s"), sec(end).alias("e")).where("e > s")
-    size = bin_seconds * 1_000_000
-    binned = rows.withColumn("bin", F.explode(F.sequence(F.floor(F.col("s") / size), F.floor((F.col("e") - 1) / size))))
-    a, b = binned.select(*keys, "bin", F.col("id").alias("a"), F.col("s").alias("sa"), F.col("e").alias("ea")), binned.select(*keys, "bin", F.col("id").alias("b"), F.col("s").alias("sb"))
-    b = b.where(F.floor(F.col("sb") / size) == F.col("bin"))
-    return a.join(b, [*keys, "bin"]).where("(sa < sb or (sa = sb and a < b)) and ea > sb").select(*keys, "a", "b")
+    spans = df.select(*keys, F.col(ident).alias("id"), sec(start).alias("s"), sec(end).alias("e")).where("e > s").dropna(subset=list(keys))
+    hour = F.floor(F.col("s") / 3_600_000_000)
+    placed = stored(positions(spans.withColumn("_hour", hour), keys, "_hour", ["s", "id"], "_at").withColumn("bin", F.floor(F.col("_at") / rows)).select(*keys, "bin", "id", "s", "e"), "sweep")
+    bins = placed.groupBy(*keys, "bin").agg(F.min("s").alias("_lo"))
+
+    def sweep(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("s", "ascending"), ("id", "ascending")])
+        s, e = table["s"].to_numpy(), table["e"].to_numpy()
+        stop = np.searchsorted(s, e, side="left")  # rows after i that start before its end
+        n = np.maximum(stop - np.arange(len(s)) - 1, 0)
+        a = np.repeat(np.arange(len(s)), n)
+        b = a + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        left, right = table.take(pa.array(a)), table.take(pa.array(b))
+        return pa.table([*(left[k] for k in keys), left["id"], right["id"]], names=[*keys, "a", "b"])
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"a {kinds[ident]}", f"b {kinds[ident]}"])
+    inside = placed.groupBy(*keys, "bin").applyInArrow(sweep, schema)
+    # the last bin that starts before an interval's end
+    ends = placed.select(*keys, F.col("e").alias("_t"), F.struct("id", "e", "bin").alias("_i"), F.lit(None).cast("long").alias("_b"), F.lit(0).alias("_side"))
+    marks = bins.select(*keys, F.col("_lo").alias("_t"), F.lit(None).cast(ends.schema["_i"].dataType).alias("_i"), F.col("bin").alias("_b"), F.lit(1).alias("_side"))
+    last = F.max("_b").over(running(over(keys, ["_t", "_side"])))
+    far = ends.unionByName(marks).withColumn("_last", last).where("_side = 0 and _last > _i.bin")
+    far = far.select(*keys, F.explode(F.sequence(F.col("_i.bin") + 1, "_last")).alias("bin"), F.col("_i.id").alias("a"), F.col("_i.e").alias("_e"))
+    across = far.join(placed.select(*keys, "bin", F.col("id").alias("b"), "s"), [*keys, "bin"]).where("s < _e").select(*keys, "a", "b")
+    return inside.unionByName(across)
 
 
 def combine_first(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

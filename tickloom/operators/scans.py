@@ -1,7 +1,7 @@
 """Order-dependent scans (SCN family): recurrences over a session's sorted array, in SQL higher-order functions.
 
-A session is a bounded group (a day of minutes).  For series without such a bound use ewm_long, which
-carries one affine pair per block instead of the rows.
+A session is a bounded group (a day of minutes).  For series without such a bound ewm_long, rsi_long and cusum_long carry
+a state per block (a day) from block to block instead of the rows.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.writers import stored
 from .windows import over, rolling, running
 
 
@@ -58,40 +59,81 @@ def ewm(df: DataFrame, x: str, keys: Sequence[str], order: Sequence[str], out: s
     a = alpha if alpha is not None else 2.0 / (span + 1)
     start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(1.0).alias("w"), F.lit(0).alias("n"))
 
-    def step(s: Column, r: Column) -> Column:
-        v = r[x].cast("double")
-        w = s["w"] * (1 - a)
-        y = F.when(v.isNull(), s["y"]).when(s["y"].isNull(), v).otherwise((w * s["y"] + a * v) / (w + a))
-        return F.struct(y.alias("y"), F.when(v.isNull() & s["y"].isNotNull(), w).otherwise(F.lit(1.0)).alias("w"), (s["n"] + v.isNotNull().cast("int")).alias("n"))
+    return scan(df, keys, order, start, lambda s, r: _smoothed(s, r[x].cast("double"), a), lambda s, r: F.when(s["n"] >= least, s["y"]), out)
 
-    return scan(df, keys, order, start, step, lambda s, r: F.when(s["n"] >= least, s["y"]), out)
 
+def ewm_long(df: DataFrame, x: str, keys: Sequence[str], block: str, order: Sequence[str], out: str, alpha: float, least: int = 1) -> DataFrame:
+    """SCN-1 for a series of any length: as ewm over all blocks (days) of a key.
 
-def ewm_long(df: DataFrame, x: str, keys: Sequence[str], block: str, order: Sequence[str], out: str, alpha: float) -> DataFrame:
-    """SCN-1 for a series of any length without nulls: each block (a day) is the affine map y -> p y + q of the last
-    value before it; the maps of all blocks before are composed by doubling, in log2(blocks) windows over a row per
-    block, then each block is scanned from its own start."""
+    A block is the affine map y -> p y + q of the last value before it, given the nulls since that value, which
+    decay its weight and are known from counts.  The maps of all blocks before are composed by doubling, in
+    log2(blocks) windows over a row per block, then each block is folded from its own start.
+    """
     per = _sorted(df, [*keys, block], order)
-    ident = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("q"))
-    values = F.transform("_rows", lambda r: r[x].cast("double"))
-    per = per.select(*(F.col("_rows")[0][k].alias(k) for k in (*keys, block)), values.alias("_v"), "_rows")
-    fold = F.aggregate("_v", ident, lambda a, v: F.struct((a["p"] * (1 - alpha)).alias("p"), (a["q"] * (1 - alpha) + alpha * v).alias("q")))
-    maps = per.select(*keys, block, fold.alias("m"), F.col("_v")[0].alias("first"))
+    per = per.select(*(F.col("_rows")[0][k].alias(k) for k in (*keys, block)), F.transform("_rows", lambda r: r[x].cast("double")).alias("_v"), "_rows")
+    some = F.filter("_v", lambda v: v.isNotNull())
+    tail = F.aggregate("_v", F.lit(0), lambda a, v: F.when(v.isNull(), a + 1).otherwise(0))
+    rows = per.select(*keys, block, F.size("_v").alias("_n"), F.size(some).alias("_c"), tail.alias("_t"), F.get(some, F.lit(0)).alias("_f"))
     w = over(keys, [block])
-    # y before a block is the composed map of the blocks before, at the first value of the first of them
-    chain = maps.select(*keys, block, "first", F.first("first").over(w).alias("_f"), F.lag("m.p").over(w).alias("_p"), F.lag("m.q").over(w).alias("_q"))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_to", F.sum("_n").over(running(w)))
+    value_at = F.max(F.when(F.col("_c") > 0, F.col("_to") - F.col("_t"))).over(before)  # the row of the last value before the block
+    rows = rows.withColumns({"_gap": F.col("_to") - F.col("_n") - value_at, "_seen": F.coalesce(F.sum("_c").over(before), F.lit(0)), "_first": F.first("_f", ignorenulls=True).over(before)})
+    weight = F.when(F.col("_gap").isNull(), 1.0).otherwise(F.pow(F.lit(1 - alpha), F.col("_gap")))
+    rows = rows.select(*keys, block, weight.alias("_w"), "_seen", "_first", F.col("_f"))
+    per = stored(per.join(rows, [*keys, block]), "ewm")
+    ident = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("q"), F.col("_w").alias("w"))
+
+    def compose(a: Column, v: Column) -> Column:
+        wt = a["w"] * (1 - alpha)
+        p, q = a["p"] * wt / (wt + alpha), (a["q"] * wt + alpha * v) / (wt + alpha)
+        return F.struct(F.when(v.isNull(), a["p"]).otherwise(p).alias("p"), F.when(v.isNull(), a["q"]).otherwise(q).alias("q"), F.when(v.isNull(), wt).otherwise(F.lit(1.0)).alias("w"))
+
+    maps = stored(per.select(*keys, block, F.aggregate("_v", ident, compose).alias("m")), "ewm-maps")
+    chain = maps.select(*keys, block, F.lag("m.p").over(w).alias("_p"), F.lag("m.q").over(w).alias("_q"))
     most = maps.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 1
     back = 1
     while back < most:
         p, q = F.lag("_p", back).over(w), F.lag("_q", back).over(w)
         chain = chain.withColumns({"_p": F.coalesce(p * F.col("_p"), "_p"), "_q": F.coalesce(q * F.col("_p") + F.col("_q"), "_q")})
         back *= 2
-    carried = chain.select(*keys, block, F.coalesce(F.col("_p") * F.col("_f") + F.col("_q"), "first").alias("_y0"))
-    both = per.join(carried, [*keys, block])
-    done = both.withColumn("_o", fold_chunks(F.col("_v"), F.col("_y0"), "double", lambda y, v: (1 - alpha) * y + alpha * v, lambda y, v: y))
+    both = per.join(chain, [*keys, block])
+    # a map leaves the first value of all where it is, so the series may begin with it
+    start = F.struct((F.col("_p") * F.col("_first") + F.col("_q")).alias("y"), F.col("_w").alias("w"), F.col("_seen").alias("n"))
+    done = both.withColumn("_o", fold_chunks(F.col("_v"), start, "double", lambda s, v: _smoothed(s, v, alpha), lambda s, v: F.when(s["n"] >= least, s["y"])))
     return done.select(F.explode(F.arrays_zip("_rows", "_o")).alias("p")).select("p._rows.*", F.col("p._o").alias(out))
 
 
+def _smoothed(s: Column, v: Column, alpha: float) -> Column:
+    w = s["w"] * (1 - alpha)
+    y = F.when(v.isNull(), s["y"]).when(s["y"].isNull(), v).otherwise((w * s["y"] + alpha * v) / (w + alpha))
+    return F.struct(y.alias("y"), F.when(v.isNull() & s["y"].isNotNull(), w).otherwise(F.lit(1.0)).alias("w"), (s["n"] + v.isNotNull().cast("int")).alias("n"))
+
+
+def differences_long(df: DataFrame, x: str, keys: Sequence[str], block: str, order: Sequence[str], out: str) -> DataFrame:
+    """x less the row before it, over all blocks of a key: the first row of a block meets the last of the block before, a row per block."""
+    last = df.groupBy(*keys, block).agg(F.max_by(F.struct(F.col(x).alias("x")), F.struct(*order)).alias("_l"))
+    before = F.lag("_l").over(over(keys, [block]))
+    ends = last.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*keys, block])), before.alias("_before"))
+    inside = F.lag(F.struct(F.col(x).alias("x"))).over(over([*keys, block], order))
+    both = df.withColumn("_in", inside).join(ends, [df[c].eqNullSafe(ends[f"_k{i}"]) for i, c in enumerate([*keys, block])])
+    return both.withColumn(out, F.col(x) - F.coalesce("_in", "_before")["x"]).select(*df.columns, out)
+
+
+def rsi_long(df: DataFrame, x: str, keys: Sequence[str], block: str, order: Sequence[str], out: str = "rsi", n: int = 14, zero_loss: str = "null") -> DataFrame:
+    """SCN-2 for a series of any length: as rsi over all blocks of a key."""
+    df = differences_long(df, x, keys, block, order, "_d")
+    df = df.withColumn("_up", F.when(F.col("_d").isNotNull(), F.greatest("_d", F.lit(0.0)))).withColumn("_down", F.when(F.col("_d").isNotNull(), F.greatest(-F.col("_d"), F.lit(0.0)))).drop("_d")
+    df = ewm_long(df, "_up", keys, block, order, "_g", 1 / n, n)
+    df = ewm_long(df, "_down", keys, block, order, "_l", 1 / n, n)
+    return df.withColumn(out, _strength(zero_loss)).drop("_up", "_down", "_g", "_l")
+
+
+def _strength(zero_loss: str) -> Column:
+    quiet = {"null": F.lit(None).cast("double"), "100": F.lit(100.0), "mid": F.when(F.col("_g") == 0, 50.0).otherwise(100.0)}[zero_loss]
+    return F.when(F.col("_l").isNull(), None).when(F.col("_l") == 0, quiet).otherwise(100 - 100 / (1 + F.col("_g") / F.col("_l")))
+
+
 def rsi(df: DataFrame, x: str, keys: Sequence[str], order: Sequence[str], out: str = "rsi", n: int = 14, zero_loss: str = "null") -> DataFrame:
     """SCN-2: Wilder's RSI.  With no losses: null, 100, or 100 and 50 if there are no gains either ('mid')."""
     d = F.col(x) - F.lag(x).over(over(keys, order))
@@ -99,8 +141,7 @@ def rsi(df: DataFrame, x: str, keys: Sequence[str], order: Sequence[str], out: s
     df = df.withColumn("_up", F.when(F.col("_d").isNotNull(), F.greatest("_d", F.lit(0.0)))).withColumn("_down", F.when(F.col("_d").isNotNull(), F.greatest(-F.col("_d"), F.lit(0.0)))).drop("_d")
     df = ewm(df, "_up", keys, order, "_g", alpha=1 / n, least=n)
     df = ewm(df, "_down", keys, order, "_l", alpha=1 / n, least=n)
-    quiet = {"null": F.lit(None).cast("double"), "100": F.lit(100.0), "mid": F.when(F.col("_g") == 0, 50.0).otherwise(100.0)}[zero_loss]
-    return df.withColumn(out, F.when(F.col("_l").isNull(), None).when(F.col("_l") == 0, quiet).otherwise(100 - 100 / (1 + F.col("_g") / F.col("_l")))).drop("_up", "_down", "_g", "_l")
+    return df.withColumn(out, _strength(zero_loss)).drop("_up", "_down", "_g", "_l")
 
 
 def true_range(high: str, low: str, close: str, keys: Sequence[str], order: Sequence[str]) -> Column:
@@ -145,22 +186,61 @@ def bollinger(df: DataFrame, x: str, keys: Sequence[str], order: Sequence[str],
     return df.withColumn("bb_width", F.try_divide(F.col("bb_upper") - F.col("bb_lower"), "bb_mean")).withColumn("bb_pct", F.try_divide(F.col(x) - F.col("bb_lower"), F.col("bb_upper") - F.col("bb_lower"))).drop("_sd")
 
 
+def _cusum_start(collapse: int) -> Column:
+    """Sums, what the row shows, and rows since the last shown event of each side (no more than matter)."""
+    far = F.lit(collapse + 1)
+    return F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("n"), F.lit(0).alias("e"), far.alias("gp"), far.alias("gn"))
+
+
+def _cusum_step(collapse: int):
+    def step(s: Column, d: Column, t: Column) -> Column:
+        d = F.coalesce(d, F.lit(0.0))
+        p, n = F.greatest(F.lit(0.0), s["p"] + d), F.least(F.lit(0.0), s["n"] + d)
+        gp, gn = F.least(s["gp"] + 1, F.lit(collapse + 1)), F.least(s["gn"] + 1, F.lit(collapse + 1))
+        up, down = F.coalesce(p > t, F.lit(False)), F.coalesce(n < -t, F.lit(False))
+        shown = F.when(up, F.when(gp > collapse, 1).otherwise(0)).when(down, F.when(gn > collapse, -1).otherwise(0)).otherwise(0)
+        zero = up | down
+        return F.struct(F.when(zero, 0.0).otherwise(p).alias("p"), F.when(zero, 0.0).otherwise(n).alias("n"), shown.alias("e"), F.when(shown == 1, 0).otherwise(gp).alias("gp"), F.when(shown == -1, 0).otherwise(gn).alias("gn"))
+
+    return step
+
+
 def cusum(df: DataFrame, x: str, threshold: str, keys: Sequence[str], order: Sequence[str], collapse: int = 0, out: str = "event") -> DataFrame:
     """SCN-7: 1 or -1 where the running sum of changes passes the row's threshold, which resets both sums; the same side
     doesn't fire again within `collapse` rows."""
     df = df.withColumn("_d", F.col(x) - F.lag(x).over(over(keys, order)))
-    start = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("n"), F.lit(0).alias("e"), F.lit(0).alias("i"), F.lit(-1_000_000_000).alias("lp"), F.lit(-1_000_000_000).alias("ln"))
+    step = _cusum_step(collapse)
+    return scan(df, keys, order, _cusum_start(collapse), lambda s, r: step(s, r["_d"], r[threshold]), lambda s, r: s["e"], out).drop("_d")
 
-    def step(s: Column, r: Column) -> Column:
-        d, t = F.coalesce(r["_d"], F.lit(0.0)), r[threshold]
-        p, n, i = F.greatest(F.lit(0.0), s["p"] + d), F.least(F.lit(0.0), s["n"] + d), s["i"] + 1
-        up, down = F.coalesce(p > t, F.lit(False)), F.coalesce(n < -t, F.lit(False))
-        fired = F.when(up, 1).when(down, -1).otherwise(0)
-        shown = F.when((fired == 1) & (i - s["lp"] > collapse), 1).when((fired == -1) & (i - s["ln"] > collapse), -1).otherwise(0)
-        zero = up | down
-        return F.struct(F.when(zero, 0.0).otherwise(p).alias("p"), F.when(zero, 0.0).otherwise(n).alias("n"), shown.alias("e"), i.alias("i"), F.when(shown == 1, i).otherwise(s["lp"]).alias("lp"), F.when(shown == -1, i).otherwise(s["ln"]).alias("ln"))
 
-    return scan(df, keys, order, start, step, lambda s, r: s["e"], out).drop("_d")
+def cusum_long(df: DataFrame, x: str, threshold: str, keys: Sequence[str], block: str, order: Sequence[str], collapse: int = 0, out: str = "event") -> DataFrame:
+    """SCN-7 over the whole frame: as cusum over all blocks (days) of a key, exactly.
+
+    Every block is folded from a fresh start, then again from the end of the block before, as long as that
+    changes its start.  Resets make runs from different starts meet, so after a few rounds, each of the
+    blocks still open only, all starts are true; in the worst case there are as many rounds as blocks.  A row per
+    block goes from round to round.
+    """
+    step, fresh = _cusum_step(collapse), _cusum_start(collapse)
+    given = differences_long(df, x, keys, block, order, "_d")
+    per = _sorted(given, [*keys, block], order)
+    per = stored(per.select(*(F.col("_rows")[0][k].alias(k) for k in (*keys, block)), "_rows"), "cusum")
+    w = over(keys, [block])
+    fold = lambda start: F.aggregate("_rows", start, lambda s, r: step(s, r["_d"], r[threshold]))
+    kind = per.select(fold(fresh).alias("s")).schema["s"].dataType.simpleString()
+    state = per.select(*keys, block, fresh.cast(kind).alias("start"), F.lit(None).cast(kind).alias("end"), F.lit(True).alias("open"))
+    while True:
+        now = state.where("open").select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*keys, block])), F.col("start").alias("_from"))
+        again = per.join(now, [per[c].eqNullSafe(now[f"_k{i}"]) for i, c in enumerate([*keys, block])]).select(*(f"_k{i}" for i in range(len(keys) + 1)), fold(F.col("_from")).cast(kind).alias("_to"))
+        both = state.join(again, [state[c].eqNullSafe(again[f"_k{i}"]) for i, c in enumerate([*keys, block])], "left").select(*keys, block, "start", F.coalesce("_to", "end").alias("end"))
+        true = F.coalesce(F.lag("end").over(w), fresh.cast(kind))
+        state = stored(both.withColumn("_true", true).select(*keys, block, F.col("_true").alias("start"), "end", (~F.col("_true").eqNullSafe(F.col("start"))).alias("open")), "cusum-starts")
+        if not state.where("open").limit(1).count():
+            break
+    starts = state.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*keys, block])), "start")
+    both = per.join(starts, [per[c].eqNullSafe(starts[f"_k{i}"]) for i, c in enumerate([*keys, block])])
+    done = both.withColumn("_o", fold_chunks(F.col("_rows"), F.col("start"), "int", lambda s, r: step(s, r["_d"], r[threshold]), lambda s, r: s["e"]))
+    return done.select(F.explode(F.arrays_zip("_rows", "_o")).alias("p")).select(*(F.col(f"p._rows.{c}") for c in df.columns), F.col("p._o").alias(out))
 
 
 def equity(df: DataFrame, ret: str, keys: Sequence[str], order: Sequence[str], form: str = "additive", capital: float = 1.0) -> DataFrame:

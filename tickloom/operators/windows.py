@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ColumnOrName, col, safe_divide
+from .counting import earlier_counts
 
 
 def over(keys: Sequence[str], order: Sequence[ColumnOrName]) -> WindowSpec:
@@ -71,32 +72,19 @@ def expanding_mean(x: ColumnOrName, least: int, w: WindowSpec) -> Column:
     return F.when(F.count(col(x)).over(running(w)) >= least, F.avg(col(x)).over(running(w)))
 
 
-def _earlier_counts(df: DataFrame, x: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """df with _less, _same and _n: of the rows of the session before this one, those with a smaller and an equal x, and
-    those with any.  A session is one sorted array, of which a row looks at what stands before it."""
-    ordered = F.struct(*(F.col(o).alias(f"_o{i}") for i, o in enumerate(order)), F.struct(*(F.col(c) for c in df.columns)).alias("_row"), F.col(x).alias("_x"))
-    g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(ordered)).alias("_rows")).withColumn("_v", F.transform("_rows", lambda r: r["_x"]))
-
-    def counts(r: Column, i: Column) -> Column:
-        seen = F.slice("_v", F.lit(1), i)
-        size = lambda keep: F.size(F.filter(seen, keep))
-        return F.struct(r["_row"].alias("_row"), size(lambda v: v < r["_x"]).alias("_less"), size(lambda v: v == r["_x"]).alias("_same"), size(lambda v: v.isNotNull()).alias("_n"))
-
-    return g.select(F.explode(F.transform("_rows", counts)).alias("_p")).select("_p._row.*", "_p._less", "_p._same", "_p._n")
-
-
 def expanding_rank(df: DataFrame, x: str, keys: Sequence[str], order: Sequence[str], out: str, least: int = 5) -> DataFrame:
     """WIN-11: (#less + (#equal + 1) / 2) / n among the rows up to this one, nulls left out.
 
-    A session is of bounded length (a day of minutes): memory grows with it, time with its square.
+    A session is in one task; its time grows with n log n.
     """
-    df = _earlier_counts(df, x, keys, order)
+    df = earlier_counts(df, x, keys, order)
     n = F.col("_n") + 1
     return df.withColumn(out, F.when(F.col(x).isNotNull() & (n >= least), (F.col("_less") + (F.col("_same") + 2) / 2) / n)).drop("_less", "_same", "_n")
 
 
 def history_percentile(df: DataFrame, x: str, keys: Sequence[str], day: str, order: Sequence[str], out: str, days: int = 90) -> DataFrame:
-    """WIN-12: 100 * share of earlier values <= x, over the days before (within `days` of them) and the earlier rows of the day.
+    """WIN-12 by days: 100 * share of earlier values <= x, over the days before (within `days` of them) and the earlier rows of the
+    day.  counting.history_percentile_rows has a history of a number of rows, and sends each row to two blocks only.
 
     The distinct values of a day, with counts, go to each of the `days` days after it, and meet that
     day's own values in one pass in order of value that adds the counts up: a day's rows are never
@@ -108,7 +96,7 @@ def history_percentile(df: DataFrame, x: str, keys: Sequence[str], day: str, ord
     day_of = Window.partitionBy(*keys, day)
     upto = day_of.orderBy("_x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     past = both.withColumn("_le", F.sum("_c").over(upto)).withColumn("_all", F.sum("_c").over(day_of)).where("_own = 1").drop("_c", "_own")
-    rows = _earlier_counts(df, x, [*keys, day], order)
+    rows = earlier_counts(df, x, [*keys, day], order)
     on = [rows[k].eqNullSafe(past[k]) for k in (*keys, day)] + [rows[x] == past["_x"]]
     joined = rows.join(past, on, "left").select(*(rows[c] for c in rows.columns), "_le", "_all")
     total = F.coalesce("_all", F.lit(0)) + F.col("_n")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import scans as C
 from ..operators import windows as W
+from ..operators.counting import history_percentile_rows
 from .catalogue import query, r6, rounded
 from .views import BARS, DAILY, HOURLY, KEYS, NUMBERED, ORDER, bars, daily, hourly
 
@@ -89,6 +90,23 @@ def history_percentile(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(W.history_percentile(bars(spark, sf), "price", ["instrument"], "session", ORDER, "pct"), "instrument", "session", "event_id", "pct")
 
 
+def _past_rows(n: int) -> str:
+    return "WITH " + BARS + f""", h AS (SELECT *, list(price) OVER (PARTITION BY instrument ORDER BY session, ts, event_id ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS past FROM bars)
+SELECT instrument, session, event_id, round(CASE WHEN len(past) > 0 THEN 100.0 * len(list_filter(past, lambda p: p <= price)) / len(past) END, 6) AS pct FROM h"""
+
+
+@query("win_12_history_of_30000_rows", _past_rows(30_000))
+def history_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Each price among the 30,000 of its instrument before it, whatever their day."""
+    return rounded(history_percentile_rows(bars(spark, sf), "price", ["instrument"], "session", ORDER, "pct"), "instrument", "session", "event_id", "pct")
+
+
+@query("win_12_history_of_300_rows", _past_rows(300))
+def short_history(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with a history that most rows have lost some of."""
+    return rounded(history_percentile_rows(bars(spark, sf), "price", ["instrument"], "session", ORDER, "pct", 300), "instrument", "session", "event_id", "pct")
+
+
 @query(
     "win_13_clock_baseline",
     "WITH " + HOURLY + """, d AS (SELECT session, row_number() OVER (ORDER BY session) - 1 AS day_idx FROM (SELECT DISTINCT session FROM hourly))
@@ -325,6 +343,33 @@ def bollinger(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(C.bollinger(bars(spark, sf), "price", KEYS, ORDER), *ID, "bb_upper", "bb_lower", "bb_pct")
 
 
+@query(
+    "scn_7_cusum_whole_frame",
+    "WITH RECURSIVE " + BARS + """, d AS (SELECT instrument, session, event_id, row_number() OVER w AS rn, coalesce(price - lag(price) OVER w, 0) AS d FROM bars WINDOW w AS (PARTITION BY instrument ORDER BY session, ts, event_id)),
+s AS (SELECT instrument, session, event_id, rn, 0.0::DOUBLE AS p, 0.0::DOUBLE AS n, 6 AS gp, 6 AS gn, 0 AS event FROM d WHERE rn = 1
+  UNION ALL SELECT instrument, session, event_id, rn, CASE WHEN up OR down THEN 0 ELSE p END, CASE WHEN up OR down THEN 0 ELSE n END, CASE WHEN up AND gp > 5 THEN 0 ELSE gp END,
+    CASE WHEN NOT up AND down AND gn > 5 THEN 0 ELSE gn END, CASE WHEN up THEN (gp > 5)::INT WHEN down THEN -(gn > 5)::INT ELSE 0 END
+  FROM (SELECT d.instrument, d.session, d.event_id, d.rn, greatest(0, s.p + d.d) AS p, least(0, s.n + d.d) AS n, least(s.gp + 1, 6) AS gp, least(s.gn + 1, 6) AS gn, greatest(0, s.p + d.d) > 40 AS up, least(0, s.n + d.d) < -40 AS down
+    FROM s JOIN d ON d.instrument = s.instrument AND d.rn = s.rn + 1))
+SELECT instrument, session, event_id, event FROM s""",
+)
+def cusum_long(spark: SparkSession, sf: str) -> DataFrame:
+    """Sums run on over all days of an instrument; a side that fires is quiet for five rows."""
+    return C.cusum_long(bars(spark, sf).withColumn("limit", F.lit(40.0)), "price", "limit", ["instrument"], "session", ORDER, 5).select("instrument", "session", "event_id", "event")
+
+
+@query(
+    "scn_2_rsi_whole_frame",
+    "WITH RECURSIVE " + BARS + """, d AS (SELECT instrument, session, event_id, row_number() OVER w AS rn, price - lag(price) OVER w AS d FROM bars WINDOW w AS (PARTITION BY instrument ORDER BY session, ts, event_id)),
+s AS (SELECT instrument, session, event_id, rn, NULL::DOUBLE AS g, NULL::DOUBLE AS l FROM d WHERE rn = 1
+  UNION ALL SELECT d.instrument, d.session, d.event_id, d.rn, CASE WHEN s.g IS NULL THEN greatest(d.d, 0) ELSE s.g + (greatest(d.d, 0) - s.g) / 14 END, CASE WHEN s.l IS NULL THEN greatest(-d.d, 0) ELSE s.l + (greatest(-d.d, 0) - s.l) / 14 END
+  FROM s JOIN d ON d.instrument = s.instrument AND d.rn = s.rn + 1)
+SELECT instrument, session, event_id, round(CASE WHEN rn > 14 AND l > 0 THEN 100 - 100 / (1 + g / l) END, 6) AS rsi FROM s""",
+)
+def rsi_long(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(C.rsi_long(bars(spark, sf), "price", ["instrument"], "session", ORDER), "instrument", "session", "event_id", "rsi")
+
+
 @query(
     "scn_7_cusum",
     "WITH RECURSIVE " + NUMBERED + f""", d AS (SELECT session, instrument, event_id, rn, coalesce(price - lag(price) OVER {_W}, 0) AS d FROM b),
