@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import pickle
 import re
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import held
+from .base import fresh_path, held
+from .files import Input, Output
 
-#: Characters of test items in one automaton, some 60 MB in each worker; more items are searched in further passes over the rows.
-BLOCK_CHARS = 1_000_000
+#: Characters of test items in one automaton, some 60 MB in each worker, and bytes of texts that are searched with one before the next.
+BLOCK_CHARS, HELD_BYTES = 1_000_000, 64 << 20
 _APART = re.compile(r"[\W_]+")
 
 
@@ -112,44 +113,74 @@ class Finder:
         return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, error: float = 0.05) -> DataFrame:
+def _prepared(items: DataFrame, n_blocks: int) -> list[str]:
+    """The items of each block as a file in the shared folder; a task makes one block."""
+    folder = fresh_path(items.sparkSession, "benchmark")
+
+    def make(table: pa.Table) -> pa.Table:
+        block = table["block"][0].as_py()
+        kept = [(i, t) for i, text in zip(table["item_id"].to_pylist(), table["text"].to_pylist(), strict=True) if (t := normal(text))]
+        if not kept:
+            return pa.table({"path": pa.array([], pa.string())})
+        out = Output(f"{folder}/{block:06d}.items")
+        out.write(pickle.dumps(kept))
+        out.close()
+        return pa.table({"path": [f"{folder}/{block:06d}.items"]})
+
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)))
+    return sorted(r.path for r in dealt.groupBy("block").applyInArrow(make, "path string").collect())
+
+
+def _opened(path: str, error: float) -> Finder:
+    with Input(path) as f:
+        return Finder(pickle.loads(f.at(0, f.size)), error)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, error: float = 0.05, block_chars: int = BLOCK_CHARS, held_bytes: int = HELD_BYTES) -> DataFrame:
     """docs(doc_id, text) against benchmark(item_id, text): doc_id, n_items, item_ids, min_distance, contaminated.
 
     An item is in a document if some part of the document's normalised text is within error * length
     edits of the normalised item, both with the spaces around their words, so a short item isn't found
     inside a longer word: exact for any place, found by the pigeonhole principle, with no cap on candidates.  Null or empty texts match nothing (n_items 0, min_distance null).  An id may stand for
-    several texts and counts once; items with a null id count as one id, a null at the end of item_ids.  Items are
-    read in blocks of about BLOCK_CHARS, each one pass over the documents, so the driver and the tasks hold one
-    block, which is what is broadcast; rows stay as they are, repeated ones too.
+    several texts and counts once; items with a null id count as one id, a null at the end of item_ids.  Rows stay as they
+    are, repeated ones too; other columns of docs are left out.
+
+    Items lie in blocks of about `block_chars` in the shared folder.  One pass goes over the documents, with one Python worker a
+    task whatever the number of blocks: it normalises `held_bytes` of texts, searches them with one block's automaton after
+    another, and goes on to the next texts.  With a single block a worker keeps its automaton from task to task.
     """
-    spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").dropDuplicates()
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
-    n_blocks = max(1, -(-int(total) // BLOCK_CHARS))
-    out = docs.select("doc_id", "text").withColumn("item_ids", F.array().cast("array<long>")).withColumn("min_distance", F.lit(None).cast("long"))
-    for b in range(n_blocks):
-        block = [(r.item_id, t) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).collect() if (t := normal(r.text))]
-        if block:
-            out = _search(out, spark.sparkContext.broadcast(block), error)
-    ids = F.array_sort("item_ids")
-    return out.select("doc_id", F.size("item_ids").cast("long").alias("n_items"), ids.alias("item_ids"), "min_distance", (F.size("item_ids") > 0).alias("contaminated"))
-
-
-def _search(rows: DataFrame, shared: object, error: float) -> DataFrame:
-    key = uuid.uuid4().hex
+    paths = _prepared(items, max(1, -(-int(total) // block_chars)))
+
+    def searched(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = [[normal(t) for t in b.column(1).to_pylist()] for b in rows]
+        found: list[list[dict[int | None, int]]] = [[{} for _ in t] for t in texts]
+        for path in paths:
+            finder = held("decontaminate", path, lambda path=path: _opened(path, error))
+            for some, out in zip(texts, found, strict=True):
+                for n, text in enumerate(some):
+                    if text:
+                        for i, d in finder.find(text).items():
+                            out[n][i] = min(d, out[n].get(i, d))
+        for b, out in zip(rows, found, strict=True):
+            ids = [sorted(x, key=lambda i: (i is None, i or 0)) for x in out]
+            least = [min(x.values()) if x else None for x in out]
+            columns = [b.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(least, pa.int64()), pa.array(map(bool, ids))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_items", "item_ids", "min_distance", "contaminated"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = held("decontaminate", key, lambda: Finder(shared.value, error))
+        rows, size = [], 0
         for batch in batches:
-            lists, least = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for n, text in enumerate(batch.column(1).to_pylist()):
-                found = finder.find(normal(text)) if text else {}
-                if found:
-                    lists[n] = sorted({*lists[n], *found}, key=lambda i: (i is None, i or 0))
-                    least[n] = min(x for x in (least[n], *found.values()) if x is not None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int64())), pa.array(least, pa.int64())], batch.schema.names)
-
-    return rows.mapInArrow(run, rows.schema)
+            rows.append(batch)
+            size += batch.nbytes
+            if size >= held_bytes or len(paths) < 2:
+                yield from searched(rows)
+                rows, size = [], 0
+        yield from searched(rows)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_items long, item_ids array<long>, min_distance long, contaminated boolean")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, error: float = 0.05) -> DataFrame:
