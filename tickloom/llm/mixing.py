@@ -18,6 +18,8 @@ FAN = 4_096
 BROADCAST = 100_000
 #: Output shards where their number isn't given are at most MAX_SHARDS.  Blocks get larger so that there are at most about MAX_BLOCKS.
 MAX_SHARDS, MAX_BLOCKS = 65_536, 50_000_000
+#: Blocks that a source has for each shard, at least, as far as its documents go.
+SPREAD = 16
 #: Rows of one source in a window of the permutations.
 BUCKET = 4_096
 SEED = 11
@@ -150,8 +152,11 @@ def _drawn(docs: DataFrame, carry: bool, weights: tuple[float, ...], share: floa
     per = written(source_targets(sizes, weights, share, most), "targets")
     count = per.agg(F.count("*").alias("sources"), F.coalesce(F.sum("docs"), F.lit(0)).alias("docs")).first()
     block_docs = max(block_docs, -(-count.docs // MAX_BLOCKS))
+    if shards is None:  # about 64 whole blocks each
+        shards = max(8, min(count.docs // (64 * block_docs), MAX_SHARDS))
+    least = min(SPREAD * shards, MAX_BLOCKS // max(1, count.sources))  # blocks of a source, if it has so many documents
     passes = F.least(F.floor(F.col("target") / F.greatest("source_size", F.lit(1))), F.lit(int(most)))
-    known = per.select(F.col("source").alias("s"), "idx", "source_size", "target", F.ceil(F.col("docs") / block_docs).alias("blocks"), passes.alias("passes"))
+    known = per.select(F.col("source").alias("s"), "idx", "source_size", "target", F.greatest(F.ceil(F.col("docs") / block_docs), F.least("docs", F.lit(least))).alias("blocks"), passes.alias("passes"))
     known = known.withColumn("rest", F.round("target").cast("long") - F.col("passes") * F.col("source_size"))
     near = F.broadcast if count.sources <= BROADCAST else lambda x: x.hint("merge")
 
@@ -165,8 +170,6 @@ def _drawn(docs: DataFrame, carry: bool, weights: tuple[float, ...], share: floa
     draws = blocks.where(times > 0).select("idx", "block", "blocks", "block_start", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)).alias("pass"))
     draws = written(_before(draws, seed + 4, ("block", "pass"), F.ceil(F.col("blocks") * (int(most) + 1) / BUCKET), F.lit(1), "rank"), "draws")
     quotas = draws.groupBy("idx").agg(F.count("*").alias("n"))
-    if shards is None:  # about 64 blocks each
-        shards = max(8, min(draws.count() // 64, MAX_SHARDS))
     ranges = shard_quotas(quotas, shards, seed)
     slots = ranges.select("idx", "shard", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("rank"))
     of_block = draws.join(slots, ["idx", "rank"]).groupBy("idx", "block").agg(F.first("block_start").alias("block_start"), F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("at"))
@@ -186,7 +189,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
     Returns doc_id, size (words), source, source_size, target, taken (words the mix takes, repeats
     counted) and draws: an array of (shard, place, words), one for each time the document is drawn; place
-    orders the documents of a shard.  A source is dealt into blocks by a hash of the document.  Drawn are
+    orders the documents of a shard.  A source is dealt by a hash of the document into blocks of at most about
+    `block_docs`, and into SPREAD for each shard if it has so many documents, so no source is too few blocks to be in every shard.  Drawn are
     whole passes over its blocks and then blocks of a permutation up to the exact rounded rest; the
     document at the boundary is taken in part, so taken words of a source differ from its target by
     rounding only and no document exceeds `most` times its size.  The splitting tree deals the numbers of
