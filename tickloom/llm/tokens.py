@@ -246,11 +246,12 @@ def encoder_for(path: str) -> WordEncoder:
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, bits: bool = False) -> DataFrame:
     """Write docs(doc_id, text) in ascending doc_id order; one row per file: shard, path, n_docs, n_tokens.
 
-    A null text is empty and has its end id only; null doc_ids come first; rows with the same doc_id are
-    ordered by text.  Tasks name their files in their result, as in warc.write_bundles.
+    A null text is empty and has its end id only; null doc_ids come first; rows with the same doc_id (many
+    nulls, say) are ordered by a hash of their text, which deals them to several files.  Other columns are left out.  Tasks name their files in their result, as in warc.write_bundles.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    docs = docs.withColumn("place", F.xxhash64("text"))
+    ordered = docs.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place", "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer = None, None
