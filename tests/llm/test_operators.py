@@ -700,3 +700,29 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     want = (mixed.taken / mixed["size"]).add(0.5 + 1e-12).astype(int)
     assert out.doc_id.value_counts().sort_index().to_dict() == want[want > 0].sort_index().to_dict()
     assert [name for name, _ in c.STAGES] == ["language", "near_duplicates", "decontamination", "mixing", "tokens"]
+
+
+def test_blocks_of_items_are_searched_in_one_pass(spark):
+    rng = random.Random(31)
+    items = [(i, " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(12))) for i in range(60)]
+    texts = [f"so {items[i % 60][1][: -(i % 3) or None]} and {items[(7 * i) % 60][1]}" for i in range(90)] + ["nothing", None, ""]
+    docs, bench = docs_of(spark, texts).repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    one = decontaminate.contamination(docs, bench)
+    many = decontaminate.contamination(docs, bench, block_chars=300, held_bytes=2_000)
+    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect())) and many.where("n_items > 1").count() > 20
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_every_shard_has_every_source(spark):
+    mixed = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    held = {(r.shard, r.source) for r in mixed.select("source", F.explode("draws.shard").alias("shard")).distinct().collect()}
+    shards, sources = {s for s, _ in held}, {s for _, s in held}
+    assert len(shards) == 8 and len(held) >= 0.95 * len(shards) * len(sources)
+
+
+def test_null_ids_teach_languages_too(spark):
+    few = [(None, w * 30, lang, "s", 1) for w, lang in (("alpha beta ", "en"), ("gamma delta ", "fr")) for _ in range(6)]
+    path = base.fresh_path(spark, "nulls")
+    spark.createDataFrame(few, DOCS).write.parquet(f"{path}/documents.parquet")
+    assert {r.lang_pred for r in queries.op5_language_id(spark, path).collect()} == {"en", "fr"}

@@ -58,7 +58,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import fit, identify, third
 
     docs = _read(spark, sf_dir, "documents")
-    model = fit(docs.where(third("doc_id") != 1))
+    model = fit(docs.where(F.coalesce(third("doc_id") != 1, F.lit(True))))
     named = identify(docs.select("doc_id", "text"), model)
     return named.select("doc_id", F.coalesce(third("doc_id") == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
