@@ -1,4 +1,4 @@
-"""Model-facing jobs (MLJ family) on pyspark.ml."""
+"""Model-facing jobs (MLJ family) on pyspark.ml; purged walk-forward, the clipper as an Estimator and trade utility are in training."""
 
 from __future__ import annotations
 
@@ -69,6 +69,6 @@ def walk_forward_scores(df: DataFrame, day: str, features: Sequence[str], label:
 
 
 def fold_quality(scores: DataFrame, label: str) -> DataFrame:
-    """MLJ-2, MLJ-6: area under the curve and Brier score per fold, best first, and an edge verdict."""
+    """MLJ-2: area under the curve and Brier score per fold, best first, and an edge verdict."""
     q = auc_brier(scores, "p", label, ["fold"])
     return q.withColumn("edge", F.when(F.col("auc") >= 0.55, "EDGE").when(F.col("auc") >= 0.5, "WEAK").otherwise("NONE")).orderBy(F.desc("auc"), "fold")
