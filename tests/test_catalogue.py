@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def _catalogue():
-    from tickloom.plans import catalogue, extra_queries, more_queries, report_queries, stage_queries, stream_queries, table_queries, training_queries, window_queries  # noqa: F401
+    from tickloom.plans import catalogue, cutoff_queries, extra_queries, more_queries, report_queries, stage_queries, stream_queries, table_queries, training_queries, window_queries  # noqa: F401
 
     return catalogue
 

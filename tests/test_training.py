@@ -182,3 +182,29 @@ def test_rule_trades_equal_a_plain_walk(spark, sign):
     for a, b in zip(have, want, strict=True):
         assert a[3:6] + a[7:] == pytest.approx(b[3:6] + b[7:])
     assert rule_trades(df.limit(0), ["day"], "m", "p", F.col("s"), x).count() == 0
+
+
+def test_velocity_features_of_few_rows_nulls_and_adx(spark):
+    import pandas as pd
+
+    from tickloom.operators.velocity import velocity_features
+
+    rng = random.Random(8)
+    rows, x = [], 100.0
+    for i in range(30):
+        x += rng.gauss(0, 2)
+        rows.append(("a", i, T0 + dt.timedelta(minutes=3 * i), x, x + rng.random(), x - rng.random(), x + rng.gauss(0, 0.3)))
+    few = [("b", i, T0 + dt.timedelta(minutes=i), 1.0, 2.0, 0.5, 1.0) for i in range(2)]
+    df = spark.createDataFrame(rows + few, "k string, i int, at timestamp, open double, high double, low double, close double")
+    cut = spark.createDataFrame([("a", T0 + dt.timedelta(minutes=90), None, 99.0, None), ("b", T0, 1.0, 1.0, 1.0), ("c", T0, 1.0, 1.0, 1.0)], "k string, at timestamp, close double, prev_close double, prev_volume double")
+    got = {r.k: r.asDict() for r in velocity_features(df, cut, ["k"], "at", ["i"]).collect()}
+    assert len(got["a"]) == 42 and all(v is None for k in "bc" for n, v in got[k].items() if n != "k")
+    f = pd.DataFrame(rows, columns=["k", "i", "at", "open", "high", "low", "close"])
+    up, down, pc = f.high.diff(), -f.low.diff(), f.close.shift(1)
+    smooth = lambda s: s.ewm(alpha=1 / 14, adjust=False).mean()
+    atr = smooth(pd.concat([f.high - f.low, (f.high - pc).abs(), (f.low - pc).abs()], axis=1).max(axis=1))
+    plus, minus = (100 * smooth(s) / atr for s in (up.where((up > down) & (up > 0), 0.0).fillna(0.0), down.where((down > up) & (down > 0), 0.0).fillna(0.0)))
+    adx = smooth(100 * (plus - minus).abs() / (plus + minus).replace(0.0, float("nan")))
+    assert got["a"]["adx_14"] == pytest.approx(adx.dropna().iloc[-1])
+    assert got["a"]["vel_price_delta_open"] == pytest.approx(f.close.iloc[-1] - f.open.iloc[0]) and got["a"]["ctx_am_gap_from_yday"] == pytest.approx(f.open.iloc[0] - 99.0)
+    assert got["a"]["vel_ce_oi_delta_open"] is None and got["a"]["ctx_am_vol_vs_yday"] is None and got["a"]["ctx_am_breakout_confirmed"] == 0.0

@@ -41,13 +41,34 @@ def not_finite(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*(F.count_if(x(c).isNull() | F.isnan(x(c)) | (F.abs(x(c)) == float("inf"))).alias(c) for c in columns))
 
 
-def completeness(df: DataFrame, keys: Sequence[str], order: Sequence[str], rules: Mapping[str, int], least: float = 0.98, eligible: Column | None = None) -> DataFrame:
-    """DQC-5: per keys and column: eligible rows (after the column's warm-up rows), filled share, whether it reaches the least."""
+def completeness(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rules: Mapping[str, int], least: float = 0.98, eligible: Column | None = None, day: str | None = None,
+    sessions: Mapping[str, int] | None = None, continuity: Mapping[str, Column] | None = None, thresholds: Mapping[str, float] | None = None,
+) -> DataFrame:
+    """DQC-5: per keys and column: eligible rows (after the column's warm-up rows), filled share, whether it reaches the least.
+
+    sessions: days of history that a column needs; with `day`, the first days up to that number are left out for it (the day with that
+    number counts).  continuity: a further condition of a column's rows, such as the row before having the same strike
+    (same_strike).  thresholds: another least share of a column.
+    """
+    sessions, continuity, thresholds = sessions or {}, continuity or {}, thresholds or {}
     w = over(keys, order)
     df = df.withColumn("_i", F.row_number().over(w)).withColumn("_e", F.coalesce(eligible, F.lit(False)) if eligible is not None else F.lit(True))
-    items = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).isNotNull().alias("filled"), (F.col("_e") & (F.col("_i") > n)).alias("eligible")) for c, n in rules.items()))
+    df = df.withColumns({f"_e_{c}": F.coalesce(x, F.lit(False)) for c, x in continuity.items()})
+    if sessions:
+        days = df.select(F.col(day).alias("_day")).distinct().withColumn("_number", F.row_number().over(Window.orderBy("_day")))  # a row per day
+        df = df.join(days, df[day].eqNullSafe(days["_day"])).drop("_day")
+    old = lambda c: F.col("_number") >= sessions[c] if c in sessions else F.lit(True)
+    more = lambda c: F.col(f"_e_{c}") if c in continuity else F.lit(True)
+    items = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).isNotNull().alias("filled"), (F.col("_e") & (F.col("_i") > n) & old(c) & more(c)).alias("eligible"), F.lit(float(thresholds.get(c, least))).alias("least")) for c, n in rules.items()))
     g = df.select(*keys, F.explode(items).alias("x")).where("x.eligible").groupBy(*keys, F.col("x.column").alias("column"))
-    return g.agg(F.count("*").alias("eligible"), F.avg(F.col("x.filled").cast("double")).alias("filled")).withColumn("ok", F.col("filled") >= least)
+    g = g.agg(F.count("*").alias("eligible"), F.avg(F.col("x.filled").cast("double")).alias("filled"), F.first("x.least").alias("_least"))
+    return g.withColumn("ok", F.col("filled") >= F.col("_least")).drop("_least")
+
+
+def same_strike(strike: str, rows: str, keys: Sequence[str], order: Sequence[str]) -> Column:
+    """DQC-5: the strike is that of the row before, and there are option rows."""
+    return (F.col(strike) == F.lag(strike).over(over(keys, order))) & (F.col(rows) > 0)
 
 
 def missing_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:

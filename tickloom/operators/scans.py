@@ -149,10 +149,20 @@ def true_range(high: str, low: str, close: str, keys: Sequence[str], order: Sequ
     return F.greatest(F.col(high) - F.col(low), F.abs(F.col(high) - pc), F.abs(F.col(low) - pc))
 
 
-def atr(df: DataFrame, high: str, low: str, close: str, keys: Sequence[str], order: Sequence[str], out: str = "atr", n: int = 14) -> DataFrame:
-    """SCN-3: true range (the first: high - low), smoothed with 1/n."""
+def atr(df: DataFrame, high: str, low: str, close: str, keys: Sequence[str], order: Sequence[str], out: str = "atr", n: int = 14, seeded: bool = False) -> DataFrame:
+    """SCN-3: true range (the first: high - low), smoothed with 1/n.  seeded: ranges count from the second row on, the mean of the first n
+    is the first value, and there is none before."""
     df = df.withColumn("_tr", true_range(high, low, close, keys, order))
-    return ewm(df, "_tr", keys, order, out, alpha=1 / n).drop("_tr")
+    if not seeded:
+        return ewm(df, "_tr", keys, order, out, alpha=1 / n).drop("_tr")
+    start = F.struct(F.lit(-1).alias("i"), F.lit(0.0).alias("s"), F.lit(None).cast("double").alias("y"))
+
+    def step(s: Column, r: Column) -> Column:
+        i, tr = s["i"] + 1, F.when(s["i"] >= 0, r["_tr"]).otherwise(0.0)
+        total = F.when(i <= n, s["s"] + tr).otherwise(s["s"])
+        return F.struct(i.alias("i"), total.alias("s"), F.when(i == n, total / n).when(i > n, s["y"] + (tr - s["y"]) / n).alias("y"))
+
+    return scan(df, keys, order, start, step, lambda s, r: s["y"], out).drop("_tr")
 
 
 def macd(df: DataFrame, x: str, keys: Sequence[str], order: Sequence[str], fast: int = 12, slow: int = 26, signal: int = 9, least: int = 35) -> DataFrame:

@@ -78,12 +78,12 @@ def nearest_expiries(days: DataFrame, day: str, expiries: DataFrame, expiry: str
 
 
 def page(df: DataFrame, order: Sequence[ColumnOrName], number: int, size: int) -> DataFrame:
-    """SRT-12: rows of a page; a page beyond the end is the last one.  For reports: ranks need one ordered pass."""
-    total = Window.partitionBy()
-    df = df.withColumn("row_number", F.row_number().over(Window.orderBy(*order))).withColumn("total_rows", F.count("*").over(total))
-    last = F.greatest(F.lit(1), F.ceil(F.col("total_rows") / size))
-    p = F.least(F.lit(max(1, number)), last)
-    return df.where((F.col("row_number") > (p - 1) * size) & (F.col("row_number") <= p * size))
+    """SRT-12: rows of a page; a page beyond the end is the last one.  Rows are counted, then the first pages up to this one are taken in
+    order, which tasks do with the best of their own rows; only those are numbered together."""
+    total = df.count()
+    p = min(max(1, number), max(1, -(-total // size)))
+    top = df.orderBy(*order).limit(p * size).withColumn("row_number", F.row_number().over(Window.orderBy(*order)))
+    return top.where(F.col("row_number") > (p - 1) * size).withColumn("total_rows", F.lit(total).cast("long"))
 
 
 def threshold_grid(df: DataFrame, score: str, value: str, thresholds: Sequence[float]) -> DataFrame:
