@@ -726,3 +726,26 @@ def test_null_ids_teach_languages_too(spark):
     path = base.fresh_path(spark, "nulls")
     spark.createDataFrame(few, DOCS).write.parquet(f"{path}/documents.parquet")
     assert {r.lang_pred for r in queries.op5_language_id(spark, path).collect()} == {"en", "fr"}
+
+
+@pytest.mark.parametrize("lists", [True, False])
+def test_html_on_hand_made_pages(lists):
+    from tests.llm.pages import PAGES
+
+    shared = found = wanted = 0
+    for name, page, want in PAGES:
+        got = html.main_text(page, lists)
+        a, b = collections.Counter(got.split()), collections.Counter(want.split())
+        shared, found, wanted = shared + sum((a & b).values()), found + sum(a.values()), wanted + sum(b.values())
+        assert not lists or got == want, name
+    assert shared / found >= 0.97 and shared / wanted >= 0.97
+
+
+def test_html_long_sibling_lists_take_linear_time():
+    import time
+
+    for part in ("<div><span>Reader</span><p>said this and more of it</p></div>", "<div><p>x</p></div>", "<div>" * 3 + "Bob <b>x</b>" + "</div>" * 3, "<div><div>a <b>x</b></div><div></div><div>"):
+        page = f"<body><div><p>{'words of the story and more ' * 8}</p>{part * 8_000}</div></body>"
+        began = time.perf_counter()
+        html.main_text(page)
+        assert time.perf_counter() - began < 4

@@ -21,14 +21,17 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements, and whole or last words of a class, id or role, that aren't part of an article; a token with a word of NOT_MARKS says nothing of its element.
+#: Elements that aren't part of an article (a header only outside one), and words of a class, id or role that say so: NOTICES anywhere in a
+#: token (comment-list, cookie-bar), DROPPED_MARKS as its last word.  A token with a word of NOT_MARKS says nothing of its element.
 DROPPED = frozenset("nav header footer aside form button select dialog menu svg canvas object audio video map head".split())
+NOTICES = frozenset("comment comments disqus replies cookie cookies consent gdpr newsletter advert adverts advertisement sponsored breadcrumb breadcrumbs".split())
 DROPPED_MARKS = frozenset(
-    "ad ads adv advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay "
-    "nav navbar navigation menu breadcrumb breadcrumbs sidebar header masthead footer comment comments disqus replies related recommended share "
-    "sharing social newsletter subscribe subscription widget contentinfo complementary search".split()
+    "ad ads adv sponsor promo promotion banner notice popup modal overlay nav navbar navigation menu sidebar header masthead footer related recommended share "
+    "sharing social subscribe subscription widget contentinfo complementary search".split()
 )
-NOT_MARKS = frozenset("no not has have with without".split())
+NOT_MARKS = frozenset("no not has have with without open closed off enabled disabled count".split())
+#: What records of readers don't hold, and the characters of the line that names one, at most.
+_NOT_RECORDS, BYLINE = frozenset("h1 h2 h3 h4 h5 h6 table pre figure img ul ol dl".split()), 40
 #: What a start tag closes if it is open: the innermost of these, unless a bound is opened after it.
 _ENDS = (("p", "td th button object"), ("li", "ul ol menu"), ("dt dd", "dl"), ("tr", "table"), ("td th", "tr table"), ("option", "select"))
 _GROUP = {tag: g for g, (tags, _) in enumerate(_ENDS) for tag in tags.split() if g}
@@ -37,47 +40,64 @@ _INSIDE_P = frozenset("option td th caption".split())
 
 
 class Node:
-    __slots__ = ("chars", "density", "items", "link_chars", "link_tags", "marked", "parent", "sum", "tag", "tags")
+    __slots__ = ("chars", "density", "first", "items", "link_chars", "link_tags", "marked", "odd", "parent", "sum", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.items, self.marked = tag, parent, [], False
+        self.tag, self.parent, self.items, self.marked = tag, parent, [], 0
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
+        self.first, self.odd = "", False  # the first text; whether something below is no part of a record
 
 
-def _mark(token: str) -> bool:
+def _mark(token: str) -> int:
+    """2 for a token of a notice or of comments, 1 for another that isn't the article's, else 0."""
     words = [w for w in _SPLIT.split(token) if w]
-    return bool(words) and words[-1] in DROPPED_MARKS and NOT_MARKS.isdisjoint(words)
+    if not words or not NOT_MARKS.isdisjoint(words):
+        return 0
+    return 2 if not NOTICES.isdisjoint(words) else int(words[-1] in DROPPED_MARKS)
 
 
-def _dropped(tag: str, attributes: str) -> bool | None:
-    """Whether an element goes; None if by its marks only."""
-    if tag in DROPPED:
-        return True
-    marked = False
+def _dropped(tag: str, attributes: str, inside: bool) -> int:
+    """3 if an element goes, 2 or 1 if it goes by its marks, else 0.  inside: of an article, whose header is its own."""
+    if tag in DROPPED and not (inside and tag == "header"):
+        return 3
+    marked = 0
     for name, value in _MARKS.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and any(map(_mark, value.split())):
-            marked = True
-    return None if marked else False
+            return 3
+        if name in ("class", "id", "role") and tag not in ("html", "body"):
+            for token in value.split():
+                found = _mark(token)
+                if found == 2 or found == 1 and tag not in ("article", "main") and not (inside and token.endswith("header")):
+                    marked = max(marked, found)
+    return marked
 
 
 def _unmark(root: Node) -> None:
-    """Take marked elements out, but not one with most of the page's text outside links, unless the page has an unmarked article or main element around or beside it."""
+    """Take marked elements out, but for those around an article or main element; if no text is left, only notices and comments go."""
     order = _order(root)
     if not any(n.marked for n in order):
         return
-    plain: dict[int, int] = {}
+    text: dict[int, bool] = {}
     bodies: dict[int, bool] = {}  # whether a subtree has such an element with text
     for node in reversed(order):
         below = [x for x in node.items if isinstance(x, Node)]
-        own = sum(len(x.strip()) for x in node.items if isinstance(x, str)) + sum(plain[id(x)] for x in below)
-        plain[id(node)] = 0 if node.tag == "a" else own
-        bodies[id(node)] = not node.marked and (any(bodies[id(x)] for x in below) or node.tag in ("article", "main") and own > 0)
-    for node in order:
-        node.items = [x for x in node.items if isinstance(x, str) or not x.marked or 2 * plain[id(x)] > plain[id(root)] and not bodies[id(root)]]
+        text[id(node)] = any(isinstance(x, str) and x.strip() for x in node.items) or any(text[id(x)] for x in below)
+        bodies[id(node)] = any(bodies[id(x)] for x in below) or not node.marked and node.tag in ("article", "main") and text[id(node)]
+    for least in (1, 2):
+        goes = lambda x, least=least: x.marked >= least and not bodies[id(x)]
+        left, todo = False, [root]
+        while todo and not left:
+            for x in todo.pop().items:
+                if isinstance(x, str):
+                    left = left or bool(x.strip())
+                elif not goes(x):
+                    todo.append(x)
+        if left or least == 2:
+            for node in order:
+                node.items = [x for x in node.items if isinstance(x, str) or not goes(x)]
+            return
 
 
 class _Open:
@@ -125,8 +145,9 @@ class _Open:
             self.close(at)
 
 
-def parse(page: str) -> Node:
-    """A tree of the kept elements; dropped elements and raw text are read over.  Takes linear time for any markup."""
+def parse(page: str, lists: bool = True) -> Node:
+    """A tree of the kept elements; dropped elements and raw text are read over.  Takes linear time for any markup.  Without lists only
+    the head is dropped by name."""
     root = Node("html", None)
     stack = _Open(root)
     at, end = 0, page.rfind(">") + 1  # what stands after the last > is text
@@ -158,10 +179,11 @@ def parse(page: str) -> Node:
             found = _RAW_END[tag].search(page, at)
             at = found.end() if found else len(page)
             continue
-        dropped = parent is None or _dropped(tag, attributes)
-        node = None if dropped else Node(tag, parent)
+        inside = bool(stack.places.get("article") or stack.places.get("main"))
+        dropped = 3 if parent is None else _dropped(tag, attributes, inside) if lists else 3 * (tag == "head")
+        node = None if dropped == 3 else Node(tag, parent)
         if node is not None:
-            node.marked = dropped is None
+            node.marked = dropped
             parent.items.append(node)
         if tag not in VOID and not attributes.endswith("/"):
             stack.push(tag, node)
@@ -184,8 +206,11 @@ def weigh(root: Node) -> list[Node]:
                 node.tags += x.tags + 1
                 node.link_chars += x.link_chars
                 node.link_tags += x.link_tags + (x.tag == "a")
+                node.odd = node.odd or x.odd or x.tag in _NOT_RECORDS
+                node.first = node.first or x.first
             else:
                 node.chars += len(x.strip())
+                node.first = node.first or x.strip()
         if node.tag == "a":
             node.link_chars = node.chars
     share = root.link_chars / root.chars if root.chars else 0.0
@@ -211,7 +236,12 @@ def _largest(nodes: list[Node]) -> Node:
 
 
 def content(root: Node) -> list[Node]:
-    """Roots of the main text, in page order.
+    """Roots of the main text, in page order, as _content."""
+    return _content(root)[0]
+
+
+def _content(root: Node) -> tuple[list[Node], float]:
+    """Roots of the main text, in page order, and the density of the sparsest node on the path to the body.
 
     The subtree of the largest density sum, and of whatever hangs on its path to the body and is as
     dense as the sparsest node of that path, its subtree of the largest sum (or itself, if that is no more
@@ -219,7 +249,7 @@ def content(root: Node) -> list[Node]:
     """
     order = weigh(root)
     if not root.chars:
-        return []
+        return [], 0.0
     best = _largest(order)
     path = [best]
     while path[-1].parent is not None:
@@ -232,7 +262,54 @@ def content(root: Node) -> list[Node]:
             if isinstance(x, Node) and x.tag in BLOCKS and id(x) not in on_path and x.chars and x.density >= least:
                 top = _largest(_order(x))
                 keep.add(id(top if top.sum > x.density else x))
-    return [n for n in order if id(n) in keep]
+    return [n for n in order if id(n) in keep], least
+
+
+def _without_links(roots: list[Node], least: float) -> None:
+    """Take out blocks of links: three or more with most of the text, less dense than the sparsest node of the body's path."""
+    todo = list(roots)
+    while todo:
+        node = todo.pop()
+        node.items = [x for x in node.items if isinstance(x, str) or not (x.tag in BLOCKS and x.link_tags >= 3 and 2 * x.link_chars > x.chars and x.density < least)]
+        todo += [x for x in node.items if isinstance(x, Node)]
+
+
+def _byline(record: Node) -> bool:
+    """Whether an element begins with a short part that is no sentence and goes on with more text."""
+    first = record.first
+    return 0 < len(first) <= BYLINE and first[-1] not in ".!?:;," and record.chars >= 2 * len(first)
+
+
+def _shape(node: Node) -> tuple[str, frozenset[str]] | None:
+    """Tags of an element that may be a record: one with parts, none of them a heading, a list or the like."""
+    tags = frozenset(x.tag for x in node.items if isinstance(x, Node)) - {"br"}
+    return None if node.odd or not tags or node.tag not in BLOCKS or node.tag == "p" else (node.tag, tags)
+
+
+def _without_records(roots: list[Node]) -> None:
+    """Take out runs of three or more sibling elements of one shape that all begin with a byline, after a paragraph of text: what
+    readers wrote below an article."""
+    prose = False
+    todo: list[Node | str] = list(reversed(roots))
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str):
+            prose = prose or len(node.strip()) > 2 * BYLINE
+            continue
+        if prose:
+            parts = [x for x in node.items if isinstance(x, Node)]
+            shapes = [_shape(x) for x in parts]
+            gone, i = set(), 0
+            while i < len(parts):
+                j = i
+                while j < len(parts) and shapes[i] is not None and shapes[j] == shapes[i] and _byline(parts[j]):
+                    j += 1
+                if j - i >= 3:
+                    gone |= set(map(id, parts[i:j]))
+                i = max(j, i + 1)
+            if gone:
+                node.items = [x for x in node.items if isinstance(x, str) or id(x) not in gone]
+        todo += reversed(node.items)
 
 
 def _order(top: Node) -> list[Node]:
@@ -274,11 +351,15 @@ def blocks(top: Node) -> list[str]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The article of a page, its blocks joined by a newline; empty for null, blank or article-less pages."""
+def main_text(page: str | None, lists: bool = True) -> str:
+    """The article of a page, its blocks joined by a newline; empty for null, blank or article-less pages.  Without lists no
+    name of an element, class or id counts."""
     if not page:
         return ""
-    return "\n".join(b for node in content(parse(page)) for b in blocks(node))
+    roots, least = _content(parse(page, lists))
+    _without_links(roots, least)
+    _without_records(roots)
+    return "\n".join(b for node in roots for b in blocks(node))
 
 
 def extract(pages: DataFrame) -> DataFrame:
