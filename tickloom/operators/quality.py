@@ -110,16 +110,15 @@ def off_version_days(df: DataFrame, day: str, version: str, wanted: str) -> Data
     return g.where(~F.coalesce((F.col("lowest") == wanted) & (F.col("highest") == wanted) & (F.col("nulls") == 0), F.lit(False)))
 
 
-def latest_block(days: DataFrame, day: str, good: str, gap: int) -> DataFrame:
-    """DQC-11: the last run of good days: a bad day inside it or a calendar gap above `gap` ends it; bad days after the last
-    good one are ignored.  One row: first and last day, number of days."""
-    w = Window.orderBy(day)
-    last_good = F.max(F.when(F.col(good), F.col(day))).over(Window.partitionBy())
-    d = days.withColumn("_last", last_good).where(F.col(day) <= F.col("_last"))
+def latest_block(days: DataFrame, day: str, good: str, gap: int, keys: Sequence[str] = ()) -> DataFrame:
+    """DQC-11: the last run of good days (of each key): a bad day inside it or a calendar gap above `gap` ends it; bad days after
+    the last good one are ignored.  First and last day, number of days; a row per day goes in."""
+    w, whole = Window.partitionBy(*keys).orderBy(day), Window.partitionBy(*keys)
+    d = days.withColumn("_last", F.max(F.when(F.col(good), F.col(day))).over(whole)).where(F.col(day) <= F.col("_last"))
     broken = ~F.col(good) | F.coalesce(F.datediff(F.col(day), F.lag(day).over(w)) > gap, F.lit(False)) | F.coalesce(~F.lag(good).over(w), F.lit(False))
     d = d.withColumn("_g", F.sum(broken.cast("int")).over(running(w))).where(good)
-    d = d.withColumn("_top", F.max("_g").over(Window.partitionBy())).where("_g = _top")
-    return d.agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count("*").alias("days"))
+    d = d.withColumn("_top", F.max("_g").over(whole)).where("_g = _top")
+    return d.groupBy(*keys).agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count("*").alias("days"))
 
 
 def readiness(summary: DataFrame, least_rows: int, least_days: int) -> DataFrame:

@@ -146,9 +146,9 @@ def month_slices(days: DataFrame, day: str, warmup: int) -> DataFrame:
     return idx.groupBy(F.date_format(day, "yyyy-MM").alias("month")).agg(F.min_by("read_from", day).alias("read_from"), F.min(day).alias("emit_from"), F.max(day).alias("emit_to"))
 
 
-def absent_days(df: DataFrame, day: str, skip_weekends: bool = True) -> DataFrame:
-    """AGG-34: calendar days between the first and the last that have no row."""
-    ends = df.agg(F.min(day).alias("a"), F.max(day).alias("b"))
-    every = ends.where("a is not null").select(F.explode(F.sequence("a", "b")).alias(day))
+def absent_days(df: DataFrame, day: str, skip_weekends: bool = True, keys: Sequence[str] = ()) -> DataFrame:
+    """AGG-34: calendar days between the first and the last (of each key) that have no row."""
+    ends = df.groupBy(*keys).agg(F.min(day).alias("a"), F.max(day).alias("b"))
+    every = ends.where("a is not null").select(*keys, F.explode(F.sequence("a", "b")).alias(day))
     every = every.where(F.weekday(day) < 5) if skip_weekends else every
-    return every.join(df.select(day).distinct(), day, "left_anti")
+    return every.join(df.select(*keys, day).distinct(), [*keys, day], "left_anti")

@@ -158,14 +158,14 @@ def volatility_block(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "joi_19_enriched_trades",
-    "WITH " + TRADES + """, v AS (SELECT l_orderkey AS id, count(*) AS votes, count(*) FILTER (l_returnflag = 'R') AS ce_votes, count(*) FILTER (l_returnflag = 'N') AS pe_votes FROM lineitem WHERE l_quantity > 10 GROUP BY 1)
+    "WITH " + TRADES + """, v AS (SELECT l_orderkey AS id, count(*) AS votes, count(*) FILTER (l_returnflag = 'R') AS ce_votes, count(*) FILTER (l_returnflag = 'N') AS pe_votes FROM lineitem GROUP BY 1)
 SELECT t.id, coalesce(c_mktsegment, regime) AS regime, round(c_acctbal, 6) AS signal_confidence, coalesce(votes, 0) AS votes, coalesce(ce_votes, 0) AS ce_votes, coalesce(pe_votes, 0) AS pe_votes, CASE WHEN ret > 0 THEN 'WIN' WHEN ret < 0 THEN 'LOSS' ELSE 'FLAT' END AS result,
 CASE exit_reason WHEN 'R' THEN 'stop' WHEN 'N' THEN 'time' ELSE CASE WHEN ret > 0 THEN 'win' WHEN ret < 0 THEN 'loss' ELSE 'unknown' END END AS actual_outcome
-FROM trades t LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON c_custkey = cust LEFT JOIN v USING (id)""",
+FROM trades t LEFT JOIN customer c ON c_custkey = cust LEFT JOIN v USING (id)""",
 )
 def enriched_trades(spark: SparkSession, sf: str) -> DataFrame:
     reasons = F.when(F.col("exit_reason") == "R", "stop_loss").when(F.col("exit_reason") == "N", "time_stop").otherwise(F.col("exit_reason"))
     t = trades(spark, sf).withColumns({"exit_reason": reasons, "signal_id": F.col("cust"), "snapshot_id": F.col("id")})
-    signals = read(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("signal_id"), F.col("c_mktsegment").alias("regime"), F.col("c_acctbal").alias("confidence"))
-    votes = read(spark, sf, "lineitem").where("l_quantity > 10").select(F.col("l_orderkey").alias("snapshot_id"), F.when(F.col("l_returnflag") == "R", "CE").when(F.col("l_returnflag") == "N", "PE").alias("vote"))
+    signals = read(spark, sf, "customer").select(F.col("c_custkey").alias("signal_id"), F.col("c_mktsegment").alias("regime"), F.col("c_acctbal").alias("confidence"))
+    votes = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("snapshot_id"), F.when(F.col("l_returnflag") == "R", "CE").when(F.col("l_returnflag") == "N", "PE").alias("vote"))
     return rounded(G.enriched_trades(t, signals, votes), "id", "regime", "signal_confidence", "votes", "ce_votes", "pe_votes", "result", "actual_outcome")

@@ -236,9 +236,14 @@ def splits(spark: SparkSession, sf: str) -> DataFrame:
     return T.split_days(bars(spark, sf), "session")
 
 
-@query("agg_34_absent_days", "WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderstatus = 'P'), c AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM d)::TIMESTAMP, (SELECT max(day) FROM d)::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS day) SELECT day FROM c WHERE isodow(day) < 6 AND day NOT IN (SELECT day FROM d)")
+@query(
+    "agg_34_absent_days",
+    """WITH d AS (SELECT DISTINCT o_orderstatus AS status, CAST(o_orderdate AS DATE) AS day FROM orders), r AS (SELECT status, min(day) AS a, max(day) AS b FROM d GROUP BY 1),
+c AS (SELECT status, CAST(unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS day FROM r) SELECT status, day FROM c WHERE isodow(day) < 6 EXCEPT SELECT status, day FROM d""",
+)
 def absent(spark: SparkSession, sf: str) -> DataFrame:
-    return T.absent_days(read(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.to_date("o_orderdate").alias("day")), "day")
+    """Days without an order of each status."""
+    return T.absent_days(read(spark, sf, "orders").select(F.col("o_orderstatus").alias("status"), F.to_date("o_orderdate").alias("day")), "day", keys=["status"])
 
 
 # ---------------------------------------------------------------- chains
@@ -487,11 +492,14 @@ def day_bands(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "dqc_11_latest_block",
-    "WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) % 5 <> 1 AS good FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1), k AS (SELECT *, max(day) FILTER (good) OVER () AS last FROM d), x AS (SELECT * FROM k WHERE day <= last), y AS (SELECT *, sum((NOT good OR coalesce(day - lag(day) OVER (ORDER BY day) > 3, false) OR coalesce(NOT lag(good) OVER (ORDER BY day), false))::INT) OVER (ORDER BY day) AS g FROM (SELECT *, day - lag(day) OVER (ORDER BY day) AS gp FROM x)), z AS (SELECT * FROM y WHERE good) SELECT min(day) AS first_day, max(day) AS last_day, count(*) AS days FROM z WHERE g = (SELECT max(g) FROM z)".replace("sum((NOT good OR coalesce(day - lag(day) OVER (ORDER BY day) > 3, false) OR coalesce(NOT lag(good) OVER (ORDER BY day), false))::INT) OVER (ORDER BY day) AS g FROM (SELECT *, day - lag(day) OVER (ORDER BY day) AS gp FROM x)", "sum((NOT good OR coalesce(gp > 3, false) OR coalesce(NOT lg, false))::INT) OVER (ORDER BY day) AS g FROM (SELECT *, day - lag(day) OVER (ORDER BY day) AS gp, lag(good) OVER (ORDER BY day) AS lg FROM x)"),
+    """WITH d AS (SELECT o_orderpriority AS kind, CAST(o_orderdate AS DATE) AS day, count(*) % 5 <> 1 AS good FROM orders GROUP BY ALL), x AS (SELECT * FROM (SELECT *, max(day) FILTER (good) OVER (PARTITION BY kind) AS last FROM d) WHERE day <= last),
+y AS (SELECT *, (NOT good OR coalesce(day - lag(day) OVER w > 3, false) OR coalesce(NOT lag(good) OVER w, false))::INT AS new FROM x WINDOW w AS (PARTITION BY kind ORDER BY day)), g AS (SELECT *, sum(new) OVER (PARTITION BY kind ORDER BY day) AS g FROM y),
+t AS (SELECT *, max(g) FILTER (good) OVER (PARTITION BY kind) AS top FROM g) SELECT kind, min(day) AS first_day, max(day) AS last_day, count(*) AS days FROM t WHERE good AND g = top GROUP BY 1""",
 )
 def latest_block(spark: SparkSession, sf: str) -> DataFrame:
-    d = read(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").groupBy(F.to_date("o_orderdate").alias("day")).agg((F.count("*") % 5 != 1).alias("good"))
-    return Q.latest_block(d, "day", "good", 3)
+    """Of each priority the last run of days whose orders pass a check."""
+    d = read(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("kind"), F.to_date("o_orderdate").alias("day")).agg((F.count("*") % 5 != 1).alias("good"))
+    return Q.latest_block(d, "day", "good", 3, ["kind"])
 
 
 @query("agg_4_5_6_coverage", "SELECT lang, count(*) AS rows, count(quality) AS n_quality, 0::BIGINT AS n_nothing, min(source) AS lowest, max(source) AS highest FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
