@@ -764,3 +764,20 @@ def test_pii_selection_is_better_than_candidates_and_than_checks(spark):
     precision, recall = ({n: r[k] and r.tp / r[k] for n, r in good.items()} for k in ("sel", "pos"))
     assert precision["trees"] >= 0.97 and recall["trees"] >= 0.85
     assert precision["trees"] > precision["check"] + 0.2 and precision["trees"] > precision["none"] + 0.4 and rows.where("trees <> check").count() > 100
+
+
+def test_a_revisit_alone_leads_to_its_response(spark):
+    rows = [(i, f"http://h/{i}", f"<p>{i % 4}</p>" if i else None) for i in range(40)] + [(39, "http://h/39", "<p>3</p>"), (None, "u", "<p>1</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    runs = []
+    for n in (1, 5):
+        back = warc.read_bundles(warc.write_bundles(df.repartition(n), base.fresh_path(spark, "t"))).collect()
+        held = {r.record_id: r for r in back}
+        assert len(held) == len(rows)
+        for r in back:
+            if r.record_type == "revisit":
+                to = held[r.refers_to_id]
+                assert (to.record_type, to.page_id, to.payload_digest) == ("response", r.refers_to, r.payload_digest)
+                assert warc.read_record(to.bundle, r.refers_to_id)[0]["WARC-Record-ID"] == to.record_id
+        runs.append({(r.page_id, r.record_id) for r in back if r.page_id not in (None, 39)})
+    assert runs[0] == runs[1]

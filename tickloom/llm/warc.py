@@ -33,13 +33,14 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None, task: int, place: int) -> str:
-    """The identifier of the record at a place of a task: rows that repeat a page_id, or have none, still differ."""
-    return f"<urn:uuid:{uuid.uuid5(_NAMES, f'page:{page_id}:{task}:{place}')}>"
+def record_id(page_id: int | None, digest: str, repeat: str = "") -> str:
+    """The identifier of the record of a page and payload, the same in every run; rows that repeat both, or have no page_id, differ by `repeat`."""
+    return f"<urn:uuid:{uuid.uuid5(_NAMES, f'page:{page_id}:{digest}:{repeat}')}>"
 
 
 def record(identifier: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str = "2024-01-01T00:00:00Z") -> bytes:
-    """The bytes of one WARC/1.1 record: response with the payload, or revisit without it."""
+    """The bytes of one WARC/1.1 record: response with the payload, or revisit without it, which names the response's record."""
+    digest = payload_digest(payload)
     kind = "response" if refers_to is None else "revisit"
     block = payload if refers_to is None else b""
     head = [f"WARC-Type: {kind}", f"WARC-Record-ID: {identifier}", f"WARC-Date: {date}"]
@@ -47,9 +48,9 @@ def record(identifier: str, page_id: int | None, url: str | None, payload: bytes
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if page_id is not None:
         head.append(f"WARC-Page-ID: {page_id}")
-    head.append(f"WARC-Payload-Digest: sha1:{payload_digest(payload)}")
+    head.append(f"WARC-Payload-Digest: sha1:{digest}")
     if refers_to is not None:
-        head += [f"WARC-Refers-To-Page-ID: {refers_to}", f"WARC-Refers-To-Date: {date}", f"WARC-Profile: {PROFILE}", f"WARC-Payload-Length: {len(payload)}"]
+        head += [f"WARC-Refers-To: {record_id(refers_to, digest)}", f"WARC-Refers-To-Page-ID: {refers_to}", f"WARC-Refers-To-Date: {date}", f"WARC-Profile: {PROFILE}", f"WARC-Payload-Length: {len(payload)}"]
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}"]
     return b"WARC/1.1\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -137,8 +138,9 @@ def write_bundles(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFram
 
     Of pages with equal payloads of at least min_bytes, the one with the largest page_id is a response
     and the others are revisits of it.  A null html is an empty payload; a null url or page_id leaves
-    its header out, and a page with a null page_id is never referred to.  Rows with the same page_id and
-    payload are alike in all but their identifiers, which differ for all records.  A task writes its own files and names them in its result, so the files of tasks
+    its header out, and a page with a null page_id is never referred to.  A record's identifier follows
+    from its page_id and payload; of rows with the same page_id and payload, which the join brings to one task, the first has
+    that identifier and the others one of their place, so identifiers differ for all records.  A task writes its own files and names them in its result, so the files of tasks
     that ran again or were lost are in no row.  An empty table gives no bundles.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
@@ -146,18 +148,23 @@ def write_bundles(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFram
     marks = pages.select("page_id", F.sha1(body).alias("sha"), F.octet_length("html").alias("size")).where(F.col("size") >= min_bytes)
     last = marks.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("sha", "last")
     refers = marks.join(last, "sha").where("page_id <> last").select("page_id", "sha", F.col("last").alias("refers_to"))
-    rows = pages.withColumn("sha", F.sha1(body)).join(refers.distinct(), ["page_id", "sha"], "left")
+    rows = pages.withColumn("sha", F.sha1(body)).join(refers.distinct().hint("merge"), ["page_id", "sha"], "left")
     rows = rows.select("page_id", "url", "html", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle, done, place = None, [], 0
-        task = TaskContext.get()
+        task, seen = TaskContext.get(), set()
         for batch in batches:
             for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bundle is None:
                     bundle = Bundle(f"{folder}/{task.partitionId():06d}-{uuid.uuid4().hex}.warc.zst")
-                identifier = record_id(page_id, task.partitionId(), place)
-                bundle.add(identifier, record(identifier, page_id, url, html.encode(), refers_to))
+                payload = html.encode()
+                identifier = record_id(page_id, digest := payload_digest(payload))
+                if page_id is None or identifier in seen:
+                    identifier = record_id(page_id, digest, f"{task.partitionId()}:{place}")
+                else:
+                    seen.add(identifier)
+                bundle.add(identifier, record(identifier, page_id, url, payload, refers_to))
                 place += 1
                 if bundle.out.size >= BUNDLE_BYTES:
                     done.append(bundle.close())
@@ -171,12 +178,12 @@ def write_bundles(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFram
 
 
 def read_bundles(bundles: DataFrame) -> DataFrame:
-    """Every record of the bundles: page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload, and
-    bundle and record_id, by which read_record finds it.
+    """Every record of the bundles: page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload,
+    bundle and record_id, by which read_record finds it, and refers_to_id, the identifier of the response.
 
     The digest and length of a response are computed from the payload read; a revisit has them in its headers.
     """
-    schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, bundle string, record_id string"
+    schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, bundle string, record_id string, refers_to_id string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,10 +198,10 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
                                 digest = payload_digest(block)
                                 if head["WARC-Payload-Digest"] != f"sha1:{digest}":
                                     raise ValueError(f"{uri}: payload of page {page} is damaged")
-                                rows.append((number, head.get("WARC-Target-URI"), "response", None, len(block), digest, block, uri, head["WARC-Record-ID"]))
+                                rows.append((number, head.get("WARC-Target-URI"), "response", None, len(block), digest, block, uri, head["WARC-Record-ID"], None))
                             else:
-                                rows.append((number, head.get("WARC-Target-URI"), "revisit", int(head["WARC-Refers-To-Page-ID"]), int(head["WARC-Payload-Length"]), head["WARC-Payload-Digest"][5:], None, uri, head["WARC-Record-ID"]))
-                        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.string()]
+                                rows.append((number, head.get("WARC-Target-URI"), "revisit", int(head["WARC-Refers-To-Page-ID"]), int(head["WARC-Payload-Length"]), head["WARC-Payload-Digest"][5:], None, uri, head["WARC-Record-ID"], head["WARC-Refers-To"]))
+                        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.string(), pa.string()]
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
     spread = bundles.select("path").repartition(max(1, bundles.sparkSession.sparkContext.defaultParallelism * 4))
