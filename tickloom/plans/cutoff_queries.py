@@ -14,7 +14,7 @@ from .views import HOURLY, KEYS, hourly
 
 #: Stand-ins: volume and ticks of an hour for open interest of both sides, the price's place and gains for ratios.
 _COLUMNS = {
-    "open": "open", "high": "high", "low": "low", "close": "close", "vwap": "(high + low + close) / 3", "ce_oi": "CAST(volume AS DOUBLE)", "pe_oi": "CAST(n * 10 AS DOUBLE)", "oi_ratio": "n / volume", "pcr": "close / open",
+    "open": "open", "high": "high", "low": "low", "close": "close", "vwap": "(high + low + close) / 3", "ce_oi": "CAST(volume AS DOUBLE)", "pe_oi": "CAST(n * 10 AS DOUBLE)", "oi_ratio": "n / nullif(volume, 0)", "pcr": "close / nullif(open, 0)",
     "pcr_change": "close - open", "ce_volume": "CAST(volume * n AS DOUBLE)", "pe_volume": "CAST(n * n AS DOUBLE)", "ce_iv": "high / 100", "pe_iv": "CASE WHEN n > 2 THEN low / 100 END", "iv_skew": "(high - low) / 100",
     "break_up": "CASE WHEN close > open THEN 1 ELSE 0 END", "break_down": "CASE WHEN close < low + 1 THEN 1 ELSE 0 END",
 }
