@@ -781,3 +781,26 @@ def test_a_revisit_alone_leads_to_its_response(spark):
                 assert warc.read_record(to.bundle, r.refers_to_id)[0]["WARC-Record-ID"] == to.record_id
         runs.append({(r.page_id, r.record_id) for r in back if r.page_id not in (None, 39)})
     assert runs[0] == runs[1]
+
+
+def test_pipeline_on_odd_rows_and_clashing_columns(spark):
+    import corpus_pipeline as c
+
+    rng = random.Random(51)
+    sf = base.fresh_path(spark, "odd")
+    given = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    odd = [(None, "the same text of some words " * 9, None, None, 0)] * 3 + [(9001, None, "en", "x", 0), (9002, "", "en", "x", 0), (9003, "12 34 %%", None, "x", 0), (9004, " ".join(rng.choice("abc") for _ in range(50)), "en", None, 0)]
+    df = spark.createDataFrame(given + odd, DOCS)
+    for name in ("pred", "score", "row", "block", "size", "place", "component_id", "item_ids", "kept"):
+        df = df.withColumn(name, F.lit("clash"))
+    df.write.parquet(f"{sf}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{sf}/benchmark.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = c.identify_language(spark, docs, sf)
+    assert kept.columns == docs.columns and not {9001, 9002, 9003} & {r.doc_id for r in kept.collect()} and kept.where("doc_id is null").count() == 3
+    for _, stage in c.STAGES[1:-1]:
+        kept = base.written(stage(spark, kept, sf), "odd")
+        assert kept.columns == docs.columns
+    out = c.write_tokens(spark, kept, sf)
+    assert out.count() == kept.count() > 40 and out.where("doc_id is null").count() == kept.where("doc_id is null").count() > 0
+    assert c.run(spark, sf).count() == kept.count()
