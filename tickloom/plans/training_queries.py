@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import learn as ML
 from ..operators import training as TR
 from ..operators.exits import Exits, rule_trades
 from ..sources.writers import stored
@@ -105,3 +106,9 @@ def trades_of_rule(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy(*KEYS).orderBy(*ORDER)
     b = bars(spark, sf).withColumns({"rn": F.row_number().over(w), "before": F.lag("price").over(w), "under": F.col("volume") + 50.0})
     return rounded(rule_trades(b, KEYS, "rn", "price", F.col("price") < F.col("before"), _RULE, "under", F.col("volume") >= 95))
+
+
+@query("mlj_4_gated_scores", "WITH " + _STORED + " SELECT id, round(ce_prob * pe_prob, 6) AS up, round(ce_prob * (1 - pe_prob), 6) AS down FROM s")
+def gated_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored scores as those of a gate and of a direction: probabilities of moves up and down."""
+    return rounded(stored_scores(spark, sf).select("id", ML.gated("ce_prob", "pe_prob").alias("x")).select("id", "x.*"))
