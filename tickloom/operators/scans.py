@@ -1,6 +1,6 @@
 """Order-dependent scans (SCN family): recurrences over a session's sorted array, in SQL higher-order functions.
 
-A session is a bounded group (a day of minutes).  For series without such a bound ewm_long, rsi_long and cusum_long carry
+A session is a bounded group (a day of minutes).  For series without such a bound ewm_long, rsi_long, atr_long, macd_long, adx_long and cusum_long carry
 a state per block (a day) from block to block instead of the rows.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.writers import stored
+from .counting import positions
 from .windows import over, rolling, running
 
 
@@ -110,14 +111,19 @@ def _smoothed(s: Column, v: Column, alpha: float) -> Column:
     return F.struct(y.alias("y"), F.when(v.isNull() & s["y"].isNotNull(), w).otherwise(F.lit(1.0)).alias("w"), (s["n"] + v.isNotNull().cast("int")).alias("n"))
 
 
+def lag_long(df: DataFrame, columns: Sequence[str], keys: Sequence[str], block: str, order: Sequence[str], out: str) -> DataFrame:
+    """df with `out`, a struct of the columns in the row before, over all blocks of a key: the first row of a block meets the last of the
+    block before, a row per block; null on the first row of all."""
+    row = F.struct(*(F.col(c).alias(c) for c in columns))
+    last = df.groupBy(*keys, block).agg(F.max_by(row, F.struct(*order)).alias("_l"))
+    ends = last.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*keys, block])), F.lag("_l").over(over(keys, [block])).alias("_before"))
+    both = df.withColumn("_in", F.lag(row).over(over([*keys, block], order))).join(ends, [df[c].eqNullSafe(ends[f"_k{i}"]) for i, c in enumerate([*keys, block])])
+    return both.withColumn(out, F.coalesce("_in", "_before")).select(*df.columns, out)
+
+
 def differences_long(df: DataFrame, x: str, keys: Sequence[str], block: str, order: Sequence[str], out: str) -> DataFrame:
-    """x less the row before it, over all blocks of a key: the first row of a block meets the last of the block before, a row per block."""
-    last = df.groupBy(*keys, block).agg(F.max_by(F.struct(F.col(x).alias("x")), F.struct(*order)).alias("_l"))
-    before = F.lag("_l").over(over(keys, [block]))
-    ends = last.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*keys, block])), before.alias("_before"))
-    inside = F.lag(F.struct(F.col(x).alias("x"))).over(over([*keys, block], order))
-    both = df.withColumn("_in", inside).join(ends, [df[c].eqNullSafe(ends[f"_k{i}"]) for i, c in enumerate([*keys, block])])
-    return both.withColumn(out, F.col(x) - F.coalesce("_in", "_before")["x"]).select(*df.columns, out)
+    """x less the row before it, over all blocks of a key."""
+    return lag_long(df, [x], keys, block, order, "_prev").withColumn(out, F.col(x) - F.col("_prev")[x]).drop("_prev")
 
 
 def rsi_long(df: DataFrame, x: str, keys: Sequence[str], block: str, order: Sequence[str], out: str = "rsi", n: int = 14, zero_loss: str = "null") -> DataFrame:
@@ -187,6 +193,39 @@ def adx(df: DataFrame, high: str, low: str, close: str, keys: Sequence[str], ord
     return ewm(df, "_dx", keys, order, "adx", alpha=1 / n).drop("_tr", "_p", "_n", "_trs", "_ps", "_ns", "_dx")
 
 
+def _range_long(p: str, high: str, low: str, close: str) -> Column:
+    pc = F.col(p)[close]
+    return F.greatest(F.col(high) - F.col(low), F.abs(F.col(high) - pc), F.abs(F.col(low) - pc))
+
+
+def atr_long(df: DataFrame, high: str, low: str, close: str, keys: Sequence[str], block: str, order: Sequence[str], out: str = "atr", n: int = 14) -> DataFrame:
+    """SCN-3 for a series of any length: as atr over all blocks of a key."""
+    df = lag_long(df, [close], keys, block, order, "_prev").withColumn("_tr", _range_long("_prev", high, low, close)).drop("_prev")
+    return ewm_long(df, "_tr", keys, block, order, out, 1 / n).drop("_tr")
+
+
+def macd_long(df: DataFrame, x: str, keys: Sequence[str], block: str, order: Sequence[str], fast: int = 12, slow: int = 26, signal: int = 9, least: int = 35) -> DataFrame:
+    """SCN-4 for a series of any length: as macd over all blocks of a key."""
+    df = ewm_long(df, x, keys, block, order, "_f", 2.0 / (fast + 1))
+    df = ewm_long(df, x, keys, block, order, "_s", 2.0 / (slow + 1))
+    df = ewm_long(df.withColumn("_m", F.col("_f") - F.col("_s")), "_m", keys, block, order, "_sig", 2.0 / (signal + 1))
+    df = positions(df, keys, block, order, "_at")
+    enough = F.col("_at") >= least - 1
+    return df.withColumns({"macd": F.when(enough, F.col("_m")), "macd_signal": F.when(enough, F.col("_sig")), "macd_hist": F.when(enough, F.col("_m") - F.col("_sig"))}).drop("_f", "_s", "_m", "_sig", "_at")
+
+
+def adx_long(df: DataFrame, high: str, low: str, close: str, keys: Sequence[str], block: str, order: Sequence[str], n: int = 14) -> DataFrame:
+    """SCN-5 for a series of any length: as adx over all blocks of a key."""
+    df = lag_long(df, [high, low, close], keys, block, order, "_prev")
+    up, down = F.col(high) - F.col("_prev")[high], F.col("_prev")[low] - F.col(low)
+    df = df.withColumns({"_tr": _range_long("_prev", high, low, close), "_p": F.when((up > down) & (up > 0), up).otherwise(0.0), "_n": F.when((down > up) & (down > 0), down).otherwise(0.0)}).drop("_prev")
+    for c in ("_tr", "_p", "_n"):
+        df = ewm_long(df, c, keys, block, order, f"{c}s", 1 / n)
+    df = df.withColumn("plus_di", F.try_divide(100 * F.col("_ps"), "_trs")).withColumn("minus_di", F.try_divide(100 * F.col("_ns"), "_trs"))
+    df = df.withColumn("_dx", F.try_divide(100 * F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di")))
+    return ewm_long(df, "_dx", keys, block, order, "adx", 1 / n).drop("_tr", "_p", "_n", "_trs", "_ps", "_ns", "_dx")
+
+
 def bollinger(df: DataFrame, x: str, keys: Sequence[str], order: Sequence[str], n: int = 20, width: float = 2.0) -> DataFrame:
     """SCN-6: upper, lower, width relative to the mean, place between them; population spread."""
     w = over(keys, order)
