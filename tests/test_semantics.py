@@ -1,6 +1,7 @@
 """Hand-computed cases of rules that are easy to get wrong."""
 
 import math
+import time
 
 import pandas as pd
 import pytest
@@ -231,3 +232,15 @@ def test_walk_forward_scores_unseen_days_and_quality_is_by_pairs(spark):
     assert (round(up.up, 9), round(up.down, 9)) == (0.4, 0.1)
     with pytest.raises(ValueError):
         ML.scored(None, df, ["a", "missing"])
+
+
+def test_volatilities_of_many_rows_are_solved_in_seconds(spark):
+    vol, call, a = 0.05 + F.col("id") % 100 / 100, F.col("id") % 2 == 0, (F.lit(100.0), 80.0 + F.col("id") % 40, F.lit(0.25), F.lit(0.06))
+    df = spark.range(0, 20_000, 1, 1).select("id", vol.alias("vol"), S.option_value(*a, vol, call).alias("value"), S.implied_vol(S.option_value(*a, vol, call), *a, call).alias("iv"))
+    start = time.time()
+    rows = df.toPandas()
+    assert time.time() - start < 10
+    sure = rows[(rows["value"] > 0.05) & rows["iv"].notna()]
+    assert len(sure) > 15_000 and (sure["iv"] - sure["vol"]).abs().max() < 1e-3
+    none = lambda value, *x: one(spark, S.implied_vol(F.lit(value).cast("double"), *(F.lit(y) for y in x), F.lit(True)))
+    assert none(None, 100.0, 100.0, 0.25, 0.06) is None and none(5.0, 100.0, 100.0, 0.0, 0.06) is None and none(5.0, 100.0, 0.0, 0.25, 0.06) is None

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -257,12 +261,14 @@ def step_rate(day: ColumnOrName, steps: Sequence[tuple[str, float]]) -> Column:
     return out
 
 
+_TAIL = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+
+
 def normal_cdf(x: ColumnOrName) -> Column:
     """Rational approximation of Abramowitz and Stegun 26.2.17, error below 7.5e-8; Spark has no erf."""
     x = col(x)
     t = 1 / (1 + 0.2316419 * F.abs(x))
-    b = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
-    poly = reduce(lambda acc, c: acc * t + c, reversed(b), F.lit(0.0)) * t
+    poly = reduce(lambda acc, c: acc * t + c, reversed(_TAIL), F.lit(0.0)) * t
     upper = F.exp(-x * x / 2) / math.sqrt(2 * math.pi) * poly
     return F.when(x >= 0, 1 - upper).otherwise(upper)
 
@@ -293,17 +299,39 @@ def greeks(spot: Column, strike: Column, years: Column, rate: Column, vol: Colum
 
 
 def implied_vol(price: Column, spot: Column, strike: Column, years: Column, rate: Column, call: Column, steps: int = 40, low: float = 1e-3, high: float = 5.0) -> Column:
-    """FUN-13: bisection with a fixed count of steps, in one SQL expression; null where no volatility gives the price."""
-    start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"))
-
-    def step(a: Column, _: Column) -> Column:
-        mid = (a["lo"] + a["hi"]) / 2
-        above = option_value(spot, strike, years, rate, mid, call) > price
-        return F.struct(F.when(above, a["lo"]).otherwise(mid).alias("lo"), F.when(above, mid).otherwise(a["hi"]).alias("hi"))
-
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda a: (a["lo"] + a["hi"]) / 2)
-    inside = (price > option_value(spot, strike, years, rate, F.lit(low), call)) & (price < option_value(spot, strike, years, rate, F.lit(high), call))
-    return F.when(inside, found)
+    """FUN-13: bisection with a fixed count of steps, on arrays of a batch of rows; null where no volatility gives the price."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers may not have this package
+    columns = (price, spot, strike, years, rate, call)
+    return F.pandas_udf(_bisection(steps, low, high), "double")(*(c.cast("double") for c in columns))
+
+
+def _bisection(steps: int, low: float, high: float):
+    def value(spot, strike, years, rate, vol, call):
+        """option_value."""
+        root = vol * np.sqrt(years)
+        d1 = (np.log(spot / strike) + (rate + vol * vol / 2) * years) / root
+        paid, sign = strike * np.exp(-rate * years), np.where(call == 1, 1.0, -1.0)
+        return sign * (spot * _cdf(sign * d1) - paid * _cdf(sign * (d1 - root)))
+
+    def solve(price: pd.Series, spot: pd.Series, strike: pd.Series, years: pd.Series, rate: pd.Series, call: pd.Series) -> pd.Series:
+        price, *rest, call = (c.to_numpy(float) for c in (price, spot, strike, years, rate, call))
+        with np.errstate(all="ignore"):
+            lo, hi = np.full(len(price), low), np.full(len(price), high)
+            inside = (price > value(*rest, lo, call)) & (price < value(*rest, hi, call))
+            for _ in range(steps):
+                mid = (lo + hi) / 2
+                above = value(*rest, mid, call) > price
+                lo, hi = np.where(above, lo, mid), np.where(above, mid, hi)
+            return pd.Series(np.where(inside, (lo + hi) / 2, np.nan))
+
+    return solve
+
+
+def _cdf(x: np.ndarray) -> np.ndarray:
+    """normal_cdf of an array."""
+    t = 1 / (1 + 0.2316419 * np.abs(x))
+    upper = np.exp(-x * x / 2) / math.sqrt(2 * math.pi) * (reduce(lambda acc, c: acc * t + c, reversed(_TAIL), 0.0) * t)
+    return np.where(x >= 0, 1 - upper, upper)
 
 
 def trading_cost(entry: ColumnOrName, exit_: ColumnOrName, qty: ColumnOrName | float = 1.0, per_order: float = 20.0, charge_bps: float = 2.5, slippage_bps: float = 7.5) -> Column:
