@@ -234,6 +234,14 @@ def test_walk_forward_scores_unseen_days_and_quality_is_by_pairs(spark):
         ML.scored(None, df, ["a", "missing"])
 
 
+def test_moves_from_a_price_of_zero(spark):
+    px = [0.0, 1.0, 2.0, 0.0, 0.0, 1.0, 2.0]
+    df = spark.createDataFrame([("a", i, x) for i, x in enumerate(px)], "d string, i int, px double")
+    got = [r.clean_move for r in L.clean_start(df, ["d"], ["i"], "px", 2, 0.5, 2).orderBy("i").collect()]
+    assert got == [1, 0, 0, 0, 1, None, None]
+    assert [tuple(r) for r in L.clock_return(df, ["d"], "i", "px", 3, 2, 0.2).select("ret", "label").collect()] == [(math.inf, 1)]
+
+
 def test_volatilities_of_many_rows_are_solved_in_seconds(spark):
     vol, call, a = 0.05 + F.col("id") % 100 / 100, F.col("id") % 2 == 0, (F.lit(100.0), 80.0 + F.col("id") % 40, F.lit(0.25), F.lit(0.06))
     df = spark.range(0, 20_000, 1, 1).select("id", vol.alias("vol"), S.option_value(*a, vol, call).alias("value"), S.implied_vol(S.option_value(*a, vol, call), *a, call).alias("iv"))

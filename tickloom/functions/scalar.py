@@ -113,6 +113,12 @@ def safe_divide(a: ColumnOrName, b: ColumnOrName) -> Column:
     return F.when(col(b) != 0, col(a) / col(b))
 
 
+def ratio(a: ColumnOrName, b: ColumnOrName) -> Column:
+    """FUN-9: a / b as floats have it: infinite for a divisor of 0, NaN for 0 / 0, null only where one is null."""
+    a, b = col(a).cast("double"), col(b).cast("double")
+    return F.when(b != 0, a / b).when(b == 0, F.when(a > 0, float("inf")).when(a < 0, float("-inf")).when(a == 0, float("nan")))
+
+
 def clip(x: ColumnOrName, low: float, high: float) -> Column:
     return F.when(col(x).isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), col(x))))
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import ratio
 from .windows import over
 
 
@@ -52,7 +53,7 @@ def _side(df: DataFrame, side: str, sign: int, tp: Column, sl: Column, minute: s
     ok = lambda c: F.when(F.col("_ok"), c)
     return df.withColumns(
         {
-            f"{side}_return": ok(sign * (exit_price / F.col("_e") - 1)), f"{side}_mfe": ok(sign * (best / F.col("_e") - 1)), f"{side}_mae": ok(sign * (worst / F.col("_e") - 1)),
+            f"{side}_return": ok(sign * (ratio(exit_price, "_e") - 1)), f"{side}_mfe": ok(sign * (ratio(best, "_e") - 1)), f"{side}_mae": ok(sign * (ratio(worst, "_e") - 1)),
             f"{side}_offset": ok(F.when(h.isNull(), F.try_element_at("_path", F.lit(-1))["m"]).otherwise(h["m"]) - F.col(minute)),
         }
     ).drop("_hit")
@@ -107,7 +108,7 @@ def forward_move(df: DataFrame, keys: Sequence[str], order: Sequence[str], price
 def clean_start(df: DataFrame, keys: Sequence[str], order: Sequence[str], price: str, h: int, pct: float, n: int = 3, soft: bool = False) -> DataFrame:
     """LBL-6: 1 if the net move over h rows is at least pct and the first n changes go its way (soft: two thirds of them)."""
     w = over(keys, order)
-    df = df.withColumn("_d", F.signum(F.lead(price, 1).over(w) - F.col(price))).withColumn("_net", F.lead(price, h).over(w) / F.col(price) - 1)
+    df = df.withColumn("_d", F.signum(F.lead(price, 1).over(w) - F.col(price))).withColumn("_net", ratio(F.lead(price, h).over(w), price) - 1)
     first = w.rowsBetween(0, n - 1)
     ups, downs = F.sum((F.col("_d") > 0).cast("int")).over(first), F.sum((F.col("_d") < 0).cast("int")).over(first)
     need = -(-2 * n // 3) if soft else n
@@ -118,7 +119,7 @@ def clean_start(df: DataFrame, keys: Sequence[str], order: Sequence[str], price:
 def clock_return(df: DataFrame, keys: Sequence[str], minute: str, price: str, at: int, ahead: int, threshold: float) -> DataFrame:
     """LBL-7: per session the return from one clock minute to another, label 1 / 0, ambiguous ones left out."""
     pick = lambda m: F.max(F.when(F.col(minute) == m, F.col(price)))
-    g = df.groupBy(*keys).agg(pick(at).alias("p0"), pick(at + ahead).alias("p1")).withColumn("ret", F.col("p1") / F.col("p0") - 1)
+    g = df.groupBy(*keys).agg(pick(at).alias("p0"), pick(at + ahead).alias("p1")).withColumn("ret", ratio("p1", "p0") - 1)
     return g.where(F.abs("ret") >= threshold).withColumn("label", (F.col("ret") > 0).cast("int"))
 
 
