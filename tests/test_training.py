@@ -208,3 +208,20 @@ def test_velocity_features_of_few_rows_nulls_and_adx(spark):
     assert got["a"]["adx_14"] == pytest.approx(adx.dropna().iloc[-1])
     assert got["a"]["vel_price_delta_open"] == pytest.approx(f.close.iloc[-1] - f.open.iloc[0]) and got["a"]["ctx_am_gap_from_yday"] == pytest.approx(f.open.iloc[0] - 99.0)
     assert got["a"]["vel_ce_oi_delta_open"] is None and got["a"]["ctx_am_vol_vs_yday"] is None and got["a"]["ctx_am_breakout_confirmed"] == 0.0
+
+
+def test_rule_trades_that_end_at_a_price_of_zero_are_none_in_the_sql_too(spark, tmp_path):
+    from tests.compare import canonical, tables
+    from tickloom.plans import catalogue, training_queries  # noqa: F401
+
+    px = [10.0, 5.0, 0.0, 8.0, 6.0, 20.0, None, 9.0, 8.0, 7.0, 6.9, 6.8, 0.0]
+    rows = [(i, dt.datetime(2024, 1, 1, 9, i), 1, "view", x, '{"k": 50}') for i, x in enumerate(px)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "made"))
+    sf = tmp_path / "sf"
+    sf.mkdir()
+    next((tmp_path / "made").glob("*.parquet")).rename(sf / "events.parquet")
+    out = catalogue.QUERIES["lbl_12_rule_trades"](spark, str(sf))
+    got = [tuple(r) for r in out.collect()]
+    assert [(r.entry_minute, r.exit_minute, r.exit_reason) for r in out.orderBy("entry_minute").collect()] == [(5, 6, "target")]
+    rel = tables(str(sf)).sql(catalogue.ORACLE["lbl_12_rule_trades"])
+    assert canonical(out.columns, got) == canonical(rel.columns, rel.fetchall())
