@@ -96,3 +96,13 @@ def test_an_empty_table_replays_to_nothing(spark):
     empty = ticks(spark, 1).limit(0)
     rows, delay = SQ.shuffled_files(empty, 2)
     assert ST.run_to_table(EV.session_features(rows, delay=delay), "empty").count() == 0
+
+
+def test_waiting_rows_are_packed_by_the_hour(spark):
+    """State has an entry for each hour of a key, not for each row, so that no task holds all rows that wait."""
+    t, folder = ticks(spark), scratch(spark, "packed")
+    s = as_stream(spark, [t])
+    rows = ST.run_to_table(EV.morning_summary(s, 600, 690, delay="10 days"), "packed", folder=folder)
+    waiting = EV.open_state(spark, f"{folder}/checkpoint", "waiting")
+    hours = t.select("instrument", F.date_trunc("hour", "ts")).distinct().count()
+    assert rows.count() == 0 and waiting.count() == hours == 2 * 3 * 7 and hours < t.count()

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -16,52 +18,99 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 DAY_MS = 86_400_000
+#: Microseconds of an hour, rows that are packed at a time, and rows of a frame of results.
+HOUR, BUFFER, SHOWN = 3_600_000_000, 1 << 18, 1 << 14
+ROW = np.dtype([("at", "i8"), ("event_id", "i8"), ("session", "i8"), ("minute", "i4"), ("price", "f8"), ("volume", "f8")])
 
 
 class InOrder(StatefulProcessor):
     """What jobs in event time share.  A key's rows are (at: microseconds, event_id, session: days since 1970, minute, price, volume);
-    a session ends with its day.  Keys that are null only carry the watermark."""
+    a session ends with its day.  Keys that are null only carry the watermark.
+
+    Waiting rows are packed by the hour, in parts of at most BUFFER rows, and read hour by hour when the watermark passes
+    them, so a task holds one hour of a key, whatever waits."""
 
     #: State of an open session after its number; what a row adds to the result.
     state, columns = "", ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, event_id long, session long, minute int, price double, volume double")
+        self.waiting = handle.getMapState("waiting", "hour long, part long", "rows binary")
+        self.parts = handle.getValueState("parts", "n long")
         self.open = handle.getValueState("open", f"session long, {self.state}")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held, n, first = [], 0, None
         for frame in rows:
             frame = frame[frame["event_id"].notna() & frame["price"].notna()] if key[0] is not None else frame[:0]
             if len(frame):
-                columns = (frame[c].tolist() for c in ("at", "event_id", "session", "minute", "price", "volume"))
-                new = [(int(a), int(i), int(s), int(m), float(p), None if pd.isna(v) else float(v)) for a, i, s, m, p, v in zip(*columns, strict=True)]
-                self.waiting.appendList(new)
-                self.handle.registerTimer(-(-min(r[0] for r in new) // 1000))
+                new = np.empty(len(frame), ROW)
+                for c in ROW.names:
+                    new[c] = frame[c].astype(ROW[c])
+                least = int(new["at"].min())
+                first = least if first is None else min(first, least)
+                held.append(new)
+                n += len(new)
+                if n >= BUFFER:
+                    self.keep(held)
+                    held, n = [], 0
+        if held:
+            self.keep(held)
+        if first is not None:
+            self.handle.registerTimer(-(-first // 1000))
         return iter(())
 
+    def keep(self, held: list[np.ndarray]) -> None:
+        rows = np.concatenate(held)
+        rows = rows[np.argsort(rows["at"], kind="stable")]
+        hours = rows["at"] // HOUR
+        starts = np.flatnonzero(np.diff(hours, prepend=hours[0] - 1))
+        part = self.parts.get()[0] if self.parts.exists() else 0
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
+            self.waiting.updateValue((int(hours[a]), part), (rows[a:b].tobytes(),))
+        self.parts.update((part + 1,))
+
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
-        ready = [r for r in rows if r[0] <= now * 1000]
-        rest = rows[len(ready) :]
         held = tuple(self.open.get()) if self.open.exists() else None
-        out = []
-        for r in ready:
-            if held is not None and held[0] != r[2]:
-                self.ended(held)
-                held = None
-            held, shown = self.step((r[2], *self.fresh()) if held is None else held, r)
-            out.append((*key, r[2], r[1], *shown))
-        if held is not None and (held[0] + 1) * DAY_MS <= now and not any(r[2] == held[0] for r in rest):
+        places = sorted((int(h), int(p)) for h, p in self.waiting.keys()) if self.waiting.exists() else []
+        left, out = None, []
+        for hour, parts in groupby(places, key=lambda p: p[0]):
+            if hour * HOUR > now * 1000:
+                left = hour * HOUR
+                break
+            parts = list(parts)
+            rows = np.concatenate([np.frombuffer(self.waiting.getValue(p)[0], ROW) for p in parts])
+            rows = rows[np.lexsort([rows[c] for c in reversed(ROW.names)])]
+            upto = int(np.searchsorted(rows["at"], now * 1000, "right"))
+            if not upto:
+                left = int(rows["at"][0])
+                break
+            for p in parts:
+                self.waiting.removeKey(p)
+            if upto < len(rows):
+                self.waiting.updateValue(parts[0], (rows[upto:].tobytes(),))
+                left = int(rows["at"][upto])
+            for at in range(0, upto, SHOWN):
+                for r in rows[at : min(at + SHOWN, upto)].tolist():
+                    r = (*r[:5], None if r[5] != r[5] else r[5])
+                    if held is not None and held[0] != r[2]:
+                        self.ended(held)
+                        held = None
+                    held, shown = self.step((r[2], *self.fresh()) if held is None else held, r)
+                    out.append((*key, r[2], r[1], *shown))
+                if len(out) >= SHOWN:
+                    yield self.frame(out)
+                    out = []
+            if left is not None:
+                break
+        if held is not None and (held[0] + 1) * DAY_MS <= now:  # rows that still wait are later than now
             self.ended(held)
             held = None
-        if ready:
-            self.waiting.clear()
-            if rest:
-                self.waiting.put(rest)
-        if rest:
-            self.handle.registerTimer(-(-rest[0][0] // 1000))
+        if left is not None:
+            self.handle.registerTimer(-(-left // 1000))
+        elif places:
+            self.parts.clear()
         if held is None:
             if self.open.exists():
                 self.open.clear()
@@ -69,7 +118,10 @@ class InOrder(StatefulProcessor):
             self.open.update(held)
             self.handle.registerTimer((held[0] + 1) * DAY_MS)
         if out:
-            yield pd.DataFrame(out, columns=["instrument", "day", "event_id", *self.columns]).astype({c: "Int64" for c in self.whole})
+            yield self.frame(out)
+
+    def frame(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["instrument", "day", "event_id", *self.columns]).astype({c: "Int64" for c in self.whole})
 
     whole: tuple[str, ...] = ()
 
