@@ -225,3 +225,24 @@ def test_scores_beyond_64_bits_are_exact(spark, monkeypatch):
     rows = [("en", 0, "", 9_000_000_000), ("en", 1, "x", left), ("en", 1, "y", right), ("en", 2, "x y", a)]
     monkeypatch.setattr(phrases, "phrase_counts", lambda *_: spark.createDataFrame(rows, "lang string, size int, phrase string, n long"))
     assert [tuple(r) for r in phrases.collocations(None).collect()] == [("en", 1, "x y", a, left, right, 9_000_000_000, 1000000 * a * a // (left * right))]
+
+
+def test_requests_of_annuli_are_not_broadcast(spark, monkeypatch):
+    """A query is asked of every annulus, which no estimate of Spark's shows."""
+    plans = []
+
+    def kept(df, name, real=topk.written):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, name)
+
+    monkeypatch.setattr(topk, "written", kept)
+    x = np.random.default_rng(3).normal(size=(300, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = topk.nearest(df, F.col("vec_id") % 50 == 0, 5)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in out.collect()}
+    n = np.floor(64 * x).astype(int)
+    for q in range(0, 300, 50):
+        best = sorted((-int(n[q] @ n[i]), i) for i in range(300) if i != q)[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
+    searched = [p for name, p in plans if name == "best"]
+    assert searched and not any("Broadcast" in p for p in searched)

@@ -21,6 +21,8 @@ from .base import written
 
 #: Vectors that the pivots are fitted on, pivots and annuli at most, and vectors of an annulus at least.
 SAMPLE, PIVOTS, ANNULI, ANNULUS = 8192, 256, 16384, 2048
+#: Queries that a row asks an annulus for, at most.
+QUERIES = 2048
 #: Annuli that a query has expanded after each round but the last, which takes the rest.
 ROUNDS = (1, 8)
 _KINDS = (np.int8, np.int16, np.int32, np.int64)
@@ -166,7 +168,7 @@ def _requests(pivots: Pivots, dims: int, known: dict[str, np.ndarray], begin: in
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slack = 1e-6 * (pivots.most**0.5 + 1)
-        for batch in batches:
+        for batch in (b.slice(at, QUERIES) for b in batches for at in range(0, len(b), QUERIES)):
             packed, bars = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             asked: dict[int, list[int]] = {}
             for i in range(0, len(packed), 64):
@@ -237,7 +239,8 @@ def nearest(df: DataFrame, asks: Column, k: int = 20, ident: str = "vec_id", vec
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not total.n:
         return empty
-    sample = [bytes(r.v) for r in distinct.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("v").collect()]
+    few = F.pmod(F.xxhash64("v"), F.lit(total.n)) < 2 * SAMPLE  # else each task sends SAMPLE vectors to the driver
+    sample = [bytes(r.v) for r in distinct.where(few | F.lit(total.n <= 2 * SAMPLE)).orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("v").collect()]
     pivots = Pivots(_matrix(sample, total.dims), float(total.most), min(PIVOTS, 1 + total.n // ANNULUS))
     size = max(ANNULUS, -(-total.n // ANNULI))
 
@@ -254,9 +257,10 @@ def nearest(df: DataFrame, asks: Column, k: int = 20, ident: str = "vec_id", vec
         barred = queries.withColumn("bar", F.lit(None).cast("long"))
         if best is not None:
             bars = best.groupBy(F.col("q").alias("v")).agg(F.when(F.count("*") > k, F.min("score")).alias("bar"))
-            barred = queries.join(bars, "v", "left").select("v", "bar")
+            barred = queries.join(bars.hint("merge"), "v", "left").select("v", "bar")
         asked = barred.mapInArrow(_requests(pivots, total.dims, known, begin, end), _REQUEST)
-        hits = asked.join(index.select("block", "ids", "vectors"), "block").select("queries", "bars", "ids", "vectors").mapInArrow(_scored(total.dims, k + 1), _BESTS)
+        # A query is asked of many annuli, which Spark can't know: by its estimate it would broadcast all of them.
+        hits = asked.join(index.select("block", "ids", "vectors").hint("merge"), "block").select("queries", "bars", "ids", "vectors").mapInArrow(_scored(total.dims, k + 1), _BESTS)
         hits = hits.select("q", "score", F.explode("ids").alias("id"))
         hits = hits if best is None else hits.unionByName(best)
         place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
@@ -264,5 +268,5 @@ def nearest(df: DataFrame, asks: Column, k: int = 20, ident: str = "vec_id", vec
     listed = best.groupBy(F.col("q").alias("v")).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))).alias("best"))
     own = F.array_position("best", F.struct((-F.col("own")).alias("s"), "id"))
     others = F.slice(F.filter("best", lambda x, i: i + 1 != F.col("at")), 1, k)
-    found = rows.where("asks").join(listed, "v").withColumn("at", own).select(F.col("id").alias("query_id"), F.posexplode(others).alias("rank", "hit"))
+    found = rows.where("asks").join(listed.hint("merge"), "v").withColumn("at", own).select(F.col("id").alias("query_id"), F.posexplode(others).alias("rank", "hit"))
     return found.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("hit.id").alias("vec_id"), (-F.col("hit.s")).alias("score"))
