@@ -225,3 +225,13 @@ def test_rule_trades_that_end_at_a_price_of_zero_are_none_in_the_sql_too(spark,
     assert [(r.entry_minute, r.exit_minute, r.exit_reason) for r in out.orderBy("entry_minute").collect()] == [(5, 6, "target")]
     rel = tables(str(sf)).sql(catalogue.ORACLE["lbl_12_rule_trades"])
     assert canonical(out.columns, got) == canonical(rel.columns, rel.fetchall())
+
+
+def test_walk_forward_makes_its_rows_once(spark):
+    from tickloom.operators import learn as ML
+
+    made = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: (made.add(1), x)[1], "double")
+    rows = [(T0.date() + dt.timedelta(days=d), float((7 * d + 3 * i) % 11), float((d + i) % 2)) for d in range(12) for i in range(5)]
+    df = spark.createDataFrame(rows, "day date, a double, label double").withColumn("a", seen("a"))
+    assert ML.walk_forward_scores(df, "day", ["a"], "label", 4, 1, 2, 4).count() > 0 and made.value == len(rows)

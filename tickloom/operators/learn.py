@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.writers import stored
 from .evaluate import auc_brier
 from .select import walk_forward
 
@@ -53,7 +54,8 @@ def gated(gate: str, direction: str):
 
 def walk_forward_scores(df: DataFrame, day: str, features: Sequence[str], label: str, train: int, valid: int, test: int, step: int) -> DataFrame:
     """MLJ-2, MLJ-5: (fold, rows of the test days, p); a model per fold, fitted on clipped training days.  The folds come to
-    the driver (a few), rows don't."""
+    the driver (a few), rows don't.  The table is stored first, as every fit goes over it many times."""
+    df = stored(df, "walk-forward-rows")
     folds = walk_forward(df.select(day).distinct(), day, train, valid, test, step).cache()
     ids = [r.fold for r in folds.select("fold").distinct().orderBy("fold").collect()]
     out = None
