@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import time
 
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
@@ -235,3 +236,32 @@ def test_walk_forward_makes_its_rows_once(spark):
     rows = [(T0.date() + dt.timedelta(days=d), float((7 * d + 3 * i) % 11), float((d + i) % 2)) for d in range(12) for i in range(5)]
     df = spark.createDataFrame(rows, "day date, a double, label double").withColumn("a", seen("a"))
     assert ML.walk_forward_scores(df, "day", ["a"], "label", 4, 1, 2, 4).count() > 0 and made.value == len(rows)
+
+
+@pytest.mark.parametrize("sign", [1, -1])
+def test_rule_trades_held_for_long_equal_a_plain_walk(spark, sign):
+    rng = random.Random(9)
+    days, x = {}, Exits(0.6, 0.8, 150, 500, 0.5, 0.25, 0.3, sign)
+    for d in range(24):
+        price, rows, m = 100.0, [], 0
+        for _ in range(rng.choice([1, 15, 16, 17, 18, 33, 600])):
+            price, m = max(price * (1 + rng.gauss(0, 0.03)), 0.5), m + rng.choice([1, 1, 2])
+            rows.append((m, rng.choice([None] * 9 + [0.0]) if rng.random() < 0.03 else price, rng.choice([None, 0.0, 100 + rng.gauss(0, 9)]), rng.random() < 0.4, rng.random() < 0.004))
+        days[f"d{d}"] = rows[:-1] + [(m, None, *rows[-1][2:])] if d % 4 == 0 else rows
+    df = spark.createDataFrame([(d, *r) for d, rows in days.items() for r in rows], "day string, m int, p double, u double, s boolean, go boolean").coalesce(1)
+    want = sorted((d, *t) for d, rows in days.items() for t in plain_trades(rows, x))
+    have = sorted(map(tuple, rule_trades(df, ["day"], "m", "p", F.col("s"), x, "u", F.col("go")).collect()))
+    assert [(r[:3], r[6]) for r in have] == [(r[:3], r[6]) for r in want] and max(r[2] - r[1] for r in want) > 100
+    for a, b in zip(have, want, strict=True):
+        assert a[3:6] + a[7:] == pytest.approx(b[3:6] + b[7:])
+
+
+def test_rule_trades_of_a_day_of_many_rows_take_time_in_proportion(spark):
+    n, x = 240_000, Exits(0.5, 1.0, 12, 400, 0.6, 0.3)
+    df = spark.range(n, numPartitions=2).selectExpr("'d' AS day", "id + 1 AS m", "id * 7919 % 10007 + 1.0 AS p", "id * 7919 % 10007 < (id + 10006) * 7919 % 10007 AS s")
+    began = time.monotonic()
+    got = rule_trades(df, ["day"], "m", "p", F.col("s"), x).collect()
+    took = time.monotonic() - began
+    rows = [(i + 1, i * 7919 % 10007 + 1.0, None, i * 7919 % 10007 < (i + 10006) * 7919 % 10007, False) for i in range(n)]
+    assert sorted(r[1:4] for r in got) == sorted(r[:3] for r in plain_trades(rows, x)) and len(got) > n / 4
+    assert took < 30
