@@ -265,3 +265,26 @@ def test_rule_trades_of_a_day_of_many_rows_take_time_in_proportion(spark):
     rows = [(i + 1, i * 7919 % 10007 + 1.0, None, i * 7919 % 10007 < (i + 10006) * 7919 % 10007, False) for i in range(n)]
     assert sorted(r[1:4] for r in got) == sorted(r[:3] for r in plain_trades(rows, x)) and len(got) > n / 4
     assert took < 30
+
+
+@pytest.mark.parametrize("without", [0.0, 0.1])
+def test_sql_of_rule_trades_has_every_trade_of_a_plain_walk(spark, tmp_path, without):
+    from tests.compare import tables
+    from tickloom.plans import catalogue, training_queries
+
+    rng = random.Random(12)
+    ticks = [(i, T0 + dt.timedelta(days=i % 2, seconds=i * 20), rng.choice([None, 0.0, -1.0]) if rng.random() < without else round(rng.lognormvariate(1, 0.5), 2), rng.choice([None, *range(101)])) for i in range(2000)]
+    rows = [(i, t, 1, "view", p, "{}" if k is None else f'{{"k": {k}}}') for i, t, p, k in ticks]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "made"))
+    sf = tmp_path / "sf"
+    sf.mkdir()
+    next((tmp_path / "made").glob("*.parquet")).rename(sf / "events.parquet")
+    want = []
+    for day in sorted({t.date() for _, t, _, _ in ticks}):
+        of = sorted((t, i, p, k) for i, t, p, k in ticks if t.date() == day)
+        before = [None] + [p for _, _, p, _ in of]
+        walk = [(n, p, None if k is None else k + 50.0, p is not None and b is not None and p < b, k is not None and k >= 95) for n, ((_, _, p, k), b) in enumerate(zip(of, before), 1)]
+        want += [(day, t[0], t[1], t[5]) for t in plain_trades(walk, training_queries._RULE)]
+    sql = tables(str(sf)).sql(f"SELECT session, entry_minute, exit_minute, exit_reason FROM ({catalogue.ORACLE['lbl_12_rule_trades']})").fetchall()
+    got = catalogue.QUERIES["lbl_12_rule_trades"](spark, str(sf)).select("session", "entry_minute", "exit_minute", "exit_reason").collect()
+    assert sorted(sql) == sorted(want) == sorted(map(tuple, got)) and len(want) > 500
